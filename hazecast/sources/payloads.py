@@ -157,7 +157,7 @@ def read_store(spark: SparkSession, path: str | None = None, jdbc_url: str | Non
 def read_store_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV copy of the store with typed columns and parsed time."""
     raw = spark.read.option("header", True).schema(
-        ", ".join(f"`{f.name}` STRING" for f in S.FEATURE_TABLE.fields)).csv(path)
+        ", ".join(f"`{f.name}` STRING" for f in S.struct(S.FEATURE_TABLE).fields)).csv(path)
     from ..functions.sanitise import coerce_types
     typed = coerce_types(raw).withColumn("timestamp", parse_iso(F.col("timestamp")))
     return typed.withColumn("ingest_seq", F.col("ingest_seq").try_cast("bigint"))
