@@ -14,7 +14,6 @@ from .rounding import round_half_even
 RUSH_HOURS = [7, 8, 9, 17, 18, 19]
 SEASON_OF_MONTH = {12: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 9: 3, 10: 3, 11: 3}
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
-ONE_HOUR = F.expr("INTERVAL 1 HOUR")
 
 
 def trunc_hour(ts: Column) -> Column:
@@ -26,7 +25,7 @@ def round_hour(ts: Column) -> Column:
     """Nearest hour; exact half past goes to the even hour (pandas ``dt.round('h')``)."""
     base = trunc_hour(ts)
     into = F.minute(ts).cast("decimal(10,6)") * F.lit(60) + F.date_part(F.lit("SECOND"), ts)
-    up = base + ONE_HOUR
+    up = base + F.expr("INTERVAL 1 HOUR")
     tie_up = (F.hour(base) % 2) == 1
     return (F.when(into > F.lit(1800), up)
              .when(into < F.lit(1800), base)

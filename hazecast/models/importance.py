@@ -32,7 +32,7 @@ def tree_arrays(model) -> list[dict]:
         "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"),
         F.col("nodeData.impurityStats")[0].alias("cover"), F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"), F.col("nodeData.split.featureIndex").alias("feature"),
-        F.element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), 1).alias("threshold")).toPandas()
+        F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold")).toPandas()
     weights = list(model.treeWeights)
     if type(model).__name__.startswith("RandomForest"):
         weights = [1.0 / len(weights)] * len(weights)

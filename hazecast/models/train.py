@@ -30,6 +30,7 @@ RF_PARAMS = dict(numTrees=300, maxDepth=10, minInstancesPerNode=4, featureSubset
 GBT_PARAMS = dict(maxIter=400, stepSize=0.04, maxDepth=5, subsamplingRate=0.8, minInstancesPerNode=4, seed=42)
 BOOSTED_VARIANT_PARAMS = dict(maxIter=300, stepSize=0.05, maxDepth=6, seed=42)
 HUBER_EPSILON, HUBER_ALPHA, HUBER_MAX_ITER = 1.35, 0.01, 1000
+TRAIN_ROWS_PER_PARTITION = 200_000
 MODEL_NAMES = ["Random Forest", "Gradient Boosting", "Boosted Variant", "Huber Regression"]
 TREE_MODELS = {"Random Forest", "Gradient Boosting", "Boosted Variant"}
 
@@ -48,9 +49,14 @@ def _assembler(cols: Sequence[str]) -> VectorAssembler:
 def train_models(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], label: str = "aqi",
                  names: Sequence[str] = MODEL_NAMES, id_cols: Sequence[str] = ("city", "timestamp")) -> list[Trained]:
     cols = list(feature_cols)
+    from ..session import cut_lineage
+    keep = [*id_cols, *cols, label]
+    train = cut_lineage(train.select(*keep))
     tr = median_impute(train, train, cols).withColumn("label", F.col(label).cast("double"))
-    te = median_impute(train, test, cols).withColumn("label", F.col(label).cast("double"))
-    tr = tr.persist()
+    te = median_impute(train, test.select(*keep), cols).withColumn("label", F.col(label).cast("double"))
+    # partitions proportional to the data (one per ~200k rows): boosting runs a job per round
+    parts = max(1, -(-train.count() // TRAIN_ROWS_PER_PARTITION))
+    tr, te = cut_lineage(tr.repartition(parts)), cut_lineage(te)
     out = []
     for name in names:
         if name == "Huber Regression":

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def lerp(lo: Column, hi: Column, t: Column) -> Column:
     """numpy's linear interpolation: a + (b-a)t below one half, b - (b-a)(1-t) above."""
@@ -41,9 +43,10 @@ def order_statistics(x: DataFrame, keys: Sequence[str], targets: DataFrame, grid
                      accuracy: int = 100000, band_limit: int = 200_000, max_rounds: int = 8) -> DataFrame:
     """``x``: (keys, _x) non-null; ``targets``: (keys, pi, side, rank).  Adds ``value``."""
     tk = [*keys, "pi", "side"]
-    state = targets.select(*tk, "rank", F.col("rank").alias("_r"),
-                           F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"),
-                           F.lit(None).cast("double").alias("_val"))
+    state = cut_lineage(targets.select(*tk, "rank", F.col("rank").alias("_r"),
+                                       F.lit(None).cast("double").alias("_lo"),
+                                       F.lit(None).cast("double").alias("_hi"),
+                                       F.lit(None).cast("double").alias("_val")))
     x = x.select(*keys, "_x")
     grid_p = [i / grid for i in range(1, grid)]
     for _ in range(max_rounds):
@@ -77,7 +80,9 @@ def order_statistics(x: DataFrame, keys: Sequence[str], targets: DataFrame, grid
                          F.when(F.col("_nr").isNotNull(), F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
                          F.when(F.col("_nr").isNotNull(), F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
                          "_val"))
-        state = state.persist()
+        # the state is tiny (one row per key and rank); a reliable checkpoint keeps
+        # the plan from doubling each round and survives executor loss
+        state = cut_lineage(state)
         stats.unpersist()
     inband = (F.col("_lo").isNull() | (F.col("_x") > F.col("_lo"))) & \
              (F.col("_hi").isNull() | (F.col("_x") <= F.col("_hi")))

@@ -19,7 +19,8 @@ GOLD = O.base_ctes(O.silver_cte(), *O.preprocess_ctes())
 
 
 def gold(spark, sf):
-    return preprocess(silver(spark, sf))
+    from ..session import cut_lineage
+    return cut_lineage(preprocess(silver(spark, sf)))
 
 
 _SPLIT = """split AS (

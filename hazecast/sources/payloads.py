@@ -18,7 +18,6 @@ from ..functions.calendar import TS_FORMAT
 from ..functions.rounding import round_half_even
 from ..operators.filters import feed_ok, valid_measurement
 
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 # Provider field names -> canonical names.
 ARCHIVE_NAMES = {"time": "timestamp", "temperature_2m": "temp", "relative_humidity_2m": "humidity",
@@ -32,7 +31,7 @@ COMPONENT_NAMES = {"pm2_5": "pm25", "pm10": "pm10", "no2": "no2", "o3": "o3", "c
 
 def from_epoch_seconds(c: Column) -> Column:
     """Epoch seconds -> UTC wall clock as TIMESTAMP_NTZ (no session-zone dependence)."""
-    return F.timestamp_add("SECOND", c, EPOCH)
+    return F.timestamp_add("SECOND", c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def parse_iso(c: Column) -> Column:
