@@ -63,7 +63,9 @@ def _apply(df: DataFrame, params: dict[str, dict[str, float]], cols: Sequence[st
     """Transform with the fitted parameters as literals (constant-folded, codegen-friendly)."""
     def lit(v):
         return F.lit(None).cast("double") if v is None else F.lit(float(v))
-    return df.withColumns({c: fn(F.col(c), {n: lit(v) for n, v in params.get(c, {}).items()}) for c in cols})
+    names = sorted({n for p in params.values() for n in p}) or ["median", "iqr", "mean", "std"]
+    # a feature with no fitted value (e.g. an empty training split) gets null statistics
+    return df.withColumns({c: fn(F.col(c), {n: lit(params.get(c, {}).get(n)) for n in names}) for c in cols})
 
 
 def median_impute(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -53,4 +53,5 @@ def best_by_min(df: DataFrame, metric: str, cols: Sequence[str], where: Column |
     """Row with the smallest ``metric`` (``min_by``), optionally among a subset."""
     d = df.filter(where) if where is not None else df
     st = F.struct(*[F.col(c) for c in cols])
-    return d.agg(F.min_by(st, F.col(metric)).alias("_b")).select(*[F.col("_b")[c].alias(c) for c in cols])
+    best = d.agg(F.min_by(st, F.col(metric)).alias("_b")).filter(F.col("_b").isNotNull())  # empty input: no row
+    return best.select(*[F.col("_b")[c].alias(c) for c in cols])

@@ -52,6 +52,8 @@ def preprocess(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timest
         out = cut_lineage(out)
     for c in OUTLIER_COLS:
         if c in out.columns:
+            # sequential fences: each filter reads its input twice (fences + rows), so the plan
+            # would double per stage; a reliable checkpoint keeps it flat and survives executor loss
             out = iqr_filter(out, keys, c, nulls=nulls)
             if checkpoint:
                 out = cut_lineage(out)

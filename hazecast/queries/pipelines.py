@@ -50,10 +50,10 @@ def _reference_row(spark, sf):
 
 
 _REF_SQL = """ref AS (
-  SELECT p.city, arg_max(p.pm25, p.timestamp) AS pm25, arg_max(p.pm10, p.timestamp) AS pm10,
-         arg_max(p.no2, p.timestamp) AS no2, arg_max(p.o3, p.timestamp) AS o3, arg_max(p.co, p.timestamp) AS co,
-         arg_max(p.so2, p.timestamp) AS so2, (SELECT arg_max(aqi, timestamp) FROM obs_hourly) AS aqi_now
-  FROM params_hourly p GROUP BY p.city)"""
+  SELECT p.city, p.pm25, p.pm10, p.no2, p.o3, p.co, p.so2,
+         (SELECT arg_max(aqi, timestamp) FROM obs_hourly) AS aqi_now
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM params_hourly) p
+  WHERE rn = 1)"""
 
 
 def _est_sql(version: str) -> str:

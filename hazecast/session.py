@@ -59,9 +59,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The input is persisted first, so the checkpoint write reuses the computed
+    partitions instead of evaluating the plan a second time.
+    """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=eager)
+    if eager:
+        df.unpersist()
+    return out
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep an intermediate that several jobs read (spills to disk; lost blocks are recomputed)."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
