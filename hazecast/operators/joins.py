@@ -100,3 +100,37 @@ def with_lookup(df: DataFrame, key: Column, mapping: dict, out: str) -> DataFram
     """Small fixed lookup as a literal map: constant-folded, no join."""
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     return df.withColumn(out, m[key])
+
+
+def history_features(probes: DataFrame, history: DataFrame, keys: Sequence[str], ts: str, value: str,
+                     lags: Sequence[int] = (), rolls: Sequence[int] = (), default: str | None = None,
+                     prefix: str | None = None) -> DataFrame:
+    """Time-based lags and range means for each probe (keys, ts), computed independently
+    from one materialised probe table and one history table, then joined back once.
+
+    ``default``: name of a probe column used when the history has no row (as-of) or
+    the window is empty (range); the probes must be unique per (keys, ts).
+    """
+    from ..session import cut_lineage
+    prefix = prefix or value
+    keys = list(keys)
+    p = cut_lineage(probes.select(*keys, ts, *([default] if default else [])).distinct())
+    h = cut_lineage(history.select(*keys, ts, value))
+    dflt = F.col(f"_p.{default}") if default else None
+    parts = []
+    for n in lags:
+        a = asof_value(p, h, keys, ts, ts, value, n, dflt, f"{prefix}_lag_{n}h")
+        parts.append(a.select(*keys, ts, f"{prefix}_lag_{n}h"))
+    for n in rolls:
+        r = range_mean(p, h, keys, ts, ts, value, n, end_hours=1, default=F.lit(float("nan")),
+                       out=f"_r{n}")
+        col = F.col(f"_r{n}")
+        if default:
+            col = F.when(F.isnan(col), F.col(default)).otherwise(col)
+        else:
+            col = F.when(F.isnan(col), F.lit(None)).otherwise(col)
+        parts.append(r.select(*keys, ts, col.alias(f"{prefix}_rolling_{n}h")))
+    out = probes
+    for part in parts:
+        out = out.join(part, [*keys, ts], "left")
+    return out

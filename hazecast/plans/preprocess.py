@@ -45,11 +45,17 @@ def keep_last(df: DataFrame, keys: Sequence[str], seq: str = "ingest_seq") -> Da
 
 def preprocess(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp",
                include_current: bool = True, nulls: str = "drop", cyclical_digits: int | None = 9,
-               knn_k: int = 5, method: str = "halo", checkpoint: bool = True) -> DataFrame:
+               knn_k: int = 5, method: str = "halo", checkpoint: bool = True,
+               audit: list | None = None) -> DataFrame:
+    """``audit``: if given, (stage, DataFrame) pairs are appended for row-count auditing."""
     keys = list(keys)
+    if audit is not None:
+        audit.append(("input", df))
     out = keep_last(df, [*keys, ts])
     if checkpoint:
         out = cut_lineage(out)
+    if audit is not None:
+        audit.append(("dedup", out))
     for c in OUTLIER_COLS:
         if c in out.columns:
             # sequential fences: each filter reads its input twice (fences + rows), so the plan
@@ -57,6 +63,8 @@ def preprocess(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timest
             out = iqr_filter(out, keys, c, nulls=nulls)
             if checkpoint:
                 out = cut_lineage(out)
+            if audit is not None:
+                audit.append((f"outliers_{c}", out))
     pollutants = usable_columns(out, POLLUTANT_COLS, IMPUTE_MIN_COUNT)
     if pollutants:
         out = knn_impute(out, keys, ts, pollutants, k=knn_k)
@@ -74,7 +82,10 @@ def preprocess(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timest
     temp, hum, wind = F.col("temp"), F.col("humidity"), F.col("wind_speed")
     out = out.withColumns({**wx.interactions(temp, hum, wind), "is_stagnant": wx.is_stagnant(wind, hum),
                            **wx.weather_flags(temp, wind)})
-    return out.filter(F.col("aqi_lag_72h").isNotNull())
+    out = out.filter(F.col("aqi_lag_72h").isNotNull())
+    if audit is not None:
+        audit.append(("final", out))
+    return out
 
 
 def select_features(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.aqi import aqi_category, pm25_to_aqi
 from ..functions.estimate import MONTHLY_AQI_BASELINE, SEASONAL_FACTOR, lookup
 from ..operators import ordering as T
 from ..operators.filters import iqr_filter
-from ..operators.joins import align_hourly, asof_value, range_mean, with_reference_row
+from ..operators.joins import align_hourly, history_features, with_reference_row
 from ..operators.knn import knn_impute
 from ..operators.quantiles import exact_quantiles
 from ..operators.setops import append_rows, concat_sources
@@ -112,9 +112,9 @@ FROM {_range_sql(72, 'NULL')} r72 JOIN {_range_sql(96, 'NULL')} r96
   ON r72.city = r96.city AND r72.timestamp = r96.timestamp"""), "W6")
 def rolling_time(spark, sf):
     p = params_aqi(spark, sf)
-    probes = p.select("city", "timestamp")
-    a = range_mean(probes, p, ["city"], "timestamp", "timestamp", "aqi", 72, out="aqi_roll_72h")
-    return range_mean(a, p, ["city"], "timestamp", "timestamp", "aqi", 96, out="aqi_roll_96h")
+    out = history_features(p.select("city", "timestamp"), p, ["city"], "timestamp", "aqi", rolls=(72, 96))
+    return out.select("city", "timestamp", F.col("aqi_rolling_72h").alias("aqi_roll_72h"),
+                      F.col("aqi_rolling_96h").alias("aqi_roll_96h"))
 
 
 def _last_aqi(spark, sf):
@@ -133,9 +133,8 @@ LEFT JOIN last_aqi l ON p.city = l.city"""), "J2 W6")
 def asof_lag(spark, sf):
     hist = params_aqi(spark, sf)
     probes = B.weather_hourly(spark, sf).select("city", "timestamp", "temp").join(_last_aqi(spark, sf), "city", "left")
-    a = asof_value(probes, hist, ["city"], "timestamp", "timestamp", "aqi", 72, F.col("_p.last_aqi"), "aqi_lag_72h")
-    b = asof_value(a, hist, ["city"], "timestamp", "timestamp", "aqi", 96, F.col("_p.last_aqi"), "aqi_lag_96h")
-    return b.select("city", "timestamp", "temp", "aqi_lag_72h", "aqi_lag_96h")
+    out = history_features(probes, hist, ["city"], "timestamp", "aqi", lags=(72, 96), default="last_aqi")
+    return out.select("city", "timestamp", "temp", "aqi_lag_72h", "aqi_lag_96h")
 
 
 @register("range_mean", W(*C(PARAMS_AQI, _LAST, _PROBES), body=f"""
@@ -147,16 +146,7 @@ FROM {_range_sql(72, 'l.last_aqi')} r72 JOIN {_range_sql(96, 'l.last_aqi')} r96
 def q_range_mean(spark, sf):
     hist = params_aqi(spark, sf)
     probes = B.weather_hourly(spark, sf).select("city", "timestamp").join(_last_aqi(spark, sf), "city", "left")
-    return _range_with_default(probes, hist)
-
-
-def _range_with_default(probes, hist):
-    """Empty window -> the last stored index (the scoring default); NaN marks 'empty' inside the plan."""
-    out = probes
-    for h in (72, 96):
-        out = range_mean(out, hist, ["city"], "timestamp", "timestamp", "aqi", h, default=F.lit(float("nan")),
-                         out=f"_r{h}")
-        out = out.withColumn(f"aqi_rolling_{h}h", F.when(F.isnan(f"_r{h}"), F.col("last_aqi")).otherwise(F.col(f"_r{h}")))
+    out = history_features(probes, hist, ["city"], "timestamp", "aqi", rolls=(72, 96), default="last_aqi")
     return out.select("city", "timestamp", "aqi_rolling_72h", "aqi_rolling_96h")
 
 
