@@ -18,10 +18,11 @@ def D(x: float) -> str:
 
 
 def rhe(expr: str, digits: int) -> str:
+    """Half-even rounding scaled in binary; '+ 0.0' turns -0.0 into 0.0 (Spark's bround never yields -0.0)."""
     if digits == 0:
-        return f"round_even({expr}, 0)"
+        return f"(round_even({expr}, 0) + {D(0.0)})"
     s = D(10.0 ** digits)
-    return f"(round_even(({expr}) * {s}, 0) / {s})"
+    return f"((round_even(({expr}) * {s}, 0) / {s}) + {D(0.0)})"
 
 
 def emean(expr: str, scale: int = 6, where: str | None = None) -> str:

@@ -25,7 +25,7 @@ def _norm(v):
 def _rows(df):
     cols = sorted(df.columns)
     rows = [tuple(_norm(x) for x in r) for r in df[cols].itertuples(index=False)]
-    return cols, sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
+    return cols, sorted(rows, key=lambda r: tuple((x is None, type(x).__name__, 0 if x is None else x) for x in r))
 
 
 @pytest.fixture(scope="module")
