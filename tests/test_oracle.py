@@ -49,4 +49,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and "aqi_lag_72h" in df.columns
+    assert df.count() > 0 and "aqi_lag_72h" in df.columns and "predicted_aqi" in df.columns
