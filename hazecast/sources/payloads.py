@@ -75,7 +75,10 @@ def read_weather_hourly(spark: SparkSession, path: str) -> DataFrame:
     """Columnar payload (parallel arrays) -> one row per hour with canonical names."""
     d = _json(spark, path, S.WEATHER_ARCHIVE)
     fields = list(ARCHIVE_NAMES)
-    z = d.select("city", F.explode(F.arrays_zip(*[F.col("hourly")[f].alias(f) for f in fields])).alias("r"))
+    hourly_type = d.schema["hourly"].dataType
+    # a variable missing from the payload becomes an empty array, i.e. a null column after zipping
+    arrays = [F.coalesce(F.col("hourly")[f], F.array().cast(hourly_type[f].dataType)).alias(f) for f in fields]
+    z = d.select("city", F.explode(F.arrays_zip(*arrays)).alias("r"))
     out = z.select("city", *[F.col("r")[f].alias(ARCHIVE_NAMES[f]) for f in fields])
     return out.withColumn("timestamp", parse_iso(F.col("timestamp")))
 
