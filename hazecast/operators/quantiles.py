@@ -48,13 +48,19 @@ def order_statistics(x: DataFrame, keys: Sequence[str], targets: DataFrame, grid
                            F.lit(None).cast("double").alias("_val"))
     x = x.select(*keys, "_x")
     grid_p = [i / grid for i in range(1, grid)]
-    for _ in range(max_rounds):
+    for rnd in range(max_rounds):
         open_ = state.filter(F.col("_val").isNull())
         inband = (F.col("_lo").isNull() | (F.col("_x") > F.col("_lo"))) & \
                  (F.col("_hi").isNull() | (F.col("_x") <= F.col("_hi")))
         band = x.join(open_.select(*tk, "_lo", "_hi", "_r"), list(keys)).filter(inband)
-        stats = band.groupBy(*tk).agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"),
-                                      F.max("_x").alias("_mx"))
+        if rnd == 0:
+            # the first band is the whole key: per-key statistics, no row x target fan-out
+            per_key = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"),
+                                           F.max("_x").alias("_mx"))
+            stats = open_.select(*tk).join(per_key, list(keys))
+        else:
+            stats = band.groupBy(*tk).agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"),
+                                          F.max("_x").alias("_mx"))
         stats = stats.persist()
         big = stats.filter((F.col("_c") > band_limit) & (F.col("_mn") < F.col("_mx")))
         if big.limit(1).count() == 0:

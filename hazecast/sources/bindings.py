@@ -22,6 +22,14 @@ DEFAULT_CITY = "central"
 
 # Which station stands for which pollutant.
 POLLUTANT_OF_STATION = {"click": "pm25", "error": "pm10", "purchase": "no2", "signup": "o3", "view": "co"}
+# Station -> city: every station of the driver data is in the one city of the feature store.
+CITY_OF_STATION = {station: DEFAULT_CITY for station in POLLUTANT_OF_STATION}
+
+
+def city_of(station):
+    """City of a reading, looked up from its station (a data column, so joins on city stay equi-joins)."""
+    m = F.create_map(*[x for k, v in CITY_OF_STATION.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(m[station], F.lit(DEFAULT_CITY))
 POLLUTANTS = ["pm25", "pm10", "no2", "o3", "co", "so2"]
 WEATHER_COLS = ["temp", "feels_like", "humidity", "pressure", "wind_speed", "wind_direction"]
 
@@ -29,7 +37,7 @@ WEATHER_COLS = ["temp", "feels_like", "humidity", "pressure", "wind_speed", "win
 def obs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
-        F.lit(DEFAULT_CITY).alias("city"),
+        city_of(F.col("event_type")).alias("city"),
         F.col("ts"),
         F.col("event_type").alias("station"),
         F.col("user_id").alias("sensor"),

@@ -64,3 +64,11 @@ def test_preprocess_python_only_in_knn(spark):
     plan = g._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan  # no row/column Python UDFs
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_no_nested_loop_or_cartesian_joins(spark):
+    """Joins on the city key stay equi-joins (city comes from data, not a folded literal)."""
+    import __spark_entry__ as E
+    for name in ("asof_lag", "range_mean", "knn_impute", "reference_row", "fill_forward_backward", "engineer_live"):
+        txt = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in txt and "CartesianProduct" not in txt, name
