@@ -155,4 +155,6 @@ def contributions(df: DataFrame, model, feature_cols: Sequence[str], id_cols: Se
             res["base"] = base
             res["tree_sum"] = out_s
             yield res
-    return df.select(*id_cols, *cols).mapInPandas(fn, schema)
+    # per-row work is bounded by model size, not data: spread the rows over all cores
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    return df.select(*id_cols, *cols).repartition(parts).mapInPandas(fn, schema)
