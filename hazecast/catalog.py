@@ -29,6 +29,6 @@ def register(name: str, sql: str | None = None, ops: str = ""):
 
 
 def load_all() -> dict[str, Entry]:
-    from .queries import core, features, model_queries, pipelines, scoring_queries, tables  # noqa: F401
+    from .queries import composite, core, features, model_queries, scoring_queries, tables  # noqa: F401
     from .queries import stream_queries  # noqa: F401  (after the batch keys it reuses)
     return REGISTRY

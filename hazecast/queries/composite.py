@@ -1,4 +1,4 @@
-"""Composite pipelines: measured history (M1), estimated history (M2), live row (M3),
+"""Composite plans: measured history (M1), estimated history (M2), live row (M3),
 preprocessing (M4) and model-input selection (P20)."""
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from ..catalog import register
 from ..models.prep import chronological_split, median_impute, robust_scale, tail_validation_split
 from ..plans.preprocess import FEATURE_COLS, preprocess
 from ..session import scratch_path
-from .pipelines import silver
+from .composite import silver
 
 W = O.with_ctes
 GOLD = O.base_ctes(O.silver_cte(), *O.preprocess_ctes())

@@ -18,7 +18,7 @@ from ..operators.ordering import first_n_dates
 from ..plans.preprocess import FEATURE_COLS, preprocess
 from ..plans.scoring import clamp_forecast, current_index, forecast_features, score_forecast
 from ..sources import bindings as B
-from .pipelines import silver
+from .composite import silver
 
 W = O.with_ctes
 D = O.D

@@ -21,7 +21,7 @@ from ..sinks import files as K
 from ..sources import bindings as B
 from ..sources import landed as L
 from ..sources import payloads as S
-from .pipelines import silver
+from .composite import silver
 
 W = O.with_ctes
 C = O.base_ctes

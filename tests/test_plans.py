@@ -58,7 +58,7 @@ def test_store_scan_prunes_and_pushes(spark):
 
 def test_preprocess_python_only_in_knn(spark):
     from hazecast.plans.preprocess import preprocess
-    from hazecast.queries.pipelines import silver
+    from hazecast.queries.composite import silver
     g = preprocess(silver(spark, SF))
     plan = g._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan  # no row/column Python UDFs
