@@ -96,7 +96,10 @@ CHANGE_OUT = "city string, timestamp timestamp_ntz, aqi double, aqi_change_rate
 def _change_rate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per city: index minus the last stored index; first 0; late rows do not move the state."""
     last_ts, last_aqi = (state.get if state.exists else (None, None))
-    rows = pd.concat(list(pdfs)).sort_values("timestamp")
+    frames = [p for p in pdfs if len(p)]
+    if not frames:
+        return
+    rows = pd.concat(frames).sort_values("timestamp")
     out = []
     for ts, aqi in zip(rows["timestamp"], rows["aqi"]):
         late = last_ts is not None and ts <= last_ts
