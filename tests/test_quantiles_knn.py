@@ -89,3 +89,17 @@ def test_knn_no_shared_coordinate_gets_mean(spark):
     got = knn_impute(df, ["city"], "timestamp", ["a", "b"], k=5).orderBy("timestamp").collect()
     assert got[-1]["a"] == sum(range(6)) / 6  # no donor shares a coordinate -> column mean
     assert got[0]["b"] == 5.0  # b: receivers use the one donor that shares... none; mean of b = 5.0
+
+
+def test_knn_multi_chunk_equals_single_chunk(spark):
+    """Receivers split over several broadcast chunks give the same result as one chunk."""
+    rnd = random.Random(5)
+    cols = ["a", "b", "c"]
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t + dt.timedelta(hours=i), *[None if rnd.random() < 0.25 else float(rnd.randint(0, 50)) for _ in cols])
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, a double, b double, c double") \
+        .withColumn("city", F.when(F.col("a") > 25, "p").otherwise("q"))
+    one = knn_impute(df, ["city"], "timestamp", cols, k=5).orderBy("timestamp").toPandas()
+    many = knn_impute(df, ["city"], "timestamp", cols, k=5, chunk_rows=9).orderBy("timestamp").toPandas()
+    assert np.array_equal(one[cols].to_numpy(dtype=float), many[cols].to_numpy(dtype=float), equal_nan=True)

@@ -89,3 +89,15 @@ def test_asof_and_range_against_brute_force(spark):
         else:
             vals = [v for v in win if v is not None]
             assert rm[(c, t)] == sum(vals) / len(vals)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_halo_random_blocks(spark, seed):
+    rnd = random.Random(seed)
+    df = _series(spark, n=rnd.randint(150, 400), keys=rnd.randint(1, 4), seed=seed, null_share=rnd.random() * 0.5)
+    block = rnd.randint(96, 160)
+    kw = dict(lags=(72, 96), rolls=(72,), min_periods=24, change_rate="chg")
+    a = series_row_features(df, ["city"], "timestamp", ["timestamp"], "aqi", block_rows=block, **kw)
+    b = series_row_features(df, ["city"], "timestamp", ["timestamp"], "aqi", method="plain", **kw)
+    cols = ["city", "timestamp", "aqi_lag_72h", "aqi_lag_96h", "aqi_rolling_72h", "chg"]
+    assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0 and a.count() == b.count()
