@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Entry
 from ..session import table
-from . import chat, mixing, piece_codec, simhash_grid, token_counts
+from . import chat, embeddings, fingerprints, mixing, piece_codec, simhash_grid, token_counts, toxicity, warc
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -113,3 +113,47 @@ from r join kept on r.conv_id is not distinct from kept.conv_id
 @register("op3_chat_format", CHAT_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_conversations(table(spark, sf_dir, "conversations"))
+
+
+WARC_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as digest from pages),
+b as (select digest, max(page_id) as best from p where n >= 1000 group by digest having count(*) > 1)
+select page_id, n::bigint as payload_bytes, p.digest as payload_digest,
+  case when best is not null and page_id is distinct from best then 'revisit' else 'response' end as record_type,
+  case when best is not null and page_id is distinct from best then best end as refers_to
+from p left join b on p.digest = b.digest
+"""
+
+
+@register("op6_warc_chunks", WARC_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+EMBEDDINGS_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from embeddings union select reach.a, l.b from reach join l on reach.b = l.a),
+c as (select a, min(b) as component_id from reach group by a)
+select vec_id, (select count(*) from l where l.a = vec_id)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join c on c.a = vec_id
+"""
+
+
+@register("op7_embedding_near_dedup", EMBEDDINGS_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_table(table(spark, sf_dir, "documents"))
