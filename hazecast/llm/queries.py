@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Entry
 from ..session import table
-from . import chat, embeddings, fingerprints, mixing, piece_codec, simhash_grid, token_counts, toxicity, warc
+from . import chat, embeddings, fingerprints, gru_lm, mixing, piece_codec, simhash_grid, token_counts, toxicity, warc
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -157,3 +157,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+@register("op5_gru_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
