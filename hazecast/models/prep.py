@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.quantiles import exact_quantiles
 from ..operators.windows import global_row_number
+from ..session import broadcast_if_small
 
 
 def chronological_split(df: DataFrame, frac: float = 0.8, keys: Sequence[str] = ("city",), ts: str = "timestamp",
@@ -23,7 +24,7 @@ def chronological_split(df: DataFrame, frac: float = 0.8, keys: Sequence[str] =
     order = list(order or [ts])
     r = global_row_number(df, keys, ts, order, out="_rn")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(n, list(keys))
+    r = r.join(broadcast_if_small(n), list(keys))
     cut = F.floor(F.col("_n") * F.lit(float(frac)))
     train = r.filter(F.col("_rn") <= cut).drop("_rn", "_n")
     test = r.filter(F.col("_rn") > cut).drop("_rn", "_n")
@@ -35,7 +36,7 @@ def tail_validation_split(train: DataFrame, frac: float = 0.2, keys: Sequence[st
     """Last int(frac * n) rows of the training part become validation."""
     r = global_row_number(train, keys, ts, [ts], out="_rn")
     n = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(n, list(keys))
+    r = r.join(broadcast_if_small(n), list(keys))
     v = F.floor(F.col("_n") * F.lit(float(frac)))
     fit = r.filter(F.col("_rn") <= F.col("_n") - v).drop("_rn", "_n")
     val = r.filter(F.col("_rn") > F.col("_n") - v).drop("_rn", "_n")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aqi import aqi_category
+from ..session import broadcast_if_small
 from .quantiles import exact_quantiles
 
 # Fence multipliers and gates.
@@ -33,8 +34,7 @@ def iqr_filter(df: DataFrame, keys: Sequence[str], col: str, k: float | None = N
     if not keys:
         raise ValueError("iqr_filter needs a key (e.g. city)")
     k = k if k is not None else IQR_MULTIPLIER.get(col, DEFAULT_IQR_MULTIPLIER)
-    fences = iqr_fences(df, keys, col, k)
-    j = df.join(fences, list(keys), "left")
+    j = df.join(broadcast_if_small(iqr_fences(df, keys, col, k)), list(keys), "left")  # one row per key
     inside = F.col(col).between(F.col("_lo"), F.col("_hi"))
     if nulls == "keep":
         inside = inside | F.col(col).isNull()

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
 from .windows import carry_last, running_sum
 
 
@@ -93,7 +94,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[s
 
 def with_reference_row(df: DataFrame, ref: DataFrame, keys: Sequence[str] = ("city",)) -> DataFrame:
     """Attach the (one) reference reading of each key to every row of that key."""
-    return df.join(ref, list(keys), "left")
+    return df.join(broadcast_if_small(ref), list(keys), "left")
 
 
 def with_lookup(df: DataFrame, key: Column, mapping: dict, out: str) -> DataFrame:
@@ -111,7 +112,6 @@ def history_features(probes: DataFrame, history: DataFrame, keys: Sequence[str],
     ``default``: name of a probe column used when the history has no row (as-of) or
     the window is empty (range); the probes must be unique per (keys, ts).
     """
-    from ..session import cut_lineage
     prefix = prefix or value
     keys = list(keys)
     p = cut_lineage(probes.select(*keys, ts, *([default] if default else [])).distinct())

@@ -1,13 +1,14 @@
 """Exact, distributed quantiles with linear interpolation (numpy/pandas rule).
 
 Spark's exact ``percentile`` keeps every value of a group in one task; that
-does not survive a key that holds a third of the data.  Here the order
-statistics are found by narrowing: each round an approximate sketch
-(``percentile_approx``, partial aggregation) cuts the current band into up to
-``grid`` bins, exact counts per bin (a small summary) pick the bin holding the
-wanted rank, and the band shrinks by about ``grid`` times.  When a band has at
-most ``band_limit`` rows the rank is read with a window inside that band.
-The result is exact: the sketch only chooses cut points, counting decides.
+does not survive a key that holds a third of the data.  Here equal values are
+counted first (partial aggregation, so a 0/1 column is two rows), the distinct
+(key, value) rows are range-partitioned once, and the row counts per (key,
+partition) - a small summary - say which partition holds a wanted rank.  Only
+that slice is read again, and the rank is found by cumulated counts inside it.
+
+So the work is one sort of the distinct values, whatever the ties, and no
+slice is larger than a range partition.  Nulls and NaN take no part.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, staged_table
 
 
 def lerp(lo: Column, hi: Column, t: Column) -> Column:
@@ -39,73 +40,41 @@ def _targets(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) ->
     return t.select(*keys, "_g.pi", "_g.side", "_g.rank", "_g.t")
 
 
-def order_statistics(x: DataFrame, keys: Sequence[str], targets: DataFrame, grid: int = 1000,
-                     accuracy: int = 100000, band_limit: int = 200_000, max_rounds: int = 8) -> DataFrame:
-    """``x``: (keys, _x) non-null; ``targets``: (keys, pi, side, rank).  Adds ``value``."""
-    tk = [*keys, "pi", "side"]
-    state = targets.select(*tk, "rank", F.col("rank").alias("_r"),
-                           F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"),
-                           F.lit(None).cast("double").alias("_val"))
-    x = x.select(*keys, "_x")
-    grid_p = [i / grid for i in range(1, grid)]
-    for rnd in range(max_rounds):
-        open_ = state.filter(F.col("_val").isNull())
-        inband = (F.col("_lo").isNull() | (F.col("_x") > F.col("_lo"))) & \
-                 (F.col("_hi").isNull() | (F.col("_x") <= F.col("_hi")))
-        band = x.join(open_.select(*tk, "_lo", "_hi", "_r"), list(keys)).filter(inband)
-        if rnd == 0:
-            # the first band is the whole key: per-key statistics, no row x target fan-out
-            per_key = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"),
-                                           F.max("_x").alias("_mx"))
-            stats = open_.select(*tk).join(per_key, list(keys))
-        else:
-            stats = band.groupBy(*tk).agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"),
-                                          F.max("_x").alias("_mx"))
-        stats = stats.persist()
-        big = stats.filter((F.col("_c") > band_limit) & (F.col("_mn") < F.col("_mx")))
-        if big.limit(1).count() == 0:
-            stats.unpersist()
-            break
-        sk = band.join(big.select(*tk), tk).groupBy(*tk).agg(
-            F.percentile_approx("_x", grid_p, accuracy).alias("_b"))
-        bb = band.join(sk, tk).withColumn("_bin", F.expr("size(filter(_b, b -> b < _x))"))
-        bins = bb.groupBy(*tk, "_bin").agg(F.count(F.lit(1)).alias("_bc"), F.first("_b").alias("_b"),
-                                           F.first("_lo").alias("_plo"), F.first("_hi").alias("_phi"),
-                                           F.first("_r").alias("_pr"))
-        w = Window.partitionBy(*tk).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
-        pick = bins.filter((F.col("_before") <= F.col("_pr")) & (F.col("_pr") < F.col("_before") + F.col("_bc")))
-        nb = F.size("_b")
-        new_lo = F.when(F.col("_bin") == 0, F.col("_plo")).otherwise(F.element_at("_b", F.col("_bin").cast("int")))
-        new_hi = F.when(F.col("_bin") >= nb, F.col("_phi")).otherwise(F.element_at("_b", F.col("_bin").cast("int") + 1))
-        upd = pick.select(*tk, new_lo.alias("_nlo"), new_hi.alias("_nhi"), (F.col("_pr") - F.col("_before")).alias("_nr"))
-        state = (state.join(upd, tk, "left")
-                 .select(*tk, "rank",
-                         F.coalesce("_nr", "_r").alias("_r"),
-                         F.when(F.col("_nr").isNotNull(), F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
-                         F.when(F.col("_nr").isNotNull(), F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
-                         "_val"))
-        # the state is tiny (one row per key and rank); a reliable checkpoint keeps
-        # the plan from doubling each round and survives executor loss
-        state = cut_lineage(state)
-        stats.unpersist()
-    inband = (F.col("_lo").isNull() | (F.col("_x") > F.col("_lo"))) & \
-             (F.col("_hi").isNull() | (F.col("_x") <= F.col("_hi")))
-    band = x.join(state.select(*tk, "_lo", "_hi", "_r"), list(keys)).filter(inband)
-    w = Window.partitionBy(*tk).orderBy("_x")
-    got = (band.withColumn("_rn", F.row_number().over(w) - 1).filter(F.col("_rn") == F.col("_r"))
-               .select(*tk, F.col("_x").alias("value")))
-    return state.select(*tk, "rank").join(got, tk, "left")
+def ranked_slices(x: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct (keys, _x) with their count ``_c`` and range partition ``_p``, staged."""
+    counted = x.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    ordered = counted.repartitionByRange(*[F.col(k) for k in keys], F.col("_x"))
+    return staged_table(ordered.withColumn("_p", F.spark_partition_id()), "ranked")
+
+
+def order_statistics(slices: DataFrame, keys: Sequence[str], targets: DataFrame) -> DataFrame:
+    """``targets``: (keys, pi, side, rank).  Adds ``value``, the rank-th smallest (from 0)."""
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (key, partition)
+    parts = (slices.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+             .withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))))
+    wanted = (targets.join(parts, list(keys))
+              .filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_s")))
+              .select(*keys, "pi", "side", "rank", "_p", "_before"))
+    wanted = staged_table(wanted, "ranks")
+    places = wanted.select(*keys, "_p", "_before").distinct()
+    inside = Window.partitionBy(*keys, "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    at = (slices.join(broadcast_if_small(places), [*keys, "_p"])
+          .withColumn("_lo", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))))
+    got = (at.select(*keys, "_p", "_x", "_lo", "_c").join(broadcast_if_small(wanted.drop("_before")), [*keys, "_p"])
+           .filter((F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_lo") + F.col("_c"))))
+    return got.select(*keys, "pi", "side", "rank", F.col("_x").alias("value"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, **kw) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """One row per key: ``n`` (non-null count) and one column per prob."""
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     x = df.select(*keys, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    counts = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    slices = ranked_slices(x, keys)
+    counts = slices.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     tg = _targets(counts, keys, probs)
-    stats = order_statistics(x, keys, tg.select(*keys, "pi", "side", "rank"), **kw)
+    stats = order_statistics(slices, keys, tg.select(*keys, "pi", "side", "rank"))
     both = tg.join(stats, [*keys, "pi", "side", "rank"])
     per = both.groupBy(*keys, "pi").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("_a"),
                                        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("_b"),

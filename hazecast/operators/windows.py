@@ -22,6 +22,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 DEFAULT_BLOCK_ROWS = 8192
 
 
@@ -109,7 +111,7 @@ def fill_forward_backward(df: DataFrame, keys: Sequence[str], ts: str, order: Se
         raise ValueError("fill_forward_backward needs a series key (e.g. city)")
     f = carry_last(df, keys, ts, order, values, unit)
     first = first_non_null(df, keys, order, values)
-    j = f.join(first, list(keys), "left")
+    j = f.join(broadcast_if_small(first), list(keys), "left")
     j = j.withColumns({v: F.coalesce(F.col(v), F.col(f"_first_{v}")) for v in values})
     return j.drop(*[f"_first_{v}" for v in values])
 

@@ -71,7 +71,7 @@ DUP_HOURLY = """dup_hourly AS (
 def obs_hourly_cte(digits: int = 0, policy: str = "reference", name: str = "obs_hourly") -> str:
     return f"""{name} AS (
   SELECT city, timestamp, pm25, n_readings, {aqi_sql('pm25', digits, policy)} AS aqi FROM (
-    SELECT city, timestamp, {emean('pm25_raw', 2)} AS pm25, COUNT(pm25_raw) AS n_readings
+    SELECT city, timestamp, {emean('pm25_raw', 9)} AS pm25, COUNT(pm25_raw) AS n_readings
     FROM dup_hourly GROUP BY city, timestamp) t)"""
 
 
@@ -102,13 +102,13 @@ WEATHER_HOURLY = f"""weather_hourly AS (
         FROM dup_hourly GROUP BY city, timestamp) w)"""
 
 DAILY_LONG = f"""daily_long AS (
-  SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS date, {emean('o_totalprice', 2)} / {D(1000.0)} AS aqi,
+  SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS date, {emean('o_totalprice', 9)} / {D(1000.0)} AS aqi,
          COUNT(*) AS n_readings, {CITY} AS city, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS timestamp
   FROM orders GROUP BY CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP))"""
 
 STATION_HOURLY = f"""station_hourly AS (
   SELECT station, timestamp, pm25, ingest_seq, {aqi_sql('pm25')} AS aqi FROM (
-    SELECT station, timestamp, {emean('pm25_raw', 2)} AS pm25, MAX(ingest_seq) AS ingest_seq
+    SELECT station, timestamp, {emean('pm25_raw', 9)} AS pm25, MAX(ingest_seq) AS ingest_seq
     FROM dup_hourly GROUP BY station, timestamp) s)"""
 
 

@@ -12,6 +12,7 @@ from ..functions import estimate as est
 from ..functions.aqi import pm25_to_aqi
 from ..operators.joins import align_hourly, latest_per_key
 from ..operators.windows import series_row_features
+from ..session import broadcast_if_small
 
 # Column order of the feature table.
 FEATURE_TABLE_COLS = ["city", "timestamp", "aqi", "pm25", "pm10", "no2", "o3", "co", "so2", "temp", "feels_like",
@@ -44,7 +45,7 @@ def estimate_history(weather: DataFrame, reference: DataFrame, version: str = "m
 
     ``reference``: one row per key with ``aqi_now, pm25, pm10, no2, o3, co, so2``.
     """
-    j = weather.join(reference, list(keys), "left")
+    j = weather.join(broadcast_if_small(reference), list(keys), "left")
     ts = F.col("timestamp")
     h, w, t, r = F.col("humidity"), F.col("wind_speed"), F.col("temp"), F.col("precipitation")
     if version == "current":
@@ -76,7 +77,7 @@ def engineer_live(readings: DataFrame, weather: DataFrame, store: DataFrame,
     j = add_calendar(j)
     last = latest_per_key(store.filter(F.col("aqi").isNotNull()), keys, "timestamp", ["aqi"]) \
         .withColumnRenamed("aqi", "_last_aqi")
-    j = j.join(last, list(keys), "left")
+    j = j.join(broadcast_if_small(last), list(keys), "left")
     from ..functions.rounding import round_half_even
     rate = F.when(F.col("_last_aqi").isNull(), F.lit(0.0)).otherwise(round_half_even(F.col("aqi") - F.col("_last_aqi"), 2))
     return j.withColumn("aqi_change_rate", rate).drop("_last_aqi")

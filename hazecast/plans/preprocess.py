@@ -37,10 +37,14 @@ TARGET = "aqi"
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], seq: str = "ingest_seq") -> DataFrame:
-    """One row per key, the last written (largest ``seq``): one aggregate, no sort."""
+    """One row per key, the last written (largest ``seq``): one aggregate, no sort.
+
+    A row without ``seq`` comes before all others; equal ones are told apart by a hash of their
+    values, so the choice does not depend on the partitioning."""
     others = [c for c in df.columns if c not in keys]
     st = F.struct(*[F.col(c) for c in others])
-    return df.groupBy(*keys).agg(F.max_by(st, F.col(seq)).alias("_k")).select(*keys, "_k.*")
+    last = F.struct(F.col(seq).isNotNull(), F.col(seq), F.xxhash64(*others))
+    return df.groupBy(*keys).agg(F.max_by(st, last).alias("_k")).select(*keys, "_k.*")
 
 
 def preprocess(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp",

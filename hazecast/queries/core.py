@@ -174,10 +174,10 @@ def condition_bands(spark, sf):
 
 # ---------------------------------------------------------------- A1-A8, F2, F6, F7
 @register("hourly_mean", W(*C(), body=f"""
-SELECT city, timestamp, {O.emean('pm25_raw', 2)} AS pm25, COUNT(pm25_raw) AS n_readings
+SELECT city, timestamp, {O.emean('pm25_raw', 9)} AS pm25, COUNT(pm25_raw) AS n_readings
 FROM dup_hourly GROUP BY city, timestamp"""), "A1")
 def hourly_mean(spark, sf):
-    return agg.mean_per_timestamp(B.dup_hourly(spark, sf), ["city", "timestamp"], "pm25_raw", "pm25", scale=2)
+    return agg.mean_per_timestamp(B.dup_hourly(spark, sf), ["city", "timestamp"], "pm25_raw", "pm25", scale=9)
 
 
 @register("hour_of_day_mean", W(*C(), body=f"""

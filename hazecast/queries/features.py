@@ -198,7 +198,7 @@ def q_month_lookup(spark, sf):
           "A2 A10")
 def q_quartiles(spark, sf):
     r = B.obs_raw(spark, sf)
-    return exact_quantiles(r, ["station"], "pm25_raw", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], band_limit=500)
+    return exact_quantiles(r, ["station"], "pm25_raw", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
 
 
 @register("iqr_filter", W(*C("raw AS (SELECT station AS city, ingest_seq, pm25_raw FROM obs_raw)",
@@ -260,11 +260,11 @@ def q_append(spark, sf):
 
 
 @register("concat_locations", W(*C(), body=f"""
-SELECT timestamp, {O.emean('pm25_raw', 2)} AS pm25, COUNT(*) AS n_readings FROM (
-  SELECT timestamp, pm25_raw FROM dup_hourly WHERE station = 'click'
-  UNION ALL SELECT timestamp, pm25_raw FROM dup_hourly WHERE station = 'view') u GROUP BY timestamp"""), "U2 A1")
+SELECT timestamp, {O.emean('pm25_raw', 9)} AS pm25, COUNT(*) AS n_readings FROM (
+  SELECT timestamp, pm25_raw FROM dup_hourly WHERE station IN ('click', 'error', 'purchase', 'signup', 'view')) u
+GROUP BY timestamp"""), "U2 A1")
 def q_concat(spark, sf):
     d = B.dup_hourly(spark, sf)
-    parts = [d.filter(F.col("station") == s).select("timestamp", "pm25_raw") for s in ("click", "view")]
+    parts = [d.filter(F.col("station") == s).select("timestamp", "pm25_raw") for s in B.POLLUTANT_OF_STATION]
     from ..operators.aggregates import mean_per_timestamp
-    return mean_per_timestamp(concat_sources(parts), ["timestamp"], "pm25_raw", "pm25", scale=2)
+    return mean_per_timestamp(concat_sources(parts), ["timestamp"], "pm25_raw", "pm25", scale=9)

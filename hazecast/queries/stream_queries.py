@@ -33,7 +33,7 @@ def _events_stream(spark, sf):
 
 
 @register("stream_hourly_means", W(*C(), body=f"""
-SELECT timestamp, {O.emean('pm25_raw', 2)} AS pm25, COUNT(pm25_raw) AS n_readings FROM dup_hourly GROUP BY timestamp"""),
+SELECT timestamp, {O.emean('pm25_raw', 9)} AS pm25, COUNT(pm25_raw) AS n_readings FROM dup_hourly GROUP BY timestamp"""),
           "X2 A1")
 def q_stream_hourly(spark, sf):
     table = scratch_path(spark, "stream-hourly-table")
@@ -48,13 +48,14 @@ SELECT city, timestamp, aqi,
 def q_stream_change(spark, sf):
     h = B.obs_hourly(spark, sf).select("city", "timestamp", "aqi")
     landed = scratch_path(spark, "landed-hourly")
-    week = F.floor((F.dayofmonth("timestamp") - 1) / 7)
-    weeks = [r["w"] for r in h.select(week.alias("w")).distinct().orderBy("w").collect()]  # a handful of weeks
-    for w in weeks:  # one landed file per week, in time order (file mtime decides stream order)
-        h.filter(week == w).coalesce(1).write.mode("append").json(landed)
+    week = F.date_trunc("week", "timestamp")
+    weeks = [r["w"] for r in h.select(week.alias("w")).distinct().orderBy("w").collect()]  # a row per week
+    table, checkpoint = scratch_path(spark, "stream-change-table"), scratch_path(spark, "ckpt-change")
     schema = T.StructType.fromDDL("city STRING, timestamp TIMESTAMP_NTZ, aqi DOUBLE")
-    src = X.stream_files(spark, landed, schema, max_files=1)
-    return X.stream_change_rate(src, scratch_path(spark, "stream-change-table"), scratch_path(spark, "ckpt-change"))
+    for w in weeks:  # a week lands, and a run with the same checkpoint continues from the stored state
+        h.filter(week == F.lit(w)).write.mode("append").json(landed)
+        out = X.stream_change_rate(X.stream_files(spark, landed, schema), table, checkpoint)
+    return out.select("city", "timestamp", "aqi", "aqi_change_rate", "late")
 
 
 @register("stream_upsert", REGISTRY["keep_last"].sql, "X4 K1 W5")

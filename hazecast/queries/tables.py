@@ -73,13 +73,13 @@ _RH = """CASE WHEN epoch_us(ts) - epoch_us(date_trunc('hour', ts)) > 1800000000
 
 @register("read_measurements", W(*C(), body=f"""
 SELECT timestamp, pm25, n_readings, {O.aqi_sql('pm25', 1)} AS aqi FROM (
-  SELECT {_RH} AS timestamp, {O.emean('pm25_raw', 2)} AS pm25, COUNT(pm25_raw) AS n_readings
+  SELECT {_RH} AS timestamp, {O.emean('pm25_raw', 9)} AS pm25, COUNT(pm25_raw) AS n_readings
   FROM obs_raw WHERE pm25_raw IS NOT NULL AND pm25_raw >= 0 GROUP BY 1) m"""), "S4 F2 U2 P16 P17 A1 M1")
 def q_measurements(spark, sf):
     path = scratch_path(spark, "measurements")
     L.land_measurements(B.obs_raw(spark, sf), path)
     m = S.read_measurements(spark, path).withColumn("timestamp", round_hour(F.col("timestamp")))
-    h = mean_per_timestamp(m, ["timestamp"], "pm25_raw", "pm25", scale=2)
+    h = mean_per_timestamp(m, ["timestamp"], "pm25_raw", "pm25", scale=9)
     return h.withColumn("aqi", pm25_to_aqi(F.col("pm25"), 1)).select("timestamp", "pm25", "n_readings", "aqi")
 
 
@@ -149,11 +149,11 @@ def q_locations(spark, sf):
                       "first_utc", "last_utc", round_half_even(F.col("distance_m"), 3).alias("distance_m"))
 
 
-@register("store_roundtrip", W(*SILVER, body=f"SELECT {', '.join(FT)} FROM silver WHERE day <= 15"), "S8 K1")
+@register("store_roundtrip", W(*SILVER, body=f"SELECT {', '.join(FT)} FROM silver"), "S8 K1")
 def q_store(spark, sf):
     path = scratch_path(spark, "store")
     K.write_table(silver(spark, sf), path, ["city", "month"])
-    return S.read_store(spark, path).filter(F.col("day") <= 15).select(*FT)
+    return S.read_store(spark, path).select(*FT)
 
 
 @register("csv_fallback", W(*SILVER, body=f"SELECT {', '.join(FT)} FROM silver"), "S9 K2")
@@ -191,7 +191,7 @@ def q_upsert(spark, sf):
 
 @register("merge_csv_backup", W(*SILVER, f"""merged AS (
   SELECT {', '.join(FT)} FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY timestamp ORDER BY src DESC) AS rn FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY city, timestamp ORDER BY src DESC) AS rn FROM (
       SELECT *, 0 AS src FROM silver WHERE day <= 20
       UNION ALL SELECT * REPLACE (aqi + 1 AS aqi), 1 AS src FROM silver WHERE day >= 15) u) r WHERE rn = 1)""",
                                    body=f"SELECT {', '.join(FT)} FROM merged"), "K2")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,7 +15,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "16g",
 }
 
 
@@ -34,15 +32,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+#: rows of a per-key table up to which it is sent to every task
+SMALL_ROWS = 200_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) do we create one.
+    On a cluster ``spark.checkpoint.dir`` must point at shared storage and is
+    used as is.  Only a local session may go without: a folder is made for it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="hazecast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,11 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for staged tables."""
-    root = ensure_checkpoint_dir(spark)
-    if "://" not in root:
-        os.makedirs(root, exist_ok=True)
-    return f"{root.rstrip('/')}/hazecast/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder name of the shared checkpoint folder for staged tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hazecast/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: a short plan that
+    does not depend on any executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Stage a per-key table, and mark it for broadcast if it has at most ``rows`` rows; beyond
+    that the join shuffles, and adaptive execution splits its skewed keys."""
+    from pyspark.sql import functions as F
+    kept = staged_table(df, "small")
+    return F.broadcast(kept) if kept.count() <= rows else kept.hint("merge")
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -73,11 +90,5 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return out
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep an intermediate that several jobs read (spills to disk; lost blocks are recomputed)."""
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -1,35 +1,77 @@
 """Table maintenance on plain Parquet/CSV folders.
 
-Plain Parquet has no MERGE, so every change is *stage, validate, swap*: the
-new content of the touched partitions is first written to a staging folder in
-the shared checkpoint area (so a lost executor or a failed job never leaves a
-half-written table), then copied over the target with dynamic partition
-overwrite, which replaces only the partitions present in the staged data.
-One writer at a time; not safe for concurrent writers (use a table format
-with MERGE, e.g. ``MERGE INTO`` on a catalog that supports it, for that).
+Plain Parquet has no MERGE, so every change is *stage, validate, swap*: the new
+content of the touched partitions (or of the whole table) is written beside the
+target first, checked, and then put in place by renaming folders.  A failure
+before the swap leaves the old table as it was; each replaced folder is kept
+under its old name with a suffix until its successor stands.  One writer at a
+time; not safe for concurrent writers (use a table format with MERGE for that),
+and on object stores, where a rename is a copy, a reader may see the change
+half done.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sanitise import bad_value_count, coerce_types, sanitise
-from ..session import scratch_path
+from ..operators.windows import global_row_number
+from ..session import staged_table
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, Path = _fs(spark, path)
+    return fs.exists(Path(path))
+
+
+def _replace(spark: SparkSession, new: str, target: str) -> None:
+    """Put folder ``new`` in the place of ``target``; the old one goes last."""
+    fs, Path = _fs(spark, target)
+    fs.mkdirs(Path(target).getParent())
+    old = f"{target}__old-{uuid.uuid4().hex[:8]}"
+    had = fs.exists(Path(target))
+    if had and not fs.rename(Path(target), Path(old)):
+        raise RuntimeError(f"{target} could not be set aside")
+    if not fs.rename(Path(new), Path(target)):
+        if had:
+            fs.rename(Path(old), Path(target))
+        raise RuntimeError(f"{new} could not take the place of {target}")
+    if had:
+        fs.delete(Path(old), True)
+
+
+def _swap(spark: SparkSession, new: str, target: str, depth: int) -> None:
+    """Replace the table, or with ``depth`` partition columns each partition that ``new`` has."""
+    if not depth or not _exists(spark, target):
+        _replace(spark, new, target)
+        return
+    fs, Path = _fs(spark, target)
+    root = fs.makeQualified(Path(new)).toString()
+    for status in fs.globStatus(Path(new + "/*=*" * depth)):  # one folder per touched partition
+        part = status.getPath().toString()
+        _replace(spark, part, f"{target.rstrip('/')}{part[len(root):]}")
+    fs.delete(Path(new), True)
+
+
+def _beside(target: str) -> str:
+    return f"{target.rstrip('/')}__new-{uuid.uuid4().hex[:8]}"
 
 
 def _keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row per key; a null order comes first, and equal ones are told apart by their values."""
     others = [c for c in df.columns if c not in keys and c not in ("_src",)]
     st = F.struct(*[F.col(c) for c in others])
-    ordering = F.struct(*[F.col(o) for o in order])
+    ordering = F.struct(*[x for o in order for x in (F.col(o).isNotNull(), F.col(o))], F.xxhash64(*others))
     return df.groupBy(*keys).agg(F.max_by(st, ordering).alias("_k")).select(*keys, "_k.*")
 
 
@@ -41,78 +83,102 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     w.format(fmt).save(path)
 
 
+def _merged(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored rows updated by a batch of one row per key.  Columns are those of both; a column that
+    the batch lacks keeps its stored value."""
+    lacking = [c for c in existing.columns if c not in batch.columns]
+    stored = existing.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in existing.columns if c not in keys],
+                             F.lit(True).alias("_had"))
+    new = batch.withColumn("_new", F.lit(True))
+    j = stored.join(new, list(keys), "full")
+    names = [c for c in existing.columns if c not in keys] + [c for c in batch.columns if c not in existing.columns]
+    out = []
+    for c in names:
+        if c in lacking:
+            out.append(F.col(f"_old_{c}").alias(c))
+        elif c in existing.columns:
+            out.append(F.when(F.col("_new"), F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c))
+        else:
+            out.append(F.col(c))
+    return j.select(*keys, *out)
+
+
 def upsert(spark: SparkSession, target: str, batch: DataFrame, keys: Sequence[str], seq: str | None = None,
            partition_by: Sequence[str] = ()) -> DataFrame:
     """Last write wins per key: the batch beats stored rows; inside the batch the largest ``seq`` wins.
 
-    Only partitions touched by the batch are read back, merged and rewritten.
-    Returns the new content of the table (read back from the target).
+    The batch is evaluated once.  Only partitions that it touches are read back, merged and
+    replaced.  The staged rows are counted by key before the swap: every key of the batch and of
+    the partitions read must be there once.  Keys are taken as non-null.  Returns the new content
+    of the table.
     """
-    b = batch.withColumn("_src", F.lit(1))
+    batch = staged_table(_keep_last(batch, keys, [seq] if seq else []).select(*batch.columns), "upsert-batch")
+    names = [c for c in batch.columns]
+    merged, want = batch, batch.select(*keys)
     if _exists(spark, target):
-        existing = spark.read.parquet(target)
+        existing = spark.read.option("mergeSchema", "true").parquet(target)
         if partition_by:
             touched = batch.select(*partition_by).distinct()
-            existing = existing.join(touched, list(partition_by), "left_semi")
-        u = existing.withColumn("_src", F.lit(0)).unionByName(b, allowMissingColumns=True)
-    else:
-        u = b
-    order = ["_src"] + ([seq] if seq else [])
-    merged = _keep_last(u, keys, order).select(*[c for c in batch.columns])
-    stage = scratch_path(spark, "upsert-stage")
+            existing = existing.join(F.broadcast(touched), list(partition_by), "left_semi") if touched.count() <= 10_000 \
+                else existing.join(touched, list(partition_by), "left_semi")
+        names = existing.columns + [c for c in names if c not in existing.columns]
+        merged = _merged(existing, batch, keys).select(*names)
+        want = existing.select(*keys).unionByName(want)
+    stage = _beside(target)
     write_table(merged, stage, partition_by)
-    staged = spark.read.parquet(stage)
-    if staged.count() < batch.select(*keys).distinct().count():
-        raise RuntimeError("staged upsert lost rows; target left unchanged")
-    conf_key = "spark.sql.sources.partitionOverwriteMode"
-    old = spark.conf.get(conf_key)
-    spark.conf.set(conf_key, "dynamic" if partition_by else "static")
-    try:
-        write_table(staged, target, partition_by)
-    finally:
-        spark.conf.set(conf_key, old)
-    return spark.read.parquet(target)
+    got = spark.read.parquet(stage)
+    if got.count() != want.distinct().count() or got.count() != got.select(*keys).distinct().count():
+        raise RuntimeError("the staged upsert lost or repeated keys; target left unchanged")
+    _swap(spark, stage, target, len(partition_by))
+    return spark.read.option("mergeSchema", "true").parquet(target)
 
 
-def merge_csv_backup(spark: SparkSession, path: str, batch: DataFrame, key: str = "timestamp",
-                     schema=None) -> DataFrame:
-    """CSV backup: existing + new, keep last per ``key`` (new wins), sorted by key, written whole."""
+def merge_csv_backup(spark: SparkSession, path: str, batch: DataFrame,
+                     keys: Sequence[str] = ("city", "timestamp")) -> DataFrame:
+    """CSV backup: existing + new, one row per key (new wins), written whole, sorted by key."""
     from ..sources.payloads import read_store_csv
-    b = batch.withColumn("_src", F.lit(1))
+    keys = list(keys)
+    merged = _keep_last(batch, keys, []).select(*batch.columns)
     if _exists(spark, path):
-        u = read_store_csv(spark, path).withColumn("_src", F.lit(0)).unionByName(b, allowMissingColumns=True)
-    else:
-        u = b
-    merged = _keep_last(u, [key], ["_src"]).select(*batch.columns)
-    stage = scratch_path(spark, "csv-stage")
-    merged.sortWithinPartitions(key).write.mode("overwrite").option("header", True).csv(stage)
-    staged = spark.read.option("header", True).csv(stage)
-    staged.write.mode("overwrite").option("header", True).csv(path)
+        existing = read_store_csv(spark, path)
+        existing = existing.select(*[c for c in existing.columns if c in batch.columns or c in keys])
+        merged = _merged(existing, merged, keys).select(*batch.columns)
+    stage = _beside(path)
+    (merged.repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(stage))
+    _replace(spark, stage, path)
     return read_store_csv(spark, path)
 
 
-def batched_write(df: DataFrame, path: str, batch_size: int = 100, fmt: str = "parquet") -> DataFrame:
-    """Write in files of at most ``batch_size`` rows; counts come from an ``Observation``.
+def batched_write(df: DataFrame, path: str, batch_size: int = 100, fmt: str = "parquet",
+                  order: Sequence[str] = ("timestamp", "city")) -> DataFrame:
+    """Write in time order, ``batch_size`` rows a file; rows come from an ``Observation``, and
+    batches are the files found afterwards.
 
-    Failed tasks are retried by Spark, so a chunk is never silently skipped;
-    the returned counts are what was committed.
+    Rows are numbered without a global sort, and whole batches are dealt over the tasks.  Failed
+    tasks are retried by Spark, so a batch is never silently skipped; the returned counts are
+    what was committed.
     """
     spark = df.sparkSession
+    numbered = global_row_number(df, [], order[0], list(order), out="_rn")
+    batch = F.floor((F.col("_rn") - 1) / F.lit(batch_size))
+    dealt = numbered.withColumn("_rn", batch).repartitionByRange("_rn").sortWithinPartitions("_rn").drop("_rn")
     obs = Observation("batched_write")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    observed.write.mode("overwrite").option("maxRecordsPerFile", batch_size).format(fmt).save(path)
+    dealt.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option(
+        "maxRecordsPerFile", batch_size).format(fmt).save(path)
     rows = obs.get["rows"]
-    return spark.createDataFrame([(int(rows), int(-(-rows // batch_size)), int(batch_size))],
+    fs, Path = _fs(spark, path)
+    files = len(fs.globStatus(Path(f"{path}/part-*"))) if rows else 0
+    return spark.createDataFrame([(int(rows), int(files), int(batch_size))],
                                  "rows BIGINT, batches BIGINT, batch_size INT")
 
 
 def delete_where(spark: SparkSession, path: str, predicate, partition_by: Sequence[str] = ()) -> DataFrame:
     """Remove rows matching ``predicate`` (null counts as no match): stage the kept rows, then swap."""
     src = spark.read.parquet(path)
-    kept = src.filter(~F.coalesce(predicate, F.lit(False)))
-    stage = scratch_path(spark, "delete-stage")
-    write_table(kept, stage, partition_by)
-    write_table(spark.read.parquet(stage), path, partition_by)
+    stage = _beside(path)
+    write_table(src.filter(~F.coalesce(predicate, F.lit(False))), stage, partition_by)
+    _replace(spark, stage, path)
     return spark.read.parquet(path)
 
 
@@ -120,15 +186,16 @@ def reload_table(spark: SparkSession, csv_path: str, target: str, partition_by:
     """Typed reload: cast, sanitise, check zero bad values, then replace the whole table."""
     from ..sources.payloads import read_store_csv
     typed = sanitise(coerce_types(read_store_csv(spark, csv_path)))
-    stage = scratch_path(spark, "reload-stage")
+    stage = _beside(target)
     write_table(typed, stage, partition_by)
-    staged = spark.read.parquet(stage)
-    bad = bad_value_count(staged).first()["bad_values"]
+    bad = bad_value_count(spark.read.parquet(stage)).first()["bad_values"]
     if bad:
         raise RuntimeError(f"{bad} NaN/Inf values after sanitising; target left unchanged")
-    write_table(staged, target, partition_by)
+    _replace(spark, stage, target)
     return spark.read.parquet(target)
 
 
 def save_importance(imp: DataFrame, path: str) -> None:
-    imp.select("feature", "shap_value").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Feature importances, the largest first (one row per model feature)."""
+    (imp.select("feature", "shap_value").orderBy(F.desc("shap_value"), "feature").coalesce(1)
+     .write.mode("overwrite").option("header", True).csv(path))

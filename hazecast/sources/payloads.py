@@ -7,8 +7,11 @@ filtered out rather than failing the job.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +37,23 @@ def from_epoch_seconds(c: Column) -> Column:
     return F.timestamp_add("SECOND", c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+_ISO = r"^\s*(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?(?:[.,](\d+))?\s*(Z|[+-]\d{2}:?\d{2}|[+-]\d{2})?\s*$"
+
+
 def parse_iso(c: Column) -> Column:
-    """ISO-8601 text ('...Z', fractional seconds, or 'yyyy-MM-ddTHH:mm') -> TIMESTAMP_NTZ; bad text -> null."""
-    t = F.regexp_replace(F.regexp_replace(c, "Z$", ""), "T", " ")
-    return F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")),
-                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")),
-                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm"))).cast("timestamp_ntz")
+    """ISO-8601 text -> UTC wall clock as TIMESTAMP_NTZ; bad text -> null.
+
+    Seconds, a fraction of any length (cut to microseconds) and an offset (``Z``, ``+05:00``,
+    ``+0500``, ``+05``) may follow the minutes; without an offset the text is taken as UTC.
+    """
+    part = lambda k: F.regexp_extract(c, _ISO, k)
+    seconds = F.when(part(3) == "", F.lit(":00")).otherwise(part(3))
+    text = F.concat(part(1), F.lit(" "), part(2), seconds, F.lit("."), F.rpad(F.substring(part(4), 1, 6), 6, "0"))
+    wall = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")).cast("timestamp_ntz")
+    digits = F.regexp_replace(part(5), "[^0-9]", "")
+    minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + \
+        F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    return F.timestamp_add("MINUTE", F.when(part(5).startswith("-"), minutes).otherwise(-minutes), wall)
 
 
 def _json(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -147,13 +161,13 @@ def read_store(spark: SparkSession, path: str | None = None, jdbc_url: str | Non
     """Feature store: Parquet table (partition-pruned scans) or JDBC with a partitioned range read."""
     if path is not None:
         return spark.read.parquet(path)
+    if bounds is None:
+        raise ValueError("a JDBC read needs bounds (lowest and highest timestamp) to be split over tasks")
     reader = spark.read.format("jdbc").option("url", jdbc_url).option("dbtable", table)
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)
-    if bounds:
-        reader = (reader.option("partitionColumn", "timestamp").option("lowerBound", bounds[0])
-                  .option("upperBound", bounds[1]).option("numPartitions", num_partitions))
-    return reader.load()
+    return (reader.option("partitionColumn", "timestamp").option("lowerBound", bounds[0])
+            .option("upperBound", bounds[1]).option("numPartitions", num_partitions).load())
 
 
 def read_store_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -166,27 +180,33 @@ def read_store_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_with_fallback(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
-    """Use ``primary`` unless it cannot be resolved (missing path, unreachable store)."""
+    """Use ``primary`` unless its source is missing or cannot be reached when it is resolved.
+
+    Only Spark's errors of analysis and of the data source select the fallback; other errors,
+    such as those of a program, are raised.
+    """
     try:
         df = primary()
         df.schema  # resolve now, so a missing source fails here
         return df
-    except Exception:  # noqa: BLE001 - any resolution failure selects the fallback
+    except (AnalysisException, Py4JJavaError) as e:
+        warnings.warn(f"store not readable, falling back: {str(e).splitlines()[0]}", stacklevel=2)
         return fallback()
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Model metadata JSON; empty or corrupt files give an empty frame."""
+    """Model metadata JSON, in one line or indented.  A missing registry gives an empty frame; one
+    that cannot be read gives an empty frame with a warning."""
     from ..models.train import REGISTRY_SCHEMA
     try:
-        d = spark.read.schema(REGISTRY_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    except Exception:  # noqa: BLE001 - missing registry
+        files = spark.read.text(path, wholetext=True)  # one small file per registry version
+    except AnalysisException:
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return d.filter(F.col("best_model").isNotNull())
-
-
-def registry_results(meta: DataFrame) -> DataFrame:
-    return meta.select("best_model", F.explode("all_results").alias("r")).select("best_model", "r.*")
+    d = files.select(F.from_json("value", REGISTRY_SCHEMA).alias("m")).select("m.*")
+    d = d.filter(F.col("best_model").isNotNull())
+    if d.limit(1).count() == 0 and files.filter(F.trim("value") != "").limit(1).count():
+        warnings.warn(f"registry {path} is not readable", stacklevel=2)
+    return d
 
 
 def read_importance(spark: SparkSession, path: str) -> DataFrame:

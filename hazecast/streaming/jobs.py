@@ -1,16 +1,18 @@
 """Structured Streaming versions of the hourly ingest.
 
-All jobs are restartable: progress lives in a checkpoint folder under the
-shared ``spark.checkpoint.dir``; sinks are idempotent (upsert keyed by the
-row key with an explicit ingest order), so a replayed micro-batch changes
-nothing.  ``trigger(availableNow=True)`` drains what has landed and stops,
-which is how a scheduled hourly run uses them.
+All jobs are restartable: progress lives in the checkpoint folder they are given,
+so a later run continues where the last one stopped.  Sinks are idempotent
+(upserts keyed by the row key with an explicit order), so a replayed micro-batch
+changes nothing, and late rows correct what they belong to: none is dropped.
+``trigger(availableNow=True)`` drains what has landed and stops, which is how a
+scheduled hourly run uses them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema as S
-from ..functions.aqi import aqi_category
-from ..functions.rounding import exact_mean
+from ..functions.aqi import aqi_category, pm25_to_aqi
+from ..functions.calendar import trunc_hour
+from ..functions.rounding import exact_mean, round_half_even
 from ..session import scratch_path
 from ..sinks.files import upsert
 
-WATERMARK = "2 hours"
-
 
 def _drain(writer, checkpoint: str):
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -44,19 +45,16 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     return r.load(path)
 
 
-def to_event_time(ts_ntz) -> "F.Column":
-    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ); the cast keeps the wall clock."""
-    return ts_ntz.cast("timestamp")
-
+def _month(ts):
+    """Partition value of the tables that streams keep: only touched months are rewritten."""
+    return F.date_format(ts, "yyyy-MM")
 
-def from_event_time(ts) -> "F.Column":
-    return ts.cast("timestamp_ntz")
 
+def stream_ingest(spark: SparkSession, landed: str, table: str, city: str, checkpoint: str | None = None) -> DataFrame:
+    """Landed air-pollution payloads -> canonical rows -> upserted table (key city, timestamp).
 
-def stream_ingest(spark: SparkSession, landed: str, table: str, city: str) -> DataFrame:
-    """Landed air-pollution payloads -> canonical rows -> upserted table (key city, timestamp)."""
-    from ..functions.aqi import pm25_to_aqi
-    from ..functions.rounding import round_half_even
+    With the ``checkpoint`` of an earlier run only files that landed since are read.
+    """
     from ..sources.payloads import COMPONENT_NAMES, from_epoch_seconds
     src = stream_files(spark, landed, S.AIR_POLLUTION).filter(F.size("list") > 0)
     comp = F.get(F.col("list"), 0)["components"]
@@ -64,29 +62,35 @@ def stream_ingest(spark: SparkSession, landed: str, table: str, city: str) -> Da
                       F.col("dt").alias("ingest_seq"),
                       *[F.coalesce(comp[s], F.lit(0.0)).alias(n) for s, n in COMPONENT_NAMES.items()])
     rows = rows.withColumn("aqi", pm25_to_aqi(F.col("pm25"))).withColumns(
-        {n: round_half_even(F.col(n), 2) for n in COMPONENT_NAMES.values()})
+        {n: round_half_even(F.col(n), 2) for n in COMPONENT_NAMES.values()}).withColumn("_month", _month("timestamp"))
 
     def sink(batch: DataFrame, batch_id: int):
-        upsert(batch.sparkSession, table, batch, ["city", "timestamp"], "ingest_seq")
-    _drain(rows.writeStream.foreachBatch(sink), scratch_path(spark, "ckpt-ingest"))
-    return spark.read.parquet(table)
+        upsert(batch.sparkSession, table, batch, ["city", "timestamp"], "ingest_seq", ["_month"])
+    _drain(rows.writeStream.foreachBatch(sink), checkpoint or scratch_path(spark, "ckpt-ingest"))
+    return spark.read.parquet(table).drop("_month")
+
 
+def stream_hourly(events: DataFrame, table: str, checkpoint: str, scale: int = 9) -> DataFrame:
+    """Hourly means of readings (event_id, ts, value), right however late a reading comes.
 
-def stream_hourly(events: DataFrame, table: str, checkpoint: str, scale: int = 2) -> DataFrame:
-    """Event-time hourly means with a watermark; updated windows are upserted (replay-safe)."""
+    Each micro-batch is upserted by reading id into a table of readings beside ``table``,
+    partitioned by day; then the hours that it touches are computed anew from all their readings
+    and upserted.  A replay or a second run adds nothing twice.
+    """
     spark = events.sparkSession
-    ev = events.select(to_event_time(F.col("ts")).alias("et"), F.col("value"))
-    agg = (ev.withWatermark("et", WATERMARK).groupBy(F.window("et", "1 hour").alias("w"))
-             .agg(F.sum(F.col("value").cast(f"decimal(18,{scale})")).alias("s"), F.count("value").alias("n")))
-    out = agg.select(from_event_time(F.col("w.start")).alias("timestamp"),
-                     (F.col("s").cast("double") / F.nullif(F.col("n"), F.lit(0))).alias("pm25"),
-                     F.col("n").alias("n_readings"))
+    raw = f"{table.rstrip('/')}-readings"
+    hour = trunc_hour(F.col("ts"))
 
     def sink(batch: DataFrame, batch_id: int):
-        b = batch.withColumn("_batch", F.lit(int(batch_id)).cast("long"))
-        upsert(batch.sparkSession, table, b, ["timestamp"], "_batch")
-    _drain(out.writeStream.outputMode("update").foreachBatch(sink), checkpoint)
-    return spark.read.parquet(table).drop("_batch")
+        own = batch.sparkSession
+        readings = batch.select("event_id", "ts", "value", hour.alias("timestamp")).withColumn("_day", F.to_date("ts"))
+        hours = readings.select("timestamp", "_day").distinct()
+        kept = upsert(own, raw, readings, ["event_id", "ts"], None, ["_day"])
+        means = (kept.join(hours, ["_day", "timestamp"], "left_semi").groupBy("timestamp")
+                 .agg(exact_mean(F.col("value"), scale).alias("pm25"), F.count("value").alias("n_readings")))
+        upsert(own, table, means.withColumn("_month", _month("timestamp")), ["timestamp"], None, ["_month"])
+    _drain(events.select("event_id", "ts", "value").writeStream.foreachBatch(sink), checkpoint)
+    return spark.read.parquet(table).drop("_month")
 
 
 CHANGE_STATE = "last_ts timestamp_ntz, last_aqi double"
@@ -94,45 +98,53 @@ CHANGE_OUT = "city string, timestamp timestamp_ntz, aqi double, aqi_change_rate
 
 
 def _change_rate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per city: index minus the last stored index; first 0; late rows do not move the state."""
+    """Per city: index minus the last index before; first 0; late rows do not move the state."""
     last_ts, last_aqi = (state.get if state.exists else (None, None))
     frames = [p for p in pdfs if len(p)]
     if not frames:
         return
-    rows = pd.concat(frames).sort_values("timestamp")
-    out = []
-    for ts, aqi in zip(rows["timestamp"], rows["aqi"]):
-        late = last_ts is not None and ts <= last_ts
-        if last_aqi is None or aqi is None or pd.isna(aqi):
-            rate = 0.0
-        else:
-            rate = round(float(aqi) - float(last_aqi), 2)
-        out.append((key[0], ts, aqi, rate, bool(late)))
-        if not late and aqi is not None and not pd.isna(aqi):
-            last_ts, last_aqi = ts, float(aqi)
-    if last_ts is not None:
-        state.update((last_ts, last_aqi))
-    yield pd.DataFrame(out, columns=["city", "timestamp", "aqi", "aqi_change_rate", "late"])
+    rows = pd.concat(frames).sort_values("timestamp", kind="stable").reset_index(drop=True)
+    ts, aqi = rows["timestamp"], rows["aqi"].astype("float64")
+    start = pd.Timestamp.min if last_ts is None else pd.Timestamp(last_ts)
+    moves = aqi.notna() & (ts > start)
+    moves &= ~ts.where(moves).duplicated() | ts.where(moves).isna()
+    # state before each row: that of the last row that moved it
+    before_ts = ts.where(moves).ffill().shift(1).fillna(start)
+    before_aqi = aqi.where(moves).ffill().shift(1).fillna(np.nan if last_aqi is None else float(last_aqi))
+    known = last_ts is not None
+    late = (ts <= before_ts) & (known | moves.cumsum().shift(1, fill_value=0).gt(0))
+    rate = (aqi - before_aqi).round(2).fillna(0.0)
+    if moves.any():
+        at = int(np.flatnonzero(moves.to_numpy())[-1])
+        state.update((ts.iloc[at], float(aqi.iloc[at])))
+    yield pd.DataFrame({"city": key[0], "timestamp": ts, "aqi": rows["aqi"], "aqi_change_rate": rate, "late": late.astype(bool)})
 
 
 def stream_change_rate(readings: DataFrame, table: str, checkpoint: str) -> DataFrame:
-    """Stateful change rate (``applyInPandasWithState``; state = last time and index per city)."""
+    """Stateful change rate (``applyInPandasWithState``; state = last time and index per city).
+
+    Rows are upserted by (city, timestamp) with their micro-batch as order, so a retried batch
+    repeats none; of several readings of one hour in one batch the first moves the state and the
+    last by value is kept."""
     spark = readings.sparkSession
     out = readings.groupBy("city").applyInPandasWithState(
         _change_rate, CHANGE_OUT, CHANGE_STATE, "Update", GroupStateTimeout.NoTimeout)
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.write.mode("append").parquet(table)
+        b = batch.withColumns({"_batch": F.lit(int(batch_id)).cast("long"), "_month": _month("timestamp")})
+        upsert(batch.sparkSession, table, b, ["city", "timestamp"], "_batch", ["_month"])
     _drain(out.writeStream.outputMode("update").foreachBatch(sink), checkpoint)
-    return spark.read.parquet(table)
+    return spark.read.parquet(table).drop("_batch", "_month")
 
 
-def stream_upsert(rows: DataFrame, table: str, checkpoint: str, keys: Sequence[str], seq: str) -> DataFrame:
-    """Replay-safe last-write-wins sink: every micro-batch is upserted by key, ordered by ``seq``."""
+def stream_upsert(rows: DataFrame, table: str, checkpoint: str, keys: Sequence[str], seq: str,
+                  partition_by: Sequence[str] = ()) -> DataFrame:
+    """Replay-safe last-write-wins sink: every micro-batch is upserted by key, ordered by ``seq``.
+    With ``partition_by`` only the partitions that a batch touches are rewritten."""
     spark = rows.sparkSession
 
     def sink(batch: DataFrame, batch_id: int):
-        upsert(batch.sparkSession, table, batch, list(keys), seq)
+        upsert(batch.sparkSession, table, batch, list(keys), seq, list(partition_by))
     _drain(rows.writeStream.foreachBatch(sink), checkpoint)
     return spark.read.parquet(table)
 

@@ -12,8 +12,7 @@ from hazecast.operators.knn import knn_impute
 from hazecast.operators.quantiles import exact_quantiles
 
 
-@pytest.mark.parametrize("band_limit", [10, 100000])
-def test_exact_quantiles_match_numpy(spark, band_limit):
+def test_exact_quantiles_match_numpy(spark):
     rnd = np.random.default_rng(3)
     rows = []
     for k, n in [("a", 1), ("b", 2), ("c", 537), ("d", 2000)]:
@@ -22,14 +21,28 @@ def test_exact_quantiles_match_numpy(spark, band_limit):
             vals[:500] = 42.0  # heavy ties
         rows += [(k, float(v)) for v in vals]
     df = spark.createDataFrame(rows, "k string, x double")
-    q = exact_quantiles(df, ["k"], "x", [0.25, 0.5, 0.75, 0.1], ["q25", "q50", "q75", "q10"],
-                        band_limit=band_limit, grid=16).collect()
+    q = exact_quantiles(df, ["k"], "x", [0.25, 0.5, 0.75, 0.1], ["q25", "q50", "q75", "q10"]).collect()
     for r in q:
         xs = np.array([v for kk, v in rows if kk == r["k"]])
         for p, name in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.1, "q10")]:
             assert r[name] == np.percentile(xs, p * 100), (r["k"], name)
 
 
+def test_exact_quantiles_of_tied_columns(spark):
+    """A 0/1 column and one with 90 % ties: equal values are counted, not sorted one by one."""
+    df = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise("other").alias("k"),
+        (F.col("id") % 7 == 0).cast("double").alias("bit"),
+        F.when(F.col("id") % 10 != 0, 5.0).otherwise(F.col("id") / 7).alias("tied"))
+    pdf = df.toPandas()
+    for col in ("bit", "tied"):
+        for r in exact_quantiles(df, ["k"], col, [0.0, 0.5, 0.9, 0.95, 1.0], ["a", "b", "c", "d", "e"]).collect():
+            xs = pdf[pdf["k"] == r["k"]][col].to_numpy()
+            assert [r[n] for n in "abcde"] == pytest.approx(np.percentile(xs, [0, 50, 90, 95, 100]).tolist(), rel=1e-12)
+    from hazecast.operators.quantiles import ranked_slices
+    assert ranked_slices(df.select("k", F.col("bit").alias("_x")), ["k"]).count() == 4  # all that is sorted
+
+
 def test_iqr_gate_and_nulls(spark):
     base = [float(i) for i in range(20)] + [1000.0]
     rows20 = [("g20", v) for v in base[:19]] + [("g20", 1000.0)]  # 20 values: gate closed
