@@ -7,17 +7,16 @@ squared difference; the k nearest donors (ties: earlier timestamp first)
 give the mean of their c values; a row with no donor at a defined distance
 gets the column mean.
 
-Plan: receivers (rows with a null) are split into chunks of bounded size that
-are broadcast (size checked); every donor partition computes a partial top-k
-per receiver and column with numpy (``mapInPandas``), emitting at most k rows
-per receiver and column and partition (ties at the k-th distance included);
-partial lists are merged with a window over (receiver, column), bounded by
-k x partitions.  No receiver-donor pair is materialised or shuffled.
+Plan: per key, receivers (rows with a null) and donors are dealt by hash into
+tiles of about ``RECEIVER_TILE`` and ``DONOR_TILE`` rows.  Every pair of tiles
+of a key is one group, which finds its k nearest donors per receiver and column
+with numpy, so a task holds one tile pair whatever the key's size; a window
+over (receiver, column) merges k rows per tile pair.  Nothing passes through
+the driver, and no receiver-donor pair is shuffled.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -28,108 +27,85 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rounding import exact_mean
+from ..session import broadcast_if_small, staged_table
 
-RECEIVER_CHUNK_ROWS = 100_000
-RECEIVER_CHUNK_BYTES = 64 * 1024 * 1024
+#: rows of a tile, about; a distance matrix has their product
+RECEIVER_TILE, DONOR_TILE = 512, 8192
 
 
-def _partial_topk(recv: pd.DataFrame, keys: list[str], ts: str, cols: list[str], k: int):
-    ncols = float(len(cols))
-    groups = {(kv if isinstance(kv, tuple) else (kv,)): g for kv, g in recv.groupby(keys, sort=False)} \
-        if keys else {(): recv}
-
-    def fn(batches):
-        for don in batches:
-            if don.empty:
-                continue
-            dgroups = don.groupby(keys, sort=False) if keys else [((), don)]
-            out = []
-            for kv, dg in dgroups:
-                kv = kv if isinstance(kv, tuple) else (kv,)
-                rg = groups.get(kv)
-                if rg is None or rg.empty:
-                    continue
-                R = rg[cols].to_numpy(dtype="float64")
-                Dm = dg[cols].to_numpy(dtype="float64")
-                acc = None
-                shared = None
-                for j in range(len(cols)):
-                    diff = R[:, j][:, None] - Dm[:, j][None, :]
-                    sq = diff * diff
-                    ok = ~np.isnan(sq)
-                    sq = np.where(ok, sq, 0.0)
-                    acc = sq if acc is None else acc + sq
-                    shared = ok.astype(np.int64) if shared is None else shared + ok
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = (ncols / shared) * acc
-                dist[shared == 0] = np.nan
-                dts = dg[ts].to_numpy()
-                for j, c in enumerate(cols):
-                    rmiss = np.isnan(R[:, j])
-                    dpres = ~np.isnan(Dm[:, j])
-                    if not rmiss.any() or not dpres.any():
-                        continue
-                    ridx = np.flatnonzero(rmiss)
-                    didx = np.flatnonzero(dpres)
-                    sub = dist[np.ix_(ridx, didx)]
-                    vals = Dm[didx, j]
-                    for a, ri in enumerate(ridx):
-                        row = sub[a]
-                        fin = np.flatnonzero(~np.isnan(row))
-                        if fin.size == 0:
-                            continue
-                        if fin.size > k:
-                            kth = np.partition(row[fin], k - 1)[k - 1]
-                            fin = fin[row[fin] <= kth]
-                        rrow = rg.iloc[ri]
-                        for b in fin:
-                            out.append((*[rrow[x] for x in keys], rrow[ts], c, float(row[b]),
-                                        dts[didx[b]], float(vals[b])))
-            if out:
-                yield pd.DataFrame(out, columns=[*keys, ts, "_col", "_dist", "_dts", "_dv"])
-    return fn
+def _tile_topk(pdf: pd.DataFrame, keys: list[str], ts: str, cols: list[str], k: int) -> pd.DataFrame:
+    """The k nearest donors, by (distance, time), of each receiver and missing column of a tile pair."""
+    names = [*keys, ts, "_col", "_dist", "_dts", "_dv"]
+    recv = pdf[pdf["_side"] == 0]
+    don = pdf[pdf["_side"] == 1].sort_values(ts, kind="stable")
+    r, d = recv[cols].to_numpy(dtype="float64"), don[cols].to_numpy(dtype="float64")
+    if not len(r) or not len(d):
+        return pd.DataFrame(columns=names)
+    acc, shared = np.zeros((len(r), len(d))), np.zeros((len(r), len(d)), np.int16)
+    for j in range(len(cols)):
+        diff = r[:, j][:, None] - d[:, j][None, :]
+        diff *= diff
+        ok = ~np.isnan(diff)
+        acc += np.where(ok, diff, 0.0)
+        shared += ok
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dist = (float(len(cols)) / shared) * acc
+    dist[shared == 0] = np.inf
+    out = []
+    for j, c in enumerate(cols):
+        ri, di = np.flatnonzero(np.isnan(r[:, j])), np.flatnonzero(~np.isnan(d[:, j]))
+        if not len(ri) or not len(di):
+            continue
+        sub = dist[np.ix_(ri, di)]
+        kth = np.partition(sub, k - 1, axis=1)[:, k - 1:k] if len(di) > k else np.full((len(ri), 1), np.inf)
+        row, at = np.nonzero((sub <= kth) & np.isfinite(sub))  # donors are in order of time
+        order = np.lexsort((at, sub[row, at], row))
+        row, at = row[order], at[order]
+        first = np.searchsorted(row, row)  # where each receiver's donors begin
+        near = np.arange(len(row)) - first < k
+        row, at = row[near], at[near]
+        part = recv.iloc[ri[row]][[*keys, ts]].reset_index(drop=True)
+        part["_col"], part["_dist"] = c, sub[row, at]
+        part["_dts"], part["_dv"] = don[ts].to_numpy()[di[at]], d[di[at], j]
+        out.append(part)
+    return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
 
 def knn_impute(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], k: int = 5,
-               chunk_rows: int = RECEIVER_CHUNK_ROWS) -> DataFrame:
+               receiver_tile: int = RECEIVER_TILE, donor_tile: int = DONOR_TILE) -> DataFrame:
     """Fill nulls in ``cols``; rows are identified by (keys, ts)."""
     keys, cols = list(keys), list(cols)
-    spark = df.sparkSession
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
     any_val = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols])
     base = df.select(*keys, ts, *[F.col(c).cast("double").alias(c) for c in cols])
-    receivers = base.filter(any_null)
-    donors = base.filter(any_val)
-    n_recv = receivers.count()
-    row_bytes = 8 * (len(cols) + 2) + 32 * len(keys)
-    per_chunk = max(1, min(chunk_rows, RECEIVER_CHUNK_BYTES // row_bytes))
-    nchunks = max(1, math.ceil(n_recv / per_chunk))
+    base = staged_table(base.withColumns({"_recv": any_null, "_don": any_val}), "knn-rows")
+    # one row per key: its tiles, and the column means
+    stats = base.groupBy(*keys).agg(
+        F.ceil(F.sum(F.col("_recv").cast("long")) / F.lit(receiver_tile)).alias("_rt"),
+        F.ceil(F.sum(F.col("_don").cast("long")) / F.lit(donor_tile)).alias("_dt"),
+        *[exact_mean(F.col(c)).alias(f"_mean_{c}") for c in cols])
+    stats = broadcast_if_small(stats)
+    sized = base.join(stats.select(*keys, "_rt", "_dt"), keys).filter((F.col("_rt") > 0) & (F.col("_dt") > 0))
+    own = lambda n: F.pmod(F.xxhash64(ts, *cols), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    recv = sized.filter("_recv").withColumn("_r", own("_rt")).withColumn("_d", every("_dt")).withColumn("_side", F.lit(0))
+    don = sized.filter("_don").withColumn("_d", own("_dt")).withColumn("_r", every("_rt")).withColumn("_side", F.lit(1))
+    names = [*keys, ts, *cols, "_r", "_d", "_side"]
     schema = T.StructType([*[base.schema[x] for x in keys], base.schema[ts],
                            T.StructField("_col", T.StringType()), T.StructField("_dist", T.DoubleType()),
                            T.StructField("_dts", base.schema[ts].dataType), T.StructField("_dv", T.DoubleType())])
-    partials = []
-    if n_recv:
-        for chunk in range(nchunks):
-            rc = receivers if nchunks == 1 else \
-                receivers.filter(F.pmod(F.xxhash64(*keys, ts), F.lit(nchunks)) == chunk)
-            pdf = rc.toPandas()  # bounded: at most per_chunk rows (size checked above)
-            partials.append(donors.mapInPandas(_partial_topk(pdf, keys, ts, cols, k), schema))
-    if partials:
-        part = reduce(lambda a, b: a.unionByName(b), partials)
-        rk = [*keys, ts, "_col"]
-        w = Window.partitionBy(*rk).orderBy("_dist", "_dts")
-        top = part.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
-        agg = top.groupBy(*rk).agg(*[F.max(F.when(F.col("_rank") == i, F.col("_dv"))).alias(f"_v{i}")
-                                      for i in range(1, k + 1)], F.count(F.lit(1)).alias("_nv"))
-        total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_v{i}"), F.lit(0.0)) for i in range(1, k + 1)])
-        agg = agg.select(*keys, ts, "_col", (total / F.col("_nv")).alias("_imp"))
-        wide = agg.groupBy(*keys, ts).agg(*[F.max(F.when(F.col("_col") == c, F.col("_imp"))).alias(f"_knn_{c}")
-                                              for c in cols])
-    else:
-        wide = spark.createDataFrame([], T.StructType([*[base.schema[x] for x in keys], base.schema[ts],
-                                                       *[T.StructField(f"_knn_{c}", T.DoubleType()) for c in cols]]))
-    means = df.groupBy(*keys).agg(*[exact_mean(F.col(c)).alias(f"_mean_{c}") for c in cols])
-    j = df.join(wide, [*keys, ts], "left").join(means, keys, "left")
+    part = (recv.select(*names).unionByName(don.select(*names)).groupBy(*keys, "_r", "_d")
+            .applyInPandas(lambda pdf: _tile_topk(pdf, keys, ts, cols, k), schema))
+    rk = [*keys, ts, "_col"]
+    w = Window.partitionBy(*rk).orderBy("_dist", "_dts")
+    top = part.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
+    agg = top.groupBy(*rk).agg(*[F.max(F.when(F.col("_rank") == i, F.col("_dv"))).alias(f"_v{i}")
+                                  for i in range(1, k + 1)], F.count(F.lit(1)).alias("_nv"))
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_v{i}"), F.lit(0.0)) for i in range(1, k + 1)])
+    agg = agg.select(*keys, ts, "_col", (total / F.col("_nv")).alias("_imp"))
+    wide = agg.groupBy(*keys, ts).agg(*[F.max(F.when(F.col("_col") == c, F.col("_imp"))).alias(f"_knn_{c}")
+                                          for c in cols])
+    j = df.join(wide, [*keys, ts], "left").join(stats.drop("_rt", "_dt"), keys, "left")
     j = j.withColumns({c: F.when(F.col(c).isNull(), F.coalesce(F.col(f"_knn_{c}"), F.col(f"_mean_{c}")))
                         .otherwise(F.col(c)) for c in cols})
     return j.drop(*[f"_knn_{c}" for c in cols], *[f"_mean_{c}" for c in cols])

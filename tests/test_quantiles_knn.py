@@ -104,8 +104,8 @@ def test_knn_no_shared_coordinate_gets_mean(spark):
     assert got[0]["b"] == 5.0  # b: receivers use the one donor that shares... none; mean of b = 5.0
 
 
-def test_knn_multi_chunk_equals_single_chunk(spark):
-    """Receivers split over several broadcast chunks give the same result as one chunk."""
+def test_knn_many_tiles_equal_one(spark):
+    """Receivers and donors dealt over many tiles give the same result as one tile pair."""
     rnd = random.Random(5)
     cols = ["a", "b", "c"]
     t = dt.datetime(2024, 1, 1)
@@ -114,5 +114,5 @@ def test_knn_multi_chunk_equals_single_chunk(spark):
     df = spark.createDataFrame(rows, "timestamp timestamp_ntz, a double, b double, c double") \
         .withColumn("city", F.when(F.col("a") > 25, "p").otherwise("q"))
     one = knn_impute(df, ["city"], "timestamp", cols, k=5).orderBy("timestamp").toPandas()
-    many = knn_impute(df, ["city"], "timestamp", cols, k=5, chunk_rows=9).orderBy("timestamp").toPandas()
+    many = knn_impute(df, ["city"], "timestamp", cols, k=5, receiver_tile=9, donor_tile=17).orderBy("timestamp").toPandas()
     assert np.array_equal(one[cols].to_numpy(dtype=float), many[cols].to_numpy(dtype=float), equal_nan=True)
