@@ -108,7 +108,8 @@ def linked_pairs(fps: DataFrame) -> DataFrame:
               .select(F.col("fp").alias("a"), "fine", _cell(*[F.col(f"c{i}") + F.col(f"d.d{i}") for i in range(4)]).alias("cell"),
                       (F.abs("d.d0") + F.abs("d.d1") + F.abs("d.d2") + F.abs("d.d3") == 0).alias("own")))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    return (probes.join(entered, ["fine", "cell"])
+    # Estimates do not see how explode() multiplies rows, so broadcasting is ruled out.
+    return (probes.join(entered.hint("merge"), ["fine", "cell"])
             .where(near & (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b")))).select("a", "b"))
 
 
