@@ -46,12 +46,12 @@ def band_slope(band) -> float:
     return (i_hi - i_lo) / (c_hi - c_lo)
 
 
-def pm25_to_aqi(pm25: Column, digits: int = 0, gap_policy: str = "reference") -> Column:
+def pm25_to_aqi(pm25: Column, digits: int = 0, gap_policy: str = "truncate") -> Column:
     """Piecewise-linear index from a PM2.5 concentration.
 
-    ``gap_policy="reference"``: values between bands (12.0 < x < 12.1, ...) match
-    no band and get the beyond-scale value.  ``"truncate"``: the concentration is
-    truncated to 0.1 first, so gaps cannot occur.  Null, NaN and negative
+    ``gap_policy="truncate"`` (default): the concentration is truncated to 0.1 first, so
+    no value falls between two bands.  ``"reference"``: values between bands (12.0 < x < 12.1,
+    ...) match no band and get the beyond-scale value.  Null, NaN and negative
     inputs give null.
     """
     if gap_policy not in GAP_POLICIES:

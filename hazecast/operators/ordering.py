@@ -28,8 +28,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[s
 
 
 def future_head(df: DataFrame, now: Column, ts: str = "timestamp", n: int = 72, keys: Sequence[str] = ("city",),
-                by: str = "rows") -> DataFrame:
-    """Rows after ``now``: the first ``n`` per key (``by="rows"``) or those within ``n`` hours."""
+                by: str = "hours") -> DataFrame:
+    """Rows after ``now``: those within ``n`` hours, or (``by="rows"``) the first ``n`` per key."""
     fut = df.filter(F.col(ts) > now)
     if by == "hours":
         return fut.filter(F.col(ts) <= now + F.expr(f"INTERVAL {int(n)} HOURS"))

@@ -26,7 +26,7 @@ def add_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def build_history(weather: DataFrame, readings: DataFrame, keys: Sequence[str] = ("city",),
-                  digits: int = 0, gap_policy: str = "reference", method: str = "halo") -> DataFrame:
+                  digits: int = 0, gap_policy: str = "truncate", method: str = "halo") -> DataFrame:
     """Measured history: align on the hour, index from PM2.5, calendar, change rate, drop null index."""
     j = align_hourly(weather, readings, [*keys, "timestamp"])
     j = j.withColumn("aqi", pm25_to_aqi(F.col("pm25"), digits, gap_policy))

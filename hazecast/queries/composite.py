@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import oracle as O
 from ..catalog import register
 from ..plans.history import build_history, engineer_live, estimate_history
-from ..plans.preprocess import FEATURE_COLS, preprocess, select_features
+from ..plans.preprocess import PARITY, FEATURE_COLS, preprocess, select_features
 from ..sources import bindings as B
 
 W = O.with_ctes
@@ -16,7 +16,7 @@ C = O.base_ctes
 
 
 def silver(spark, sf, method="halo"):
-    return build_history(B.weather_hourly(spark, sf), B.params_hourly(spark, sf), method=method)
+    return build_history(B.weather_hourly(spark, sf), B.params_hourly(spark, sf), gap_policy="reference", method=method)
 
 
 @register("build_history", W(*C(O.silver_cte()), body="SELECT * FROM silver"), "M1 J1 P1 P5 P6 P7 W3 F3 P18")
@@ -31,13 +31,13 @@ _PRE_COLS = O.PRE_OUT + O.MODEL_FEATURES
                                    body=f"SELECT {', '.join(_PRE_COLS)} FROM gold"),
           "M4 W5 F1 A2 J4 W4 P5-P12 W1 W2 F3")
 def q_preprocess(spark, sf):
-    return preprocess(silver(spark, sf)).select(*_PRE_COLS)
+    return preprocess(silver(spark, sf), **PARITY).select(*_PRE_COLS)
 
 
 @register("model_inputs", W(*C(O.silver_cte(), *O.preprocess_ctes()),
                             body=f"SELECT timestamp, aqi, {', '.join(O.MODEL_FEATURES)} FROM gold"), "P20")
 def q_model_inputs(spark, sf):
-    return select_features(preprocess(silver(spark, sf)), ["timestamp", "aqi"])
+    return select_features(preprocess(silver(spark, sf), **PARITY), ["timestamp", "aqi"])
 
 
 def _reference_row(spark, sf):
@@ -125,3 +125,19 @@ def q_engineer_live(spark, sf):
     out = engineer_live(live, w, silver(spark, sf))
     return out.select("city", "timestamp", "aqi", "temp", "humidity", "hour", "day", "month", "dayofweek",
                       "is_weekend", "is_rush_hour", "aqi_change_rate")
+
+
+_EST_TABLE = ("est_table AS (SELECT e.city, e.timestamp, e.aqi, e.pm25, e.pm10, e.no2, e.o3, e.co, e.so2, w.temp, w.feels_like, w.humidity, "
+              "w.pressure, w.wind_speed, w.wind_direction, w.visibility, w.precipitation, w.weather_code, CAST(NULL AS VARCHAR) AS weather, "
+              "e.hour, e.day, e.month, e.dayofweek, e.is_weekend, e.is_rush_hour, e.aqi_change_rate, CAST(NULL AS BIGINT) AS ingest_seq "
+              "FROM est_monthly e JOIN weather_hourly w ON e.city = w.city AND e.timestamp = w.timestamp)")
+
+
+@register("preprocess_estimated", W(*C(_REF_SQL, _est_sql("monthly")), _EST_TABLE,
+                                    *O.preprocess_ctes("est_table", "egold", ("pm25", "pm10")),
+                                    body="SELECT city, timestamp, aqi, pm25, pm10, temp, aqi_lag_72h, aqi_lag_96h, aqi_rolling_72h FROM egold"),
+          "M2 M4 W5")
+def q_preprocess_estimated(spark, sf):
+    """Estimated history, whose rows have no ingest order, through the preprocessing plan."""
+    est = estimate_history(B.weather_hourly(spark, sf), _reference_row(spark, sf), "monthly")
+    return preprocess(est, **PARITY).select("city", "timestamp", "aqi", "pm25", "pm10", "temp", "aqi_lag_72h", "aqi_lag_96h", "aqi_rolling_72h")

@@ -27,7 +27,7 @@ PARAMS_AQI = f"""params_aqi AS (
 
 def params_aqi(spark, sf):
     p = B.params_hourly(spark, sf)
-    return p.select("city", "timestamp", "pm25", pm25_to_aqi(F.col("pm25")).alias("aqi"), "ingest_seq")
+    return p.select("city", "timestamp", "pm25", pm25_to_aqi(F.col("pm25"), 0, "reference").alias("aqi"), "ingest_seq")
 
 
 # ---------------------------------------------------------------- W1-W3
@@ -225,7 +225,7 @@ SELECT city, timestamp, temp FROM (
   FROM weather_hourly WHERE timestamp > {_NOW}) f WHERE rn <= 72"""), "F4 T3")
 def q_future(spark, sf):
     w = B.weather_hourly(spark, sf).select("city", "timestamp", "temp")
-    return T.future_head(w, F.lit("2024-01-20 06:30:00").cast("timestamp_ntz"), n=72)
+    return T.future_head(w, F.lit("2024-01-20 06:30:00").cast("timestamp_ntz"), n=72, by="rows")
 
 
 @register("forecast_day_summary", W(*C(), body=f"""

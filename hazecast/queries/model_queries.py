@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import oracle as O
 from ..catalog import register
 from ..models.prep import chronological_split, median_impute, robust_scale, tail_validation_split
-from ..plans.preprocess import FEATURE_COLS, preprocess
+from ..plans.preprocess import FEATURE_COLS, PARITY, preprocess
 from ..session import scratch_path
 from .composite import silver
 
@@ -20,7 +20,7 @@ GOLD = O.base_ctes(O.silver_cte(), *O.preprocess_ctes())
 
 def gold(spark, sf):
     from ..session import cut_lineage
-    return cut_lineage(preprocess(silver(spark, sf)))
+    return cut_lineage(preprocess(silver(spark, sf), **PARITY))
 
 
 _SPLIT = """split AS (
@@ -144,7 +144,7 @@ def trained_models(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         from ..session import cut_lineage
-        g = gold(spark, sf)
+        g = cut_lineage(preprocess(silver(spark, sf)))  # the training defaults: no leak of the target
         tr, te = chronological_split(g, 0.8)
         tr, te = cut_lineage(tr), cut_lineage(te)
         _TRAINED[key] = (tr, te, train_models(tr, te, FEATURE_COLS))
@@ -159,8 +159,10 @@ def q_train(spark, sf):
 
 
 @register("retrain_job", None, "X6 M16 A15 T5 P30 P28 K6 K7 S10 S11")
-def q_retrain(spark, sf):
-    """Daily batch job: features -> split -> models -> importance -> registry; returns the importance table."""
+def q_retrain(spark, sf, n_rows=None):
+    """Daily batch job: features -> split -> models -> importance -> registry; returns the importance table.
+
+    All test rows are explained; ``n_rows`` takes the first ones by time."""
     from ..models.importance import contributions
     from ..models.train import TREE_MODELS, best_model, results_of, save_registry
     from ..operators.aggregates import importance_share, mean_abs_contribution
@@ -174,8 +176,7 @@ def q_retrain(spark, sf):
     best_tree = best_model(res, only=sorted(TREE_MODELS)).first()["model"]
     model = {t.name: t for t in trained}[best_tree].model.stages[-1]
     te_imp = median_impute(tr, te, FEATURE_COLS)
-    first = te_imp.orderBy("timestamp").limit(200)  # the explained sample (first 200 test rows in time order)
-    contrib = contributions(first, model, FEATURE_COLS, ["timestamp"])
+    contrib = contributions(te_imp if n_rows is None else te_imp.orderBy("timestamp").limit(n_rows), model, FEATURE_COLS, ["timestamp"])
     imp = mean_abs_contribution(contrib, FEATURE_COLS)
     save_importance(imp, f"{path}/importance")
     back = read_importance(spark, f"{path}/importance")

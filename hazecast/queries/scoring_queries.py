@@ -12,10 +12,10 @@ from .. import oracle as O
 from ..catalog import register
 from ..functions.aqi import aqi_category
 from ..functions.labels import day_label, weekday_name
-from ..functions.rounding import exact_mean
+from ..functions.rounding import exact_mean, round_half_even
 from ..operators.aggregates import stage_count
-from ..operators.ordering import first_n_dates
-from ..plans.preprocess import FEATURE_COLS, preprocess
+from ..operators.ordering import first_n_dates, future_head
+from ..plans.preprocess import FEATURE_COLS, PARITY, preprocess
 from ..plans.scoring import clamp_forecast, current_index, forecast_features, score_forecast
 from ..sources import bindings as B
 from .composite import silver
@@ -24,6 +24,8 @@ W = O.with_ctes
 D = O.D
 SILVER = O.base_ctes(O.silver_cte())
 NOW = "2024-01-30 23:00:00"
+#: a time with three days of weather after it
+SCORED_AT = "2024-01-27 12:00:00"
 
 
 def _live_window(df, now=NOW):
@@ -34,7 +36,7 @@ def _live_window(df, now=NOW):
 
 @register("current_index", W(*O.base_ctes(), f"""live AS (
   SELECT station, arg_max(aqi, timestamp) AS live FROM station_hourly
-  WHERE aqi IS NOT NULL AND aqi <> 0 AND timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR
+  WHERE aqi IS NOT NULL AND timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR
     AND timestamp <= TIMESTAMP '{NOW}' GROUP BY station)""", """st AS (
   SELECT station, arg_max(aqi, timestamp) AS stored FROM station_hourly WHERE aqi IS NOT NULL GROUP BY station)""",
     body=f"""
@@ -54,7 +56,7 @@ def _current_city(spark, sf, store):
 _CUR_SQL = f"""cur AS (
   SELECT k.city, COALESCE(l.live, s.stored, {D(100.0)}) AS current_aqi
   FROM (SELECT city FROM obs_hourly UNION SELECT city FROM silver) k
-  LEFT JOIN (SELECT city, arg_max(aqi, timestamp) AS live FROM obs_hourly WHERE aqi IS NOT NULL AND aqi <> 0
+  LEFT JOIN (SELECT city, arg_max(aqi, timestamp) AS live FROM obs_hourly WHERE aqi IS NOT NULL
              AND timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 HOUR AND timestamp <= TIMESTAMP '{NOW}' GROUP BY city) l
     ON k.city = l.city
   LEFT JOIN (SELECT city, arg_max(aqi, timestamp) AS stored FROM silver WHERE aqi IS NOT NULL GROUP BY city) s
@@ -152,21 +154,33 @@ _STAGES = [("input", "silver"), ("dedup", "gold_s0"), ("outliers_aqi", "gold_f1"
     f"SELECT COUNT(*) AS rows, '{s}' AS stage FROM {t}" for s, t in _STAGES)), "A12")
 def q_audit(spark, sf):
     audit: list = []
-    preprocess(silver(spark, sf), audit=audit)
+    preprocess(silver(spark, sf), audit=audit, **PARITY)
     return reduce(lambda a, b: a.unionByName(b), [stage_count(d, s) for s, d in audit])
 
 
-@register("standard_scale", None, "M9 A11")
+def _standard_sql():
+    from .model_queries import GOLD, _SPLIT
+    out = []
+    for c in FEATURE_COLS:
+        x = f"CAST({c} AS DOUBLE)"
+        of = f"(SELECT {{}}(CAST({c} AS DOUBLE)) FROM split WHERE rn <= cut)"
+        std = f"(CASE WHEN {of.format('stddev_pop')} = 0 THEN {D(1.0)} ELSE {of.format('stddev_pop')} END)"
+        out.append(f"{O.rhe(f'({x} - {of.format("avg")}) / {std}', 6)} AS {c}")
+    return W(*GOLD, _SPLIT, body=f"SELECT city, timestamp, {', '.join(out)} FROM gold")
+
+
+@register("standard_scale", _standard_sql(), "M9 A11")
 def q_standard(spark, sf):
     from ..models.prep import chronological_split, standard_scale
     from .model_queries import gold
     g = gold(spark, sf)
     tr, _ = chronological_split(g, 0.8)
-    return standard_scale(tr, g, FEATURE_COLS).select("city", "timestamp", *FEATURE_COLS)
+    out = standard_scale(tr, g, FEATURE_COLS)
+    return out.select("city", "timestamp", *[round_half_even(F.col(c), 6).alias(c) for c in FEATURE_COLS])
 
 
 @register("score_forecast", None, "M17 P25 M8")
-def q_score(spark, sf):
+def q_score(spark, sf, now=SCORED_AT):
     from ..models.prep import median_impute
     from ..models.train import TREE_MODELS, best_model, results_of
     from .model_queries import trained_models
@@ -174,9 +188,50 @@ def q_score(spark, sf):
     best = best_model(results_of(trained)).first()["model"]
     model = {t.name: t for t in trained}[best].model
     store = silver(spark, sf)
-    f = forecast_features(B.weather_hourly(spark, sf).drop("visibility"), store, _current_city(spark, sf, store))
+    # the weather table's last days play the forecast: what lies after ``now``, within 72 hours
+    now = F.lit(now).cast("timestamp_ntz")
+    ahead = future_head(B.weather_hourly(spark, sf).drop("visibility"), now, n=72)
+    known = store.filter(F.col("timestamp") <= now)
+    f = forecast_features(ahead, known, current_index(_live_window(B.obs_hourly(spark, sf), SCORED_AT), known))
     f = median_impute(tr, f, FEATURE_COLS)
+    scale = None
     if best == "Huber Regression":
         from ..models.prep import standard_scale
-        f = standard_scale(median_impute(tr, tr, FEATURE_COLS), f, FEATURE_COLS)
-    return score_forecast(model, f, FEATURE_COLS).withColumn("model", F.lit(best))
+        scale = lambda d: standard_scale(median_impute(tr, tr, FEATURE_COLS), d, FEATURE_COLS)
+    return score_forecast(model, f, FEATURE_COLS, scale=scale).withColumn("model", F.lit(best))
+
+
+# Coefficients of the linear model whose contributions the report explains.
+_COEFFICIENTS = {"temp": 0.75, "humidity": -0.25, "pressure": 0.125, "wind_speed": -2.5, "wind_direction": 0.0625}
+
+
+def _report_sql():
+    from ..functions.labels import FEATURE_DISPLAY_NAMES
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, avg(abs({D(w)} * ({c} - (SELECT avg({c}) FROM silver)))) AS v FROM silver WHERE {c} IS NOT NULL"
+        for c, w in _COEFFICIENTS.items())
+    name = "CASE feature " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FEATURE_DISPLAY_NAMES.items()) + \
+        " WHEN 'pressure' THEN 'Pressure' WHEN 'wind_direction' THEN 'Wind Direction' END"
+    return W(*SILVER, f"imp AS (SELECT feature, {O.rhe('v', 6)} AS shap_value FROM ({parts}) u)", body=f"""
+SELECT feature, shap_value, CAST(floor(shap_value / max(shap_value) OVER () * 20) AS INTEGER) AS bar, {name} AS display_name
+FROM imp ORDER BY shap_value DESC, feature LIMIT 3""")
+
+
+@register("importance_report", _report_sql(), "A15 T5 P30 P28 K7 S11")
+def q_importance_report(spark, sf):
+    """Mean absolute contributions of a linear model, saved and read back, the three largest."""
+    from ..functions.labels import feature_display_name
+    from ..operators.aggregates import importance_share, mean_abs_contribution
+    from ..operators.ordering import top_k
+    from ..session import scratch_path, staged_table
+    from ..sinks.files import save_importance
+    from ..sources.payloads import read_importance
+    names = list(_COEFFICIENTS)
+    rows = staged_table(silver(spark, sf).select(*names), "explained")
+    mean = rows.agg(*[F.avg(c).alias(c) for c in names]).first()  # one number per feature
+    contrib = rows.select(F.array(*[F.lit(w) * (F.col(c) - F.lit(mean[c])) for c, w in _COEFFICIENTS.items()]).alias("contrib"))
+    imp = mean_abs_contribution(contrib, names).withColumn("shap_value", round_half_even(F.col("shap_value"), 6))
+    path = scratch_path(spark, "importance")
+    save_importance(imp, path)
+    top = top_k(importance_share(read_importance(spark, path)), "shap_value", 3, tiebreak=["feature"])
+    return top.withColumn("display_name", feature_display_name(F.col("feature")))

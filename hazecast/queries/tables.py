@@ -80,7 +80,7 @@ def q_measurements(spark, sf):
     L.land_measurements(B.obs_raw(spark, sf), path)
     m = S.read_measurements(spark, path).withColumn("timestamp", round_hour(F.col("timestamp")))
     h = mean_per_timestamp(m, ["timestamp"], "pm25_raw", "pm25", scale=9)
-    return h.withColumn("aqi", pm25_to_aqi(F.col("pm25"), 1)).select("timestamp", "pm25", "n_readings", "aqi")
+    return h.withColumn("aqi", pm25_to_aqi(F.col("pm25"), 1, "reference")).select("timestamp", "pm25", "n_readings", "aqi")
 
 
 @register("read_weather_forecast", W(*C(), body=f"""

@@ -115,4 +115,4 @@ def station_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = dup_hourly(spark, sf_dir)
     g = raw.groupBy("station", "timestamp").agg(exact_mean(F.col("pm25_raw"), scale=9).alias("pm25"),
                                                  F.max("ingest_seq").alias("ingest_seq"))
-    return g.withColumn("aqi", pm25_to_aqi(F.col("pm25")))
+    return g.withColumn("aqi", pm25_to_aqi(F.col("pm25"), 0, "reference"))

@@ -61,7 +61,7 @@ def stream_ingest(spark: SparkSession, landed: str, table: str, city: str, check
     rows = src.select(F.lit(city).alias("city"), from_epoch_seconds(F.col("dt")).alias("timestamp"),
                       F.col("dt").alias("ingest_seq"),
                       *[F.coalesce(comp[s], F.lit(0.0)).alias(n) for s, n in COMPONENT_NAMES.items()])
-    rows = rows.withColumn("aqi", pm25_to_aqi(F.col("pm25"))).withColumns(
+    rows = rows.withColumn("aqi", pm25_to_aqi(F.col("pm25"), 0, "reference")).withColumns(
         {n: round_half_even(F.col(n), 2) for n in COMPONENT_NAMES.values()}).withColumn("_month", _month("timestamp"))
 
     def sink(batch: DataFrame, batch_id: int):

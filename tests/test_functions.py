@@ -31,8 +31,8 @@ def test_breakpoints_truncate_policy(spark):
 
 def test_rounding_ties(spark):
     # 0.06 -> 0.25 -> 0.2 at one decimal; 0.12 -> 0.5 -> 0 and 0.6 -> 2.5 -> 2 as integers (half-even)
-    assert _one(spark, [0.06], lambda c: pm25_to_aqi(c, 1)) == [0.2]
-    assert _one(spark, [0.12, 0.6], lambda c: pm25_to_aqi(c, 0)) == [0.0, 2.0]
+    assert _one(spark, [0.06], lambda c: pm25_to_aqi(c, 1, "reference")) == [0.2]
+    assert _one(spark, [0.12, 0.6], lambda c: pm25_to_aqi(c, 0, "reference")) == [0.0, 2.0]
     # scale-then-round in binary: 2.675 * 100 is exactly 267.5, a tie -> 268 (SQL engines agree);
     # Python's round() uses the exact decimal expansion (2.67499...) and gives 2.67
     assert _one(spark, [2.675, 0.125, 2.5], lambda c: round_half_even(c, 2)) == [2.68, 0.12, 2.5]
@@ -108,3 +108,15 @@ def test_estimator_floor_and_defaults(spark):
     v = df.select(estimate_aqi_monthly(F.col("ts"), F.col("h"), F.col("w"), F.col("t"), F.col("r"))).first()[0]
     # July baseline 75, hour 3 factor 0.95, wind 0.5 floor, rain 0.4 floor -> 14.25 -> 14.2 (half-even), above 10
     assert v == round(75 * 0.95 * 1.0 * 0.5 * 0.4 * 1.0, 1)
+
+
+def test_fixed_tables_are_the_published_ones():
+    """Written out by hand, so that a wrong constant does not pass by standing in the oracle too."""
+    from hazecast.functions.aqi import CATEGORY_BANDS, PM25_BREAKPOINTS
+    assert PM25_BREAKPOINTS == [(0.0, 12.0, 0, 50), (12.1, 35.4, 51, 100), (35.5, 55.4, 101, 150), (55.5, 150.4, 151, 200),
+                                (150.5, 250.4, 201, 300), (250.5, 350.4, 301, 400), (350.5, 500.4, 401, 500)]
+    assert [b[0] for b in CATEGORY_BANDS] == [50, 100, 150, 200, 300]
+
+
+def test_default_policy_leaves_no_gaps(spark):
+    assert _one(spark, [12.05, 35.45, 55.45], lambda c: pm25_to_aqi(c)) == [50.0, 100.0, 150.0]

@@ -89,12 +89,12 @@ def test_keep_last_duplicates(spark):
     assert keep_last(df, ["city", "timestamp"]).first()["aqi"] == 30.0
 
 
-def test_current_index_zero_is_missing_and_clamp(spark):
+def test_current_index_zero_is_an_index_and_clamp(spark):
     t = dt.datetime(2024, 1, 1, 5)
     live = spark.createDataFrame([("a", t, 0.0), ("b", t, 80.0)], "city string, timestamp timestamp_ntz, aqi double")
     store = spark.createDataFrame([("a", t, 55.0), ("c", t, None)], "city string, timestamp timestamp_ntz, aqi double")
     got = {r["city"]: (r["current_aqi"], r["source"]) for r in current_index(live, store).collect()}
-    assert got == {"a": (55.0, "store"), "b": (80.0, "live"), "c": (100.0, "default")}
+    assert got == {"a": (0.0, "live"), "b": (80.0, "live"), "c": (100.0, "default")}
     df = spark.createDataFrame([(10.0, 100.0), (300.0, 100.0), (120.04, 100.0), (900.0, 400.0), (None, 1.0)],
                                "raw double, last double")
     assert [r[0] for r in df.select(clamp_forecast(F.col("raw"), F.col("last"))).collect()] == \
