@@ -41,3 +41,16 @@ def lower_ascii(text: Column) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words of a text as bytes."""
     return text_bytes(text).translate(LOWER).split()
+
+
+def bounded_sample(df: DataFrame, n: int, total: int, order: Column, *ties: str) -> DataFrame:
+    """``n`` of ``df``'s ``total`` rows (all, if they are fewer), by ``order``, a number from 0 to
+    1 that is spread evenly.  What is far from being among the first n goes before the sort, so
+    about 2 n rows meet in its last task, whatever the input."""
+    picked = df.withColumn("__order", order).where(F.col("__order") <= F.lit(2 * n / max(total, 1)))
+    return picked.orderBy("__order", *ties).limit(n).drop("__order")
+
+
+def hash_order(*columns: str) -> Column:
+    """A number from 0 to 1 by the hash of columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))

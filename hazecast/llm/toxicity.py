@@ -28,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, staged
+from .common import bounded_sample, doc_fold, hash_order, staged
 
 BITS = 18
 BUCKETS = 1 << BITS
 ORDERS = (3, 4, 5)
 #: labelled texts that the classifier is fitted on at most
-FIT_ROWS = 8_192
+FIT_ROWS = 6_144
 #: smoothing of the counts; penalty of the regression; its steps
-ALPHA, PENALTY, STEPS = 1.0, 1e-4, 150
+ALPHA, PENALTY, STEPS = 1.0, 1e-4, 300
+#: n-grams with a smaller ratio either way say too little to take part
+LEAST_RATIO = 1.0
 #: characters that are hashed at once
 CHUNK = 1 << 16
 
@@ -83,15 +85,19 @@ class Classifier:
 def fit(features: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> Classifier:
     """Weighted logistic regression on ratio-scaled n-grams, by Nesterov steps over all rows."""
     sizes = np.array([len(f) for f in features])
-    flat = np.concatenate(features) if len(features) else np.empty(0, np.int64)
+    flat = np.concatenate(features) if len(features) else np.empty(0, np.int32)
     toxic = np.repeat(label == 1, sizes)
     p = np.bincount(flat[toxic], minlength=BUCKETS) + ALPHA
     q = np.bincount(flat[~toxic], minlength=BUCKETS) + ALPHA
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    # Only n-grams that say something take part; the others' ratio is nearly 0.
-    scaled, row = ratio[flat], np.repeat(np.arange(len(features)), sizes)
+    ratio[np.abs(ratio) < LEAST_RATIO] = 0
+    row = np.repeat(np.arange(len(features), dtype=np.int32), sizes)
+    telling = ratio[flat] != 0
+    flat, row = flat[telling], row[telling]
+    scaled = ratio[flat].astype(np.float32)
     total = weight.sum()
-    norm = max(1.0, np.bincount(row, scaled * scaled, minlength=len(features)).max(initial=1.0))
+    # The loss curves by a quarter of the mean squared length of the rows at most.
+    norm = max(1.0, float(weight @ np.bincount(row, scaled * scaled, minlength=len(features)) / total))
     rate = 4.0 / norm
     w, b = np.zeros(BUCKETS), float(np.log((weight @ label + 0.5) / (weight @ (1 - label) + 0.5)))
     w0, b0 = w, b
@@ -119,9 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n0, n1 = shares.get(0, 0), shares.get(1, 0)
     if not n0 or not n1:
         return Classifier(np.zeros(BUCKETS, np.float32), 40.0 if n1 else -40.0)
-    by_hash = lambda c, n: known.where(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(n)
     half = fit_rows // 2
-    picked = by_hash(1, max(half, fit_rows - n0)).unionByName(by_hash(0, max(half, fit_rows - n1)))
+    by_hash = lambda c, n, of: bounded_sample(known.where(F.col("__label") == c), n, of, hash_order("__id"), "__id")
+    picked = by_hash(1, max(half, fit_rows - n0), n1).unionByName(by_hash(0, max(half, fit_rows - n1), n0))
     picked = staged(picked, "toxic-picked")  # at most fit_rows small rows
     rows = (docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked), "__id")
             .groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__label").alias("__label")))
