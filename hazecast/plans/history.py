@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import estimate as est
 from ..functions.aqi import pm25_to_aqi
+from ..functions.rounding import round_half_even
+from ..operators.aggregates import mean_per_timestamp
 from ..operators.joins import align_hourly, latest_per_key
 from ..operators.windows import series_row_features
 from ..session import broadcast_if_small
@@ -38,6 +40,18 @@ def build_history(weather: DataFrame, readings: DataFrame, keys: Sequence[str] =
     return j.filter(F.col("aqi").isNotNull()).select(*FEATURE_TABLE_COLS)
 
 
+def backfill_measured(measurements: DataFrame, weather: DataFrame, keys: Sequence[str] = ("city",), digits: int = 1,
+                      pm25_digits: int = 2, gap_policy: str = "truncate", method: str = "halo") -> DataFrame:
+    """Raw measurements of several locations (keys, timestamp, pm25_raw; UTC) and hourly weather ->
+    feature rows: nearest hour, mean over the locations, index, calendar, change rate."""
+    stamped = measurements.withColumn("timestamp", cal.round_hour(F.col("timestamp")))
+    hourly = mean_per_timestamp(stamped, [*keys, "timestamp"], "pm25_raw", "pm25", scale=9)
+    j = align_hourly(weather, hourly, [*keys, "timestamp"])
+    j = j.withColumn("aqi", pm25_to_aqi(F.col("pm25"), digits, gap_policy)).withColumn("pm25", round_half_even(F.col("pm25"), pm25_digits))
+    j = series_row_features(add_calendar(j), keys, "timestamp", ["timestamp"], "aqi", change_rate="aqi_change_rate", method=method)
+    return j.filter(F.col("aqi").isNotNull())
+
+
 def estimate_history(weather: DataFrame, reference: DataFrame, version: str = "monthly",
                      keys: Sequence[str] = ("city",), noise_seed: int | None = None,
                      method: str = "halo") -> DataFrame:
@@ -78,6 +92,5 @@ def engineer_live(readings: DataFrame, weather: DataFrame, store: DataFrame,
     last = latest_per_key(store.filter(F.col("aqi").isNotNull()), keys, "timestamp", ["aqi"]) \
         .withColumnRenamed("aqi", "_last_aqi")
     j = j.join(broadcast_if_small(last), list(keys), "left")
-    from ..functions.rounding import round_half_even
     rate = F.when(F.col("_last_aqi").isNull(), F.lit(0.0)).otherwise(round_half_even(F.col("aqi") - F.col("_last_aqi"), 2))
     return j.withColumn("aqi_change_rate", rate).drop("_last_aqi")

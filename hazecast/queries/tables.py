@@ -16,6 +16,7 @@ from ..functions.aqi import pm25_to_aqi
 from ..functions.sanitise import sanitise
 from ..functions.weather import normalise_units
 from ..operators.aggregates import mean_per_timestamp, station_average
+from ..plans.history import backfill_measured
 from ..session import scratch_path
 from ..sinks import files as K
 from ..sources import bindings as B
@@ -264,3 +265,30 @@ def _with_count(meta):
     return meta.select("best_model", F.size("all_results").alias("n_models"),
                        F.explode("all_results").alias("r")).select(
         "best_model", "r.model", "r.rmse", "r.mae", "r.r2", "n_models")
+
+
+@register("backfill_measured", W(*SILVER, f"""hourly AS (
+  SELECT city, {_RH} AS timestamp, {O.emean('pm25_raw', 9)} AS pm FROM obs_raw WHERE pm25_raw IS NOT NULL AND pm25_raw >= 0 GROUP BY 1, 2)""",
+    f"""filled AS (
+  SELECT *, {O.rhe("COALESCE(aqi - LAG(aqi) OVER (PARTITION BY city ORDER BY timestamp), " + D(0.0) + ")", 2)} AS aqi_change_rate FROM (
+    SELECT w.city, w.timestamp, {O.aqi_sql('h.pm', 1)} AS aqi, {O.rhe('h.pm', 2)} AS pm25, w.temp, w.humidity, {O.cal_sql('w.timestamp')}
+    FROM hourly h JOIN weather_hourly w ON h.city = w.city AND h.timestamp = w.timestamp) x WHERE aqi IS NOT NULL)""", body="""
+SELECT city, timestamp, aqi, pm25, temp, humidity, hour, is_weekend, aqi_change_rate, NULL::DOUBLE AS pm10 FROM filled WHERE timestamp >= TIMESTAMP '2024-01-10 00:00:00'
+UNION ALL SELECT f.city, f.timestamp, f.aqi, f.pm25, f.temp, f.humidity, f.hour, f.is_weekend, f.aqi_change_rate, s.pm10
+FROM filled f LEFT JOIN silver s ON f.city = s.city AND f.timestamp = s.timestamp WHERE f.timestamp < TIMESTAMP '2024-01-10 00:00:00'
+UNION ALL SELECT s.city, s.timestamp, s.aqi, s.pm25, s.temp, s.humidity, s.hour, s.is_weekend, s.aqi_change_rate, s.pm10
+FROM silver s WHERE s.timestamp < TIMESTAMP '2024-01-10 00:00:00'
+  AND NOT EXISTS (SELECT 1 FROM filled f WHERE f.city = s.city AND f.timestamp = s.timestamp)"""), "S4 U2 P17 A1 M1 K4 K1")
+def q_backfill(spark, sf):
+    """Landed measurements of all locations -> measured rows; the stored range is deleted, and the
+    rows are upserted into the store."""
+    path = scratch_path(spark, "backfill-measurements")
+    L.land_measurements(B.obs_raw(spark, sf), path)
+    m = S.read_measurements(spark, path).withColumn("city", B.city_of(F.col("location_id").cast("string")))
+    rows = backfill_measured(m, B.weather_hourly(spark, sf), gap_policy="reference")
+    rows = rows.select("city", "timestamp", "aqi", "pm25", "temp", "humidity", "hour", "is_weekend", "aqi_change_rate", "month", "day")
+    target = scratch_path(spark, "backfill-target")
+    K.write_table(silver(spark, sf), target, ["city", "month"])
+    K.delete_where(spark, target, F.col("timestamp") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), ["city", "month"])
+    out = K.upsert(spark, target, rows, ["city", "timestamp"], None, ["city", "month"])
+    return out.select("city", "timestamp", "aqi", "pm25", "temp", "humidity", "hour", "is_weekend", "aqi_change_rate", "pm10")

@@ -15,7 +15,7 @@ def spark():
 
     from hazecast.session import DEFAULT_CONF, ensure_checkpoint_dir
     b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
-    for k, v in DEFAULT_CONF.items():
+    for k, v in {**DEFAULT_CONF, "spark.driver.memory": "6g"}.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")

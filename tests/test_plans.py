@@ -71,3 +71,25 @@ def test_no_nested_loop_or_cartesian_joins(spark):
     for name in ("asof_lag", "range_mean", "knn_impute", "reference_row", "fill_forward_backward", "engineer_live"):
         txt = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastNestedLoopJoin" not in txt and "CartesianProduct" not in txt, name
+
+
+def test_per_key_tables_do_not_shuffle_the_rows(spark):
+    """Without automatic broadcasts, no join on the city alone shuffles rows: the per-key side is
+    counted and sent to the tasks."""
+    from hazecast.models.prep import chronological_split
+    from hazecast.operators.filters import iqr_filter
+    from hazecast.operators.joins import with_reference_row
+    h = obs_hourly(spark, SF)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {"fences": iqr_filter(h, ["city"], "aqi"), "split": chronological_split(h, 0.8)[0],
+                 "fill": fill_forward_backward(h, ["city"], "timestamp", ["timestamp"], ["pm25"]),
+                 "reference": with_reference_row(h, h.groupBy("city").agg(F.max("aqi").alias("top")))}
+        for name, df in plans.items():
+            txt = df._jdf.queryExecution().executedPlan().toString()
+            import re
+            assert not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[city#\d+\]", txt), name
+            assert "BroadcastHashJoin" in txt, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
