@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +95,26 @@ def standard_scale(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> Data
         scale = F.when(s["std"] == 0, F.lit(1.0)).otherwise(s["std"])
         return (c.cast("double") - s["mean"]) / scale
     return _apply(df, st, cols, fn)
+
+
+def _number(v: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+def impute_stage(train: DataFrame, cols: Sequence[str], prefix: str = "in_") -> SQLTransformer:
+    """Median imputation fitted on ``train`` as a stage that a saved pipeline keeps: adds
+    ``prefix`` + column for each of ``cols`` and leaves the columns themselves as they are."""
+    med = fitted_params(fit_quantiles(train, cols, [0.5], ["median"]).select("feature", "median"))
+    out = [f"coalesce(CAST(`{c}` AS DOUBLE), {_number(med.get(c, {}).get('median'))}) AS `{prefix}{c}`" for c in cols]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(out)} FROM __THIS__")
+
+
+def scale_stage(imputed: DataFrame, cols: Sequence[str], prefix: str = "in_", to: str = "scaled_") -> SQLTransformer:
+    """Standard scaling (population std, 0 -> 1) fitted on the imputed columns, as a stage."""
+    u = unpivot(imputed, [f"{prefix}{c}" for c in cols])
+    st = fitted_params(u.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+    out = []
+    for c in cols:
+        s = st.get(f"{prefix}{c}", {})
+        out.append(f"(`{prefix}{c}` - {_number(s.get('mean'))}) / {_number(s.get('std') or 1.0)} AS `{to}{c}`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(out)} FROM __THIS__")

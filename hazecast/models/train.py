@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from ..functions.rounding import round_half_even
 from ..operators.aggregates import regression_metrics
-from .prep import median_impute, standard_scale
+from ..session import cut_lineage
+from .prep import impute_stage, scale_stage
 
 # Hyper-parameters of the reference models.
 RF_PARAMS = dict(numTrees=300, maxDepth=10, minInstancesPerNode=4, featureSubsetStrategy="0.7", seed=42)
@@ -48,34 +49,31 @@ def _assembler(cols: Sequence[str]) -> VectorAssembler:
 
 def train_models(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], label: str = "aqi",
                  names: Sequence[str] = MODEL_NAMES, id_cols: Sequence[str] = ("city", "timestamp")) -> list[Trained]:
+    """Fit the named models.  Each is a pipeline that takes raw features: imputation, for the
+    Huber model scaling, assembly and the regressor, so that it can be saved and served as it is."""
     cols = list(feature_cols)
-    from ..session import cut_lineage
     keep = [*id_cols, *cols, label]
-    train = cut_lineage(train.select(*keep))
-    tr = median_impute(train, train, cols).withColumn("label", F.col(label).cast("double"))
-    te = median_impute(train, test.select(*keep), cols).withColumn("label", F.col(label).cast("double"))
+    labelled = lambda d: d.select(*keep).withColumn("label", F.col(label).cast("double"))
+    tr, te = cut_lineage(labelled(train)), cut_lineage(labelled(test))
+    n = tr.count()
+    impute = impute_stage(tr, cols)
     # partitions proportional to the data (one per ~200k rows): boosting runs a job per round
-    parts = max(1, -(-train.count() // TRAIN_ROWS_PER_PARTITION))
-    tr, te = cut_lineage(tr.repartition(parts)), cut_lineage(te)
+    tr = cut_lineage(tr.repartition(max(1, -(-n // TRAIN_ROWS_PER_PARTITION))))
     out = []
     for name in names:
+        stages, prefix = [impute], "in_"
         if name == "Huber Regression":
-            n = tr.count()
-            tr_s, te_s = standard_scale(tr, tr, cols), standard_scale(tr, te, cols)
+            stages, prefix = [impute, scale_stage(impute.transform(tr), cols)], "scaled_"
             est = LinearRegression(loss="huber", epsilon=HUBER_EPSILON, regParam=HUBER_ALPHA / max(n, 1),
                                    elasticNetParam=0.0, standardization=False, maxIter=HUBER_MAX_ITER)
-            pm = Pipeline(stages=[_assembler(cols), est]).fit(tr_s)
-            pred = pm.transform(te_s)
+        elif name == "Random Forest":
+            est = RandomForestRegressor(**RF_PARAMS)
+        elif name == "Gradient Boosting":
+            est = GBTRegressor(**GBT_PARAMS)
         else:
-            if name == "Random Forest":
-                est = RandomForestRegressor(**RF_PARAMS)
-            elif name == "Gradient Boosting":
-                est = GBTRegressor(**GBT_PARAMS)
-            else:
-                est = GBTRegressor(**BOOSTED_VARIANT_PARAMS)
-            pm = Pipeline(stages=[_assembler(cols), est]).fit(tr)
-            pred = pm.transform(te)
-        out.append(Trained(name, pm, pred.select(*id_cols, "label", "prediction")))
+            est = GBTRegressor(**BOOSTED_VARIANT_PARAMS)
+        pm = Pipeline(stages=[*stages, _assembler([f"{prefix}{c}" for c in cols]), est]).fit(tr)
+        out.append(Trained(name, pm, pm.transform(te).select(*id_cols, "label", "prediction")))
     return out
 
 
@@ -145,3 +143,8 @@ REGISTRY_SCHEMA = T.StructType([
         T.StructField("model", T.StringType()), T.StructField("rmse", T.DoubleType()),
         T.StructField("mae", T.DoubleType()), T.StructField("r2", T.DoubleType())]))),
 ])
+
+
+def load_best_model(path: str) -> PipelineModel:
+    """The best model that ``save_registry`` saved, with its imputation and scaling."""
+    return PipelineModel.load(f"{path}/best_model")

@@ -83,21 +83,9 @@ def forecast_features(forecast: DataFrame, history: DataFrame, current: DataFram
     return history_features(f, history, keys, ts, "aqi", lags, rolls, default="current_aqi")
 
 
-def score_forecast(model, features: DataFrame, feature_cols: Sequence[str], keys: Sequence[str] = ("city",),
-                   ts: str = "timestamp", scale=None) -> DataFrame:
-    """One batch ``transform`` for all rows, then the clamp around the current index.
-
-    ``scale``: a transform of a DataFrame's ``feature_cols`` for models that were fitted on scaled
-    inputs; it works on copies, so the weather that is returned is that of the forecast."""
-    weather = ["temp", "humidity", "wind_speed", "precipitation"]
-    if scale is not None:
-        features = scale(features.withColumns({f"_raw_{c}": F.col(c) for c in weather}))
-    from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
-    pred = model.transform(va.transform(features)) if not hasattr(model, "stages") else \
-        model.transform(features)
-    if scale is not None:
-        pred = pred.withColumns({c: F.col(f"_raw_{c}") for c in weather})
-    out = pred.withColumn("predicted_aqi", clamp_forecast(F.col("prediction"), F.col("current_aqi")))
+def score_forecast(model, features: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp") -> DataFrame:
+    """One batch ``transform`` of a fitted pipeline (which imputes and scales into columns of its
+    own) for all rows, then the clamp around the current index; the weather is that of the forecast."""
+    out = model.transform(features).withColumn("predicted_aqi", clamp_forecast(F.col("prediction"), F.col("current_aqi")))
     return out.select(*keys, ts, "predicted_aqi", "temp", "humidity", "wind_speed", "precipitation",
                       F.to_date(F.col(ts)).cast("timestamp_ntz").alias("date"), "hour")

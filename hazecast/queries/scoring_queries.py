@@ -181,10 +181,9 @@ def q_standard(spark, sf):
 
 @register("score_forecast", None, "M17 P25 M8")
 def q_score(spark, sf, now=SCORED_AT):
-    from ..models.prep import median_impute
-    from ..models.train import TREE_MODELS, best_model, results_of
+    from ..models.train import best_model, results_of
     from .model_queries import trained_models
-    tr, _, trained = trained_models(spark, sf)
+    _, _, trained = trained_models(spark, sf)
     best = best_model(results_of(trained)).first()["model"]
     model = {t.name: t for t in trained}[best].model
     store = silver(spark, sf)
@@ -193,12 +192,7 @@ def q_score(spark, sf, now=SCORED_AT):
     ahead = future_head(B.weather_hourly(spark, sf).drop("visibility"), now, n=72)
     known = store.filter(F.col("timestamp") <= now)
     f = forecast_features(ahead, known, current_index(_live_window(B.obs_hourly(spark, sf), SCORED_AT), known))
-    f = median_impute(tr, f, FEATURE_COLS)
-    scale = None
-    if best == "Huber Regression":
-        from ..models.prep import standard_scale
-        scale = lambda d: standard_scale(median_impute(tr, tr, FEATURE_COLS), d, FEATURE_COLS)
-    return score_forecast(model, f, FEATURE_COLS, scale=scale).withColumn("model", F.lit(best))
+    return score_forecast(model, f).withColumn("model", F.lit(best))
 
 
 # Coefficients of the linear model whose contributions the report explains.

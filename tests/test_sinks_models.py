@@ -77,3 +77,27 @@ def test_chronological_split(spark):
     assert tr.agg(F.max("timestamp")).first()[0] < te.agg(F.min("timestamp")).first()[0]
     fit, val = tail_validation_split(tr, 0.2)
     assert fit.count() == 64 and val.count() == 16
+
+
+def test_saved_model_serves_raw_features(spark):
+    """Save, load, score: the same predictions, with imputation and scaling inside, and the
+    weather columns as they came."""
+    from hazecast.models.train import load_best_model, results_of, save_registry, train_models
+    from hazecast.plans.scoring import score_forecast
+    rnd = np.random.default_rng(4)
+    cols = ["temp", "humidity", "wind_speed", "precipitation"]
+    rows = [("c", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), *[None if rnd.random() < 0.1 else float(x) for x in v], float(50 + 5 * v[0] - 2 * v[1] + rnd.normal()))
+            for i, v in enumerate(rnd.normal(size=(400, 4)))]
+    df = spark.createDataFrame(rows, "city string, timestamp timestamp_ntz, temp double, humidity double, wind_speed double, precipitation double, aqi double")
+    cut = dt.datetime(2024, 1, 13)
+    train, test = df.filter(F.col("timestamp") < F.lit(cut)), df.filter(F.col("timestamp") >= F.lit(cut))
+    trained = train_models(train, test, cols, names=["Huber Regression"])
+    res = results_of(trained)
+    assert res.first()["rmse"] < 4 and res.first()["r2"] > 0.6
+    path = scratch_path(spark, "t-served")
+    assert save_registry(spark, path, trained, res, cols, train.count()) == "Huber Regression"
+    ahead = test.withColumns({"current_aqi": F.lit(50.0), "hour": F.hour("timestamp")})
+    got = score_forecast(load_best_model(path), ahead).orderBy("timestamp").collect()
+    own = score_forecast(trained[0].model, ahead).orderBy("timestamp").collect()
+    assert got == own and len(got) == test.count()
+    assert [r["temp"] for r in got] == [r["temp"] for r in test.orderBy("timestamp").collect()]
