@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, staged, words_of
+from .common import bounded_sample, doc_fold, staged, words_of
 
 #: the end token's word in the counts; no word holds white space
 END = b"\n"
@@ -360,7 +360,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary):
         yield rows
 
 
-def train_network(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
+def train_network(train: DataFrame, vocab: Vocabulary, n_docs: int) -> np.ndarray:
     """Parameters after a warm-up in one task and one averaged pass over all training documents."""
     spark = train.sparkSession
     if not vocab.n_own:
@@ -384,7 +384,7 @@ def train_network(train: DataFrame, vocab: Vocabulary) -> np.ndarray:
                                                  ["tokens", "params"])
         return run
 
-    few = train.orderBy(F.xxhash64("doc_id", F.lit("warm")), "doc_id").limit(WARM_DOCS)
+    few = bounded_sample(train, WARM_DOCS, n_docs, F.rand(7))
     warm = few.coalesce(1).mapInArrow(passes(None, WARM_ROUNDS, WARM_LANES, 1), "tokens long, params array<float>").first()
     start = np.array(warm.params, np.float32)
     # Averages of each parameter over the partitions, weighted by their tokens, summed up in Spark.
@@ -412,7 +412,8 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", f
     train = docs.where("not held_out")
     counts = staged(count_words(train), "lm-counts")
     vocab = vocabulary(counts)
-    flat = train_network(train, vocab)
+    n_docs = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]  # an end each
+    flat = train_network(train, vocab, n_docs)
     sent, sent_vocab = spark.sparkContext.broadcast(flat), spark.sparkContext.broadcast(vocab)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
