@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_sample, hash_order, staged
 from .components import components
 
 THRESHOLD, MARGIN = 0.95, 0.15
@@ -148,7 +148,7 @@ def _links_of_length(classes: DataFrame, size: int, threshold: float, margin: fl
     n = classes.count()
     k = cells or int(min(CELLS, max(1, n ** 0.5)))
     rows = max(k, min(SAMPLE, SAMPLE_NUMBERS // size))
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(rows).select("v").collect()  # at most SAMPLE vectors
+    sample = bounded_sample(classes, rows, n, hash_order("cid"), "cid").select("v").collect()  # at most SAMPLE vectors
     centroids = spherical_kmeans(unit([r.v for r in sample]), k)
     sent = spark.sparkContext.broadcast(centroids)
 
