@@ -119,7 +119,7 @@ def link_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     if n_classes != n_keys:
         raise ValueError("two different vectors have one 64-bit hash")
     links = None
-    for (size,) in classes.select(F.size("v")).distinct().limit(1000).collect() if n_classes else []:
+    for (size,) in classes.select(F.size("v")).distinct().collect() if n_classes else []:  # a number per vector length
         some = _links_of_length(classes.where(F.size("v") == size), size, threshold, margin, block, cells)
         links = some if links is None else links.unionByName(some)
     if links is None:
