@@ -38,6 +38,8 @@ from .common import staged, words_of
 
 BITS = 128
 RADIUS = 3
+#: parts that the rows of one fingerprint are dealt over
+SALTS = 32
 #: distinct terms whose bits are held at once
 CHUNK = 32_768
 #: likeness of two fingerprints with k differing bits
@@ -156,7 +158,8 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     for i in range(tables):
         same = F.substring("a", cut[i] + 1, cut[i + 1] - cut[i]) == F.substring("b", cut[i] + 1, cut[i + 1] - cut[i])
         earlier = earlier | (same & (F.col("table") > i))
-    return (a.join(b, ["table", "key"]).where((F.col("a") < F.col("b")) & (distance <= radius) & ~earlier)
+    # Estimates do not see how explode() multiplies rows, so broadcasting is ruled out.
+    return (a.join(b.hint("merge"), ["table", "key"]).where((F.col("a") < F.col("b")) & (distance <= radius) & ~earlier)
             .select("a", "b", distance.alias("distance")))
 
 
@@ -169,5 +172,9 @@ def fingerprint_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(classes, both.b == classes.fp).groupBy("a").agg(F.sum("n").alias("others"))
     near = (classes.join(others, classes.fp == others.a, "left")
-            .select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")))
-    return got.join(near, got.fingerprint == near.fp).drop("fp")
+            .select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")).where("n_near > 0"))
+    # Few fingerprints have others near; the rows of a large group of copies are dealt over SALTS parts.
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    rows = got.withColumn("__part", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int"))
+    return (rows.join(near, (F.col("fingerprint") == F.col("fp")) & (F.col("__part") == F.col("part")), "left")
+            .select(*got.columns, F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near")))
