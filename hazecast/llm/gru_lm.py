@@ -10,8 +10,9 @@ biases begin at the corpus' shares.
 Training is truncated backpropagation over windows of ``WINDOW`` tokens with the state carried from
 window to window and reset between documents.  A short warm-up on a bounded sample gives a common
 start; then every partition reads all its training documents from end to end, learning from every
-``STRIDE``-th window, and the parameters are averaged, weighted by tokens, as Spark aggregates.  Scoring carries the state across the windows of
-a document from its first token to its end, so the log-likelihood is that of the whole text.
+window, and the parameters are averaged, weighted by tokens, as Spark aggregates.  Scoring carries
+the state across the windows of a document from its first token to its end, so the log-likelihood
+is that of the whole text.
 
 Words that are among the ``HEAD`` most frequent have their counts broadcast (a bound that holds by
 construction); the other words of a document leave as (document, word, times) rows, meet the
@@ -50,8 +51,6 @@ CLASSES, WORDS, TAILS, STATE = 16, 64, 48, 16
 WINDOW, LANES, TRAIN_LANES, WARM_LANES, BLOCK = 32, 256, 128, 32, 1 << 21
 #: Adagrad's step and first sum of squares; largest gradient of a parameter per window
 RATE, SQUARES, CLIP = 0.03, 1e-2, 1.0
-#: in the pass over the corpus, one of so many windows is learnt from; the state runs through all
-STRIDE = 2
 #: documents of the warm-up at most, and its rounds
 WARM_DOCS, WARM_ROUNDS = 1024, 2
 #: words that a counting task holds before it hands them on
@@ -297,17 +296,14 @@ class Network:
             out += np.bincount(doc.ravel()[real], score.astype(np.float64), len(docs))
         return out
 
-    def train(self, docs: list[np.ndarray], squares: np.ndarray, lanes: int = TRAIN_LANES, stride: int = 1) -> None:
+    def train(self, docs: list[np.ndarray], squares: np.ndarray, lanes: int = TRAIN_LANES) -> None:
         """One pass over the documents; ``squares`` are Adagrad's sums, kept from call to call."""
         streams = Streams(docs, lanes)
         p, sq = self.p, unpack(squares)
         h = np.zeros((len(streams.length), STATE), np.float32)
         grads = {n: np.zeros(s, np.float32) for n, s in SHAPES.items() if n != "x"}
-        for number, (token, before, fresh, doc) in enumerate(streams.windows()):
+        for token, before, fresh, doc in streams.windows():
             steps, lanes = token.shape
-            if number % stride:
-                _, h, _ = self.states(before, fresh, h[:lanes], False)
-                continue
             for g in grads.values():
                 g[:] = 0
             hidden, h, kept = self.states(before, fresh, h[:lanes], True)
@@ -367,7 +363,7 @@ def train_network(train: DataFrame, vocab: Vocabulary, n_docs: int) -> np.ndarra
         return initial(vocab)
     sent_vocab = spark.sparkContext.broadcast(vocab)
 
-    def passes(start: np.ndarray | None, rounds: int, lanes: int, stride: int):
+    def passes(start: np.ndarray | None, rounds: int, lanes: int):
         sent = spark.sparkContext.broadcast(start)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +373,7 @@ def train_network(train: DataFrame, vocab: Vocabulary, n_docs: int) -> np.ndarra
             for rows in _blocks(batches, vocab):
                 docs = [r[3] for r in rows]
                 for _ in range(rounds):
-                    net.train(docs, squares, lanes, stride)
+                    net.train(docs, squares, lanes)
                 tokens += sum(map(len, docs))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float32()))],
@@ -385,10 +381,10 @@ def train_network(train: DataFrame, vocab: Vocabulary, n_docs: int) -> np.ndarra
         return run
 
     few = bounded_sample(train, WARM_DOCS, n_docs, F.rand(7))
-    warm = few.coalesce(1).mapInArrow(passes(None, WARM_ROUNDS, WARM_LANES, 1), "tokens long, params array<float>").first()
+    warm = few.coalesce(1).mapInArrow(passes(None, WARM_ROUNDS, WARM_LANES), "tokens long, params array<float>").first()
     start = np.array(warm.params, np.float32)
     # Averages of each parameter over the partitions, weighted by their tokens, summed up in Spark.
-    got = (train.mapInArrow(passes(start, 1, TRAIN_LANES, STRIDE), "tokens long, params array<float>")
+    got = (train.mapInArrow(passes(start, 1, TRAIN_LANES), "tokens long, params array<float>")
            .select("tokens", F.posexplode("params").alias("at", "x")).groupBy("at")
            .agg((F.sum(F.col("tokens") * F.col("x").cast("double")) / F.sum("tokens")).alias("x")).toArrow())
     out = np.empty(len(start), np.float32)
