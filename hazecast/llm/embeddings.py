@@ -2,12 +2,12 @@
 
 Equal vectors are one class, which enters with its number of rows.  Spherical k-means is fitted on
 a sample of at most ``SAMPLE`` classes; every class is assigned to its nearest cell (its home) and
-enters as a probe each later cell whose border lies within ``margin``: the hyperplane halfway between
-the two centroids is no farther than that.  Two unit vectors with cosine 0.95 are 0.316 apart, and
-the part of that across a given border is about 0.316 / sqrt(dimensions); a margin of 0.316 would
-make the search exact at the cost of most cells, the default keeps nearly every pair (measured in the
-tests; recall is at least 0.99).  Within a cell all home pairs and all probe-home pairs are compared
-in blocks of at most ``BLOCK`` rows a side, in double precision; a pair is met in one cell alone.
+enters as a probe each other cell whose border lies within ``margin``: the hyperplane halfway between
+the two centroids is no farther than that.  Two unit vectors with cosine 0.95 are sqrt(0.1) = 0.316
+apart at most, and their distances to the border between their cells add up to no more, so one of
+them is within half of it: with the default margin, that half, the search is exact.  Within a cell
+all home pairs and all probe-home pairs are compared in blocks of at most ``BLOCK`` rows a side, in
+double precision; where both rows of a pair probe, the later cell alone counts it.
 
 A block yields, per vector, the number of its links and the smallest member of its group within
 the block, not pairs; so a dense group costs products but no rows.  Groups are the connected
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, hash_order, staged
 from .components import components
 
-THRESHOLD, MARGIN = 0.95, 0.15
+THRESHOLD = 0.95
+#: what rounding may add to a distance to a border
+SLACK = 1e-6
 #: classes that k-means is fitted on at most, numbers in them at most, its cells at most, its rounds
 SAMPLE, SAMPLE_NUMBERS, CELLS, ROUNDS = 16_384, 1 << 22, 4_096, 10
 #: rows of a block
@@ -59,13 +61,18 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0)
     return c
 
 
+def exact_margin(threshold: float) -> float:
+    """Half the distance of two unit vectors with that cosine."""
+    return max(2 - 2 * threshold, 0.0) ** 0.5 / 2
+
+
 def cells_of(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home cell of each row, and (row, cell) of its probes: later cells with a border in reach."""
+    """Home cell of each row, and (row, cell) of its probes: other cells with a border in reach."""
     gap = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
     sim = x @ c.T
     home = sim.argmax(axis=1)
-    row, cell = np.nonzero((sim[np.arange(len(x)), home][:, None] - sim <= margin * gap[home])
-                           & (np.arange(len(c))[None, :] > home[:, None]))
+    row, cell = np.nonzero((sim[np.arange(len(x)), home][:, None] - sim <= margin * gap[home] + SLACK)
+                           & (np.arange(len(c))[None, :] != home[:, None]))
     return home, row, cell
 
 
@@ -80,6 +87,18 @@ def groups_within(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.
         a, b = new_a, new_b
 
 
+def met_elsewhere(probes: pd.DataFrame, homes: pd.DataFrame) -> np.ndarray:
+    """Pairs of probes and homes that the probe's home cell counts: a later cell that the home row probes."""
+    cells, at = np.unique(probes["home"].to_numpy(), return_inverse=True)
+    sizes = [len(r) for r in homes["later"]]
+    row, cell = np.repeat(np.arange(len(homes)), sizes), np.concatenate([np.asarray(r, np.int64) for r in homes["later"]])
+    place = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+    own = cells[place] == cell
+    reached = np.zeros((len(cells), len(homes)), bool)
+    reached[place[own], row[own]] = True
+    return reached[at]
+
+
 def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one block pair: rows with side 0 against side 1, or among themselves."""
     a = frame[frame["side"] == 0]
@@ -91,6 +110,8 @@ def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     linked = xa @ (xa if same else unit(b["vec"])).T >= threshold
     if same:
         np.fill_diagonal(linked, False)
+    elif frame["kind"].iloc[0] == 1:
+        linked &= ~met_elsewhere(a, b)
     ra, rb = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
     linked = linked[np.ix_(ra, rb)]
     ia, ib = a["cid"].to_numpy(np.int64)[ra], b["cid"].to_numpy(np.int64)[rb]
@@ -103,8 +124,9 @@ def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def link_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
-                 margin: float = MARGIN, block: int = BLOCK, cells: int | None = None) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row."""
+                 margin: float | None = None, block: int = BLOCK, cells: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row; no link is missed unless a margin less than the default is given."""
+    margin = exact_margin(threshold) if margin is None else margin
     spark = df.sparkSession
     v = F.col("v")
     # Kept in the type given: floats and doubles alike are compared as doubles.
@@ -157,12 +179,16 @@ def _links_of_length(classes: DataFrame, size: int, threshold: float, margin: fl
             for at in range(0, len(f), 4096):
                 part = f.iloc[at:at + 4096]
                 home, row, cell = cells_of(unit(part["v"]), sent.value, margin)
-                yield pd.DataFrame({"cell": home, "probe": 0, "cid": part["cid"], "n": part["n"], "vec": part["v"]})
+                up = cell > home[row]
+                later = np.split(cell[up], np.searchsorted(row[up], np.arange(1, len(part))))
+                yield pd.DataFrame({"cell": home, "probe": 0, "home": home, "later": later, "cid": part["cid"].to_numpy(),
+                                    "n": part["n"].to_numpy(), "vec": part["v"].to_numpy()})
                 p = part.iloc[row]
-                yield pd.DataFrame({"cell": cell, "probe": 1, "cid": p["cid"].to_numpy(), "n": p["n"].to_numpy(), "vec": p["v"].to_numpy()})
+                yield pd.DataFrame({"cell": cell, "probe": 1, "home": home[row], "later": None, "cid": p["cid"].to_numpy(),
+                                    "n": p["n"].to_numpy(), "vec": p["v"].to_numpy()})
 
     kind = classes.schema["v"].dataType.simpleString()
-    assigned = staged(classes.select("cid", "n", "v").mapInPandas(assign, f"cell int, probe int, cid long, n long, vec {kind}"), "vector-cells")
+    assigned = staged(classes.select("cid", "n", "v").mapInPandas(assign, f"cell int, probe int, home int, later array<int>, cid long, n long, vec {kind}"), "vector-cells")
     counts = assigned.groupBy("cell").agg(F.sum(1 - F.col("probe")).alias("homes"), F.sum("probe").alias("probes"))  # a row per cell
     blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("int")
     counts = counts.select("cell", blocks("homes").alias("hb"), blocks("probes").alias("pb")).where("hb > 0")
@@ -171,10 +197,11 @@ def _links_of_length(classes: DataFrame, size: int, threshold: float, margin: fl
     up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     homes = spread.where("probe = 0").withColumn("i", own("hb"))
     among = homes.withColumn("j", up_to("hb")).select("cell", F.lit(0).alias("kind"), F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"),
-                                                      (F.col("i") > F.col("j")).cast("int").alias("side"), "cid", "n", "vec")
+                                                      (F.col("i") > F.col("j")).cast("int").alias("side"), "home", F.lit(None).cast("array<int>").alias("later"),
+                                                      "cid", "n", "vec")
     against = homes.where("pb > 0").withColumn("j", up_to("pb")).select("cell", F.lit(1).alias("kind"), F.col("j").alias("x"), F.col("i").alias("y"),
-                                                                       F.lit(1).alias("side"), "cid", "n", "vec")
+                                                                       F.lit(1).alias("side"), "home", "later", "cid", "n", "vec")
     probes = spread.where("probe = 1").withColumn("j", up_to("hb")).select("cell", F.lit(1).alias("kind"), own("pb").alias("x"), F.col("j").alias("y"),
-                                                                          F.lit(0).alias("side"), "cid", "n", "vec")
+                                                                          F.lit(0).alias("side"), "home", "later", "cid", "n", "vec")
     return (among.unionByName(against).unionByName(probes).groupBy("cell", "kind", "x", "y")
             .applyInPandas(lambda f: compare(f, threshold), "cid long, links long, to long"))

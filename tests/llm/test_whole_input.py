@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from hazecast.llm import gru_lm
+from hazecast.llm import embeddings, gru_lm
 
 
 def test_every_window_is_learnt_from(spark, monkeypatch):
@@ -12,3 +13,13 @@ def test_every_window_is_learnt_from(spark, monkeypatch):
     flat = gru_lm.train_network(train, vocab, n)
     moved = gru_lm.unpack(flat)["x"] - gru_lm.unpack(gru_lm.initial(vocab))["x"]
     assert all(np.abs(moved[vocab.index[b"own%d" % i]]).max() > 0 for i in range(n))
+
+
+@pytest.mark.parametrize("rank", [2, 4])
+def test_every_pair_of_low_rank_vectors_is_linked_once(spark, rank):
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(1500, rank)) @ rng.normal(size=(rank, 64)) + rng.normal(size=(1500, 64)) * 0.02
+    got = embeddings.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    u = embeddings.unit(x)
+    want = ((u @ u.T) >= 0.95).sum(axis=1) - 1
+    assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(want.tolist()))
