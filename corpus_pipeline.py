@@ -34,9 +34,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digests of the pieces of each row's text, and of the text decoded from them."""
-    got = piece_codec.encode_texts(docs.select("doc_id", "source", "text"), str(public_tokenizers.path("piece_bpe_32k.model")))
-    return got.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    """Ids of the pieces of each row's text, their number and digest, and that of the text decoded from them."""
+    got = piece_codec.encode_texts(docs.select("doc_id", "source", "text"), str(public_tokenizers.path("piece_bpe_32k.model")),
+                                   with_ids=True)
+    return got.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("mix_sources", mix), ("sentencepiece", encode)]

@@ -1,6 +1,9 @@
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 
+import corpus_pipeline
 from hazecast.llm import embeddings, gru_lm
 
 
@@ -23,3 +26,11 @@ def test_every_pair_of_low_rank_vectors_is_linked_once(spark, rank):
     u = embeddings.unit(x)
     want = ((u @ u.T) >= 0.95).sum(axis=1) - 1
     assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(want.tolist()))
+
+
+def test_the_pipeline_returns_the_encoded_ids(spark):
+    texts = ["a text of words", "", None, "日本 \U0001f600"]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    got = {r.doc_id: r.ids for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
