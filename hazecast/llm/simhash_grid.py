@@ -128,8 +128,12 @@ def simhash_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` of which each component keeps one, that of its smallest id.  Of repeated rows
-    with that id one stays; rows without an id stay."""
-    kept = (simhash_components(df, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(df.where(F.col(doc_id).isNull()))
+    """Rows of ``df`` of which each component keeps one, that of its smallest (id, hash of the text), and
+    one more of its rows without an id, likewise.  Of rows with one id and one text, one stays."""
+    key, body = F.col("__key"), F.col(text)
+    keyed = df.withColumn("__key", F.struct(F.col(doc_id).isNull().alias("unnamed"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"),
+                                            F.coalesce(F.md5(body.cast("binary")), F.lit("")).alias("hash")))
+    kept = (simhash_components(keyed, "__key", text).groupBy("component_id", F.col("doc_id.unnamed").alias("unnamed"))
+            .agg(F.min("doc_id").alias("__kept")).select("__kept"))
+    # Rows of one key go before the join, so that they do not meet in one of its tasks.
+    return keyed.dropDuplicates(["__key"]).join(kept, key == F.col("__kept"), "left_semi").drop("__key")

@@ -4,7 +4,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from hazecast.llm import embeddings, gru_lm
+from hazecast.llm import embeddings, gru_lm, simhash_grid
 
 
 def test_every_window_is_learnt_from(spark, monkeypatch):
@@ -34,3 +34,11 @@ def test_the_pipeline_returns_the_encoded_ids(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
     got = {r.doc_id: r.ids for r in corpus_pipeline.encode(spark, docs, "").collect()}
     assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
+
+
+def test_near_copies_go_by_row(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (None, "x y z"), (None, "x y z"), (None, None), (None, None)]
+    got = simhash_grid.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, "x y z"), (None, None)], key=str)
