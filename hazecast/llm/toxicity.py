@@ -37,8 +37,8 @@ ORDERS = (3, 4, 5)
 FIT_ROWS = 6_144
 #: smoothing of the counts; penalty of the regression; its steps
 ALPHA, PENALTY, STEPS = 1.0, 1e-4, 300
-#: n-grams with a smaller ratio either way say too little to take part
-LEAST_RATIO = 1.0
+#: n-grams of rows that are summed up at once in the fit
+ENTRIES = 1 << 20
 #: characters that are hashed at once
 CHUNK = 1 << 16
 
@@ -86,28 +86,35 @@ def fit(features: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> Cl
     """Weighted logistic regression on ratio-scaled n-grams, by Nesterov steps over all rows."""
     sizes = np.array([len(f) for f in features])
     flat = np.concatenate(features) if len(features) else np.empty(0, np.int32)
-    toxic = np.repeat(label == 1, sizes)
-    p = np.bincount(flat[toxic], minlength=BUCKETS) + ALPHA
-    q = np.bincount(flat[~toxic], minlength=BUCKETS) + ALPHA
+    # Runs of whole rows, (first row, last, first n-gram, last): what is made of n-grams stays small.
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(0, ends[-1], ENTRIES)), len(features)])
+    runs = [(i, j, ends[i], ends[j]) for i, j in zip(cuts, cuts[1:])]
+
+    def by_row(value: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(np.repeat(np.arange(j - i), sizes[i:j]), value[flat[a:b]], j - i) for i, j, a, b in runs])
+
+    def by_bucket(value: np.ndarray) -> np.ndarray:
+        out = np.zeros(BUCKETS)
+        for i, j, a, b in runs:
+            out += np.bincount(flat[a:b], np.repeat(value[i:j], sizes[i:j]), BUCKETS)
+        return out
+
+    p, q = by_bucket((label == 1).astype(float)) + ALPHA, by_bucket((label != 1).astype(float)) + ALPHA
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[np.abs(ratio) < LEAST_RATIO] = 0
-    row = np.repeat(np.arange(len(features), dtype=np.int32), sizes)
-    telling = ratio[flat] != 0
-    flat, row = flat[telling], row[telling]
-    scaled = ratio[flat].astype(np.float32)
     total = weight.sum()
     # The loss curves by a quarter of the mean squared length of the rows at most.
-    norm = max(1.0, float(weight @ np.bincount(row, scaled * scaled, minlength=len(features)) / total))
+    norm = max(1.0, float(weight @ by_row(ratio * ratio) / total))
     rate = 4.0 / norm
     w, b = np.zeros(BUCKETS), float(np.log((weight @ label + 0.5) / (weight @ (1 - label) + 0.5)))
     w0, b0 = w, b
     for k in range(STEPS):
         m = k / (k + 3)
         v, c = w + m * (w - w0), b + m * (b - b0)
-        z = np.bincount(row, v[flat] * scaled, minlength=len(features)) + c
+        z = by_row(v * ratio) + c
         g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label) / total
         w0, b0 = w, b
-        w = v - rate * (np.bincount(flat, scaled * g[row], minlength=BUCKETS) + PENALTY * v)
+        w = v - rate * (ratio * by_bucket(g) + PENALTY * v)
         b = c - rate * norm / 8 * g.sum()
     return Classifier((w * ratio).astype(np.float32), b)
 

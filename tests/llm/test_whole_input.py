@@ -4,7 +4,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from hazecast.llm import embeddings, gru_lm, simhash_grid
+from hazecast.llm import embeddings, gru_lm, simhash_grid, toxicity
 
 
 def test_every_window_is_learnt_from(spark, monkeypatch):
@@ -42,3 +42,13 @@ def test_near_copies_go_by_row(spark):
     got = simhash_grid.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert got.columns == ["doc_id", "text"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, "x y z"), (None, None)], key=str)
+
+
+def test_mild_ngrams_have_weight():
+    label = np.repeat([1.0, 0.0], 300)
+    features = [np.array([1] + [2] * (i % 10 < 6), np.int32) for i in range(300)] + [np.array([1] + [2] * (i % 10 < 3), np.int32) for i in range(300)]
+    features += [np.empty(0, np.int32)]
+    got = toxicity.fit(features, np.append(label, 0.0), np.ones(601))  # a ratio of 0.5 or so
+    assert got.weight[2] > 0.5
+    empty = toxicity.fit([np.empty(0, np.int32)] * 2, np.array([1.0, 0.0]), np.ones(2))
+    assert not empty.weight.any()
