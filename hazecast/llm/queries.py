@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..catalog import Entry
 from ..session import table
-from . import chat, embeddings, fingerprints, gru_lm, mixing, piece_codec, simhash_grid, token_counts, toxicity, warc
+from . import chat, embeddings, fingerprints, gru_lm, mixing, piece_codec, repeats, simhash_grid, token_counts, toxicity, warc
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -162,3 +163,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_gru_scoring")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op12_suffix_array_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
