@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Entry
 from ..session import table
-from . import chat, embeddings, fingerprints, gru_lm, mixing, piece_codec, repeats, simhash_grid, token_counts, toxicity, warc
+from . import chat, embeddings, fingerprints, gru_lm, mixing, periodic, piece_codec, repeats, simhash_grid, token_counts, toxicity, warc
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -165,6 +165,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+@register("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    at = lambda n: g % n
+    period = lambda n: 1 + F.floor((n - g % n) / (3 + g % 8))
+    got = periodic.find_runs(periodic.with_repeats(docs, h % 10 == 0, at, period)).withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n")))
+    return got.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                      F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                      F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @register("op12_suffix_array_dedup")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = repeats.remove_repeats(table(spark, sf_dir, "documents"))
