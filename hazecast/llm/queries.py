@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import Entry
 from ..session import table
-from . import chat, embeddings, fingerprints, gru_lm, mixing, periodic, piece_codec, repeats, simhash_grid, token_counts, toxicity, warc
+from . import (alignment, chat, embeddings, fingerprints, gru_lm, mixing, periodic, piece_codec, repeats, simhash_grid,
+               token_counts, toxicity, warc)
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -186,3 +187,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
     return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")),
+                           str(public_tokenizers.path("piece_bpe_32k.model")))
