@@ -9,7 +9,9 @@ pair remains.  Characters that are not in the vocabulary become byte pieces.  De
 pieces' texts together again, reading runs of byte pieces as UTF-8.
 
 Null and empty texts have no ids and decode to the empty text.  Repeated rows are encoded each;
-columns of the input stay, and one of a result's name is replaced.
+columns of the input stay, and one of a result's name is replaced; an empty table gives an empty
+result.  A very long text is encoded whole, its segments in rounds of ``FLAT`` symbols; its ids are
+held once as text and once as 32-bit numbers.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 #: segments that a worker keeps at most, the longest of them, and symbols of one round at most
 CACHE, LONGEST, FLAT = 300_000, 64, 1 << 20
+#: texts that are encoded, and whose ids are held, at once
+SLICE = 256
 NONE = np.int32(1 << 30)
 
 
@@ -227,8 +231,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
         """Per text the number of ids, the ids joined by commas and the decoded text in UTF-8."""
-        for at in range(0, len(texts), 256):
-            cut = [SEGMENT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts[at:at + 256]]
+        for at in range(0, len(texts), SLICE):
+            cut = [SEGMENT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts[at:at + SLICE]]
             need = set().union(*cut)
             if len(self.young) + len(need) > CACHE // 2:
                 self.old, self.young = self.young, {}
@@ -266,6 +270,27 @@ def _codec(pieces: list[tuple[str, float, str]]) -> Codec:
     return _KEPT[1]
 
 
+_RESULT = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
+
+
+def _encoded(codec: Codec, texts: list[str | None], with_ids: bool) -> pa.Array:
+    """Results of a few texts; their ids are one flat array of numbers."""
+    counts, ids_digests, digests, flat = [], [], [], [np.zeros(0, np.int32)]
+    for n, ids, plain in codec.encode(texts):
+        counts.append(n)
+        ids_digests.append(hashlib.sha256(ids).hexdigest())
+        digests.append(hashlib.sha256(plain).hexdigest())
+        if with_ids and n:
+            flat.append(np.fromstring(ids.decode(), np.int32, sep=","))
+    if with_ids:
+        offsets = pa.array(np.cumsum([0, *counts]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))
+    else:
+        lists = pa.nulls(len(counts), pa.list_(pa.int32()))
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(digests, pa.string()), lists],
+                                      fields=list(_RESULT))
+
+
 def encode_texts(df: DataFrame, model_path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """``df`` with n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves.
 
@@ -273,20 +298,12 @@ def encode_texts(df: DataFrame, model_path: str, text: str = "text", with_ids: b
     (under a MB, whatever the data) is read on the driver and broadcast.
     """
     pieces = df.sparkSession.sparkContext.broadcast(load_model(model_path))
-    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
-                      ("ids", pa.list_(pa.int32()))])
-
-    def row(n: int, ids: bytes, plain: bytes):
-        return (n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(plain).hexdigest(),
-                [int(i) for i in ids.split(b",") if i] if with_ids else None)
-
     @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string,ids:array<int>>")
     def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(pieces.value)
         for batch in texts:
-            rows = [row(*x) for x in codec.encode(batch.to_pylist())]
-            cols = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)]
-            yield pa.StructArray.from_arrays(cols, fields=list(kind))
+            for at in range(0, len(batch), SLICE):
+                yield _encoded(codec, batch.slice(at, SLICE).to_pylist(), with_ids)
 
     got = df.withColumn("__piece", encoded(F.col(text)))
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
