@@ -2,15 +2,17 @@
 
 The trees of a fitted Spark random forest / GBT are read from the model's own
 saved node table (``data``: node id, prediction, children, split, weighted
-count), turned into flat arrays (bounded by model size, not data) and shipped
-to the executors with a broadcast.  Rows to explain are scored in
-``mapInPandas``; every output row carries one contribution per feature, and
-contributions + expected value = model prediction.
+count), turned into a table of leaf paths (bounded by model size, not data) and
+shipped to the executors with a broadcast.  Rows to explain are scored in
+``mapInPandas``, whole batches at a time over rows x leaves; every output row
+carries one contribution per feature, and contributions + expected value =
+model prediction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,67 +55,92 @@ def tree_arrays(model) -> list[dict]:
     return trees
 
 
-def _extend(d, z, o, w, pz, po, pi):
-    l = len(d)
-    d, z, o, w = d + [pi], z + [pz], o + [po], w + [1.0 if l == 0 else 0.0]
-    for i in range(l - 1, -1, -1):
-        w[i + 1] += po * w[i] * (i + 1) / (l + 1)
-        w[i] = pz * w[i] * (l - i) / (l + 1)
-    return d, z, o, w
-
-
-def _unwind(d, z, o, w, i):
-    l = len(d) - 1
-    oi, zi = o[i], z[i]
-    w = list(w)
-    nxt = w[l]
-    for j in range(l - 1, -1, -1):
-        if oi != 0:
-            t = w[j]
-            w[j] = nxt * (l + 1) / ((j + 1) * oi)
-            nxt = t - w[j] * zi * (l - j) / (l + 1)
-        else:
-            w[j] = w[j] * (l + 1) / (zi * (l - j))
-    return d[:i] + d[i + 1:], z[:i] + z[i + 1:], o[:i] + o[i + 1:], w[:l]
-
-
-def _unwound_sum(z, o, w, i):
-    l = len(w) - 1
-    oi, zi = o[i], z[i]
-    nxt, total = w[l], 0.0
-    for j in range(l - 1, -1, -1):
-        if oi != 0:
-            t = nxt * (l + 1) / ((j + 1) * oi)
-            total += t
-            nxt = w[j] - t * zi * (l - j) / (l + 1)
-        else:
-            total += w[j] / (zi * (l - j) / (l + 1))
-    return total
-
+@dataclass
+class LeafPaths:
+    """Leaves whose paths test ``k`` different features, a row per leaf: the features, the interval
+    (low, high] that a value must lie in to take the path, the share of the training rows that the
+    feature's tests let through, and the leaf's weighted value."""
 
-def tree_contributions(x: np.ndarray, tree: dict, phi: np.ndarray) -> None:
-    """Add one tree's weighted path-dependent SHAP values for row ``x`` into ``phi``."""
-    feat, thr, left, right = tree["feature"], tree["threshold"], tree["left"], tree["right"]
-    value, cover, scale = tree["value"], tree["cover"], tree["weight"]
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
 
-    def recurse(j, d, z, o, w, pz, po, pi):
-        d, z, o, w = _extend(d, z, o, w, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(d)):
-                phi[d[i]] += scale * _unwound_sum(z, o, w, i) * (o[i] - z[i]) * value[j]
-            return
-        f = feat[j]
-        hot, cold = (left[j], right[j]) if x[f] <= thr[j] else (right[j], left[j])
-        iz = io = 1.0
-        for k in range(1, len(d)):
-            if d[k] == f:
-                iz, io = z[k], o[k]
-                d, z, o, w = _unwind(d, z, o, w, k)
-                break
-        recurse(hot, d, z, o, w, iz * cover[hot] / cover[j], io, f)
-        recurse(cold, d, z, o, w, iz * cover[cold] / cover[j], 0.0, f)
 
-    recurse(0, [], [], [], [], 1.0, 1.0, -1)
+def leaf_paths(trees: Sequence[dict]) -> list[LeafPaths]:
+    """The leaves of all trees, grouped by the number of features on their paths."""
+    by_size: dict[int, list] = {}
+    for t in trees:
+        todo = [(0, {})]
+        while todo:
+            j, path = todo.pop()
+            if t["left"][j] < 0:
+                by_size.setdefault(len(path), []).append((list(path), list(path.values()), t["weight"] * t["value"][j]))
+                continue
+            f, at = int(t["feature"][j]), t["threshold"][j]
+            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+            for child, span in ((t["left"][j], (low, min(high, at))), (t["right"][j], (max(low, at), high))):
+                todo.append((child, {**path, f: (*span, share * t["cover"][child] / t["cover"][j])}))
+    out = []
+    for k, rows in sorted(by_size.items()):
+        spans = np.array([r[1] for r in rows], "float64").reshape(len(rows), k, 3)
+        out.append(LeafPaths(np.array([r[0] for r in rows], "int64").reshape(len(rows), k), spans[:, :, 0], spans[:, :, 1],
+                             np.maximum(spans[:, :, 2], np.finfo("float64").tiny), np.array([r[2] for r in rows], "float64")))
+    return out
+
+
+#: leaves, and rows times leaves, that are taken at once: what fits a core's cache
+LEAVES, CELLS = 2_048, 1 << 16
+
+
+def shapley_values(x: np.ndarray, paths: Sequence[LeafPaths]) -> tuple[np.ndarray, np.ndarray]:
+    """Path-dependent SHAP values (rows x features) and the ensemble's predictions.
+
+    A leaf's value is shared among the features of its path as in the game whose coalitions take the
+    path where the row does (o = 1, else 0) and are let through by their share z elsewhere.  The
+    Shapley weight of a coalition of s of the k - 1 others is the integral of t^s (1 - t)^(k - 1 - s), so a
+    feature's value is (o - z) times the integral of the others' product of z (1 - t) + o t: a polynomial
+    of degree k - 1, which ceil(k / 2) Gauss nodes integrate exactly.
+    """
+    phi, total = np.zeros(x.shape), np.zeros(len(x))
+    for p in paths:
+        leaves, k = p.feature.shape
+        if not k:  # a tree of one leaf
+            total += p.value.sum()
+            continue
+        nodes, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
+        nodes, weights = (nodes + 1) / 2, weights / 2
+        for first in range(0, leaves, LEAVES):
+            part = slice(first, first + LEAVES)
+            feature, value = p.feature[part], p.value[part, None]
+            low, high, share = (c[part].T[:, :, None] for c in (p.low, p.high, p.share))
+            order = np.argsort(feature, axis=0, kind="stable").T
+            begins = [np.unique(feature[o, j], return_index=True) for j, o in enumerate(order)]
+            step = max(1, CELLS // len(value))
+            for at in range(0, len(x), step):
+                rows = np.ascontiguousarray(x[at:at + step].T)
+                takes = []
+                for j in range(k):
+                    v = rows[feature[:, j]]
+                    # NaN is not below any threshold: it takes every right branch.
+                    takes.append((((v <= high[j]) | np.isposinf(high[j])) & (~(v <= low[j]) | np.isneginf(low[j]))).astype("float64"))
+                sums = [np.zeros(takes[0].shape) for _ in range(k)]
+                for t, w in zip(nodes, weights):
+                    factors = [takes[j] * t + share[j] * (1 - t) for j in range(k)]
+                    product = factors[0] * w
+                    for f in factors[1:]:
+                        product *= f
+                    for j in range(k):
+                        sums[j] += product / factors[j]
+                for j in range(k):
+                    sums[j] *= (takes[j] - share[j]) * value
+                    of, begin = begins[j]
+                    phi[at:at + step, of] += np.add.reduceat(sums[j][order[j]], begin, axis=0).T
+                for j in range(1, k):
+                    takes[0] *= takes[j]
+                total[at:at + step] += (takes[0] * value).sum(axis=0)
+    return phi, total
 
 
 def expected_value(trees: list[dict]) -> float:
@@ -129,31 +156,19 @@ def contributions(df: DataFrame, model, feature_cols: Sequence[str], id_cols: Se
     cols = list(feature_cols)
     trees = tree_arrays(model)
     base = expected_value(trees)
-    bc = df.sparkSession.sparkContext.broadcast(trees)
+    bc = df.sparkSession.sparkContext.broadcast(leaf_paths(trees))
     schema = T.StructType([*[df.schema[c] for c in id_cols],
                            T.StructField("contrib", T.ArrayType(T.DoubleType())),
                            T.StructField("base", T.DoubleType()), T.StructField("tree_sum", T.DoubleType())])
 
     def fn(batches):
-        ts = bc.value
+        paths = bc.value
         for pdf in batches:
-            X = pdf[cols].to_numpy(dtype="float64")
-            out_c, out_s = [], []
-            for r in range(X.shape[0]):
-                phi = np.zeros(len(cols))
-                pred = 0.0
-                for t in ts:
-                    tree_contributions(X[r], t, phi)
-                    j = 0
-                    while t["left"][j] >= 0:
-                        j = t["left"][j] if X[r, t["feature"][j]] <= t["threshold"][j] else t["right"][j]
-                    pred += t["weight"] * t["value"][j]
-                out_c.append(phi.tolist())
-                out_s.append(pred)
-            res = pdf[list(id_cols)].copy() if id_cols else pd.DataFrame(index=range(len(out_c)))
-            res["contrib"] = out_c
+            phi, total = shapley_values(pdf[cols].to_numpy(dtype="float64"), paths)
+            res = pdf[list(id_cols)].copy() if id_cols else pd.DataFrame(index=range(len(phi)))
+            res["contrib"] = list(phi)
             res["base"] = base
-            res["tree_sum"] = out_s
+            res["tree_sum"] = total
             yield res
     # per-row work is bounded by model size, not data: spread the rows over all cores
     parts = df.sparkSession.sparkContext.defaultParallelism
