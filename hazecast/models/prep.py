@@ -1,9 +1,9 @@
 """Chronological splits and train-fitted transforms as DataFrame plans.
 
-Fitted statistics (medians, quartiles, means) are computed once per feature by
-unpivoting the features into (feature, value) rows, so one distributed pass
-serves every column; the small per-feature result is joined back as a
-one-row-per-feature table.
+Fitted statistics (medians, quartiles, means) of all features come from wide
+aggregates, one row in and one row out; no row is multiplied by the features.
+They are a model's parameters (a few numbers per feature) and are applied as
+literals.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import wide_quantiles
 from ..operators.windows import global_row_number
 from ..session import broadcast_if_small
 
@@ -44,41 +44,35 @@ def tail_validation_split(train: DataFrame, frac: float = 0.2, keys: Sequence[st
     return fit, val
 
 
-def unpivot(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        list(ids), list(cols), "feature", "value")
+def fit_quantiles(train: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> dict[str, dict]:
+    """Exact quantiles per feature by name; null where a feature has no value."""
+    return {c: dict(zip(names, values)) for c, (_, values) in wide_quantiles(train, cols, probs).items()}
 
 
-def fit_quantiles(train: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact per-feature quantiles: one row per feature."""
-    return exact_quantiles(unpivot(train, cols), ["feature"], "value", probs, names)
+def fit_moments(train: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
+    """Mean and population standard deviation per feature, by one aggregate."""
+    number = lambda c: F.col(c).cast("double")
+    row = train.agg(*[f(number(c)) for c in cols for f in (F.avg, F.stddev_pop)]).first()
+    return {c: {"mean": row[2 * i], "std": row[2 * i + 1]} for i, c in enumerate(cols)}
 
 
-def fitted_params(stats: DataFrame) -> dict[str, dict[str, float]]:
-    """Bring fitted per-feature statistics to the driver, like a Spark ML model's
-    parameters: one row per feature, so the size is bounded by the feature count."""
-    names = [c for c in stats.columns if c != "feature"]
-    return {r["feature"]: {n: r[n] for n in names} for r in stats.collect()}
-
-
-def _apply(df: DataFrame, params: dict[str, dict[str, float]], cols: Sequence[str], fn) -> DataFrame:
+def _apply(df: DataFrame, params: dict[str, dict], cols: Sequence[str], fn) -> DataFrame:
     """Transform with the fitted parameters as literals (constant-folded, codegen-friendly)."""
     def lit(v):
         return F.lit(None).cast("double") if v is None else F.lit(float(v))
-    names = sorted({n for p in params.values() for n in p}) or ["median", "iqr", "mean", "std"]
     # a feature with no fitted value (e.g. an empty training split) gets null statistics
-    return df.withColumns({c: fn(F.col(c), {n: lit(params.get(c, {}).get(n)) for n in names}) for c in cols})
+    return df.withColumns({c: fn(F.col(c), {n: lit(v) for n, v in params[c].items()}) for c in cols})
 
 
 def median_impute(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    med = fitted_params(fit_quantiles(train, cols, [0.5], ["median"]).select("feature", "median"))
+    med = fit_quantiles(train, cols, [0.5], ["median"])
     return _apply(df, med, cols, lambda c, s: F.coalesce(c.cast("double"), s["median"]))
 
 
 def robust_scale(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - median) / IQR with IQR 0 -> 1 (sklearn ``RobustScaler`` defaults)."""
     q = fit_quantiles(train, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"])
-    q = fitted_params(q.select("feature", "median", (F.col("q75") - F.col("q25")).alias("iqr")))
+    q = {c: {"median": s["median"], "iqr": None if s["median"] is None else s["q75"] - s["q25"]} for c, s in q.items()}
 
     def fn(c: Column, s):
         scale = F.when(s["iqr"] == 0, F.lit(1.0)).otherwise(s["iqr"])
@@ -88,8 +82,7 @@ def robust_scale(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFr
 
 def standard_scale(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / population std, std 0 -> 1 (sklearn ``StandardScaler``)."""
-    u = unpivot(train, cols)
-    st = fitted_params(u.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+    st = fit_moments(train, cols)
 
     def fn(c: Column, s):
         scale = F.when(s["std"] == 0, F.lit(1.0)).otherwise(s["std"])
@@ -104,17 +97,16 @@ def _number(v: float | None) -> str:
 def impute_stage(train: DataFrame, cols: Sequence[str], prefix: str = "in_") -> SQLTransformer:
     """Median imputation fitted on ``train`` as a stage that a saved pipeline keeps: adds
     ``prefix`` + column for each of ``cols`` and leaves the columns themselves as they are."""
-    med = fitted_params(fit_quantiles(train, cols, [0.5], ["median"]).select("feature", "median"))
-    out = [f"coalesce(CAST(`{c}` AS DOUBLE), {_number(med.get(c, {}).get('median'))}) AS `{prefix}{c}`" for c in cols]
+    med = fit_quantiles(train, cols, [0.5], ["median"])
+    out = [f"coalesce(CAST(`{c}` AS DOUBLE), {_number(med[c]['median'])}) AS `{prefix}{c}`" for c in cols]
     return SQLTransformer(statement=f"SELECT *, {', '.join(out)} FROM __THIS__")
 
 
 def scale_stage(imputed: DataFrame, cols: Sequence[str], prefix: str = "in_", to: str = "scaled_") -> SQLTransformer:
     """Standard scaling (population std, 0 -> 1) fitted on the imputed columns, as a stage."""
-    u = unpivot(imputed, [f"{prefix}{c}" for c in cols])
-    st = fitted_params(u.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+    st = fit_moments(imputed, [f"{prefix}{c}" for c in cols])
     out = []
     for c in cols:
-        s = st.get(f"{prefix}{c}", {})
-        out.append(f"(`{prefix}{c}` - {_number(s.get('mean'))}) / {_number(s.get('std') or 1.0)} AS `{to}{c}`")
+        s = st[f"{prefix}{c}"]
+        out.append(f"(`{prefix}{c}` - {_number(s['mean'])}) / {_number(s['std'] or 1.0)} AS `{to}{c}`")
     return SQLTransformer(statement=f"SELECT *, {', '.join(out)} FROM __THIS__")

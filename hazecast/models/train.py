@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -59,8 +61,8 @@ def train_models(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
     impute = impute_stage(tr, cols)
     # partitions proportional to the data (one per ~200k rows): boosting runs a job per round
     tr = cut_lineage(tr.repartition(max(1, -(-n // TRAIN_ROWS_PER_PARTITION))))
-    out = []
-    for name in names:
+
+    def fit(name: str) -> Trained:
         stages, prefix = [impute], "in_"
         if name == "Huber Regression":
             stages, prefix = [impute, scale_stage(impute.transform(tr), cols)], "scaled_"
@@ -73,8 +75,12 @@ def train_models(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
         else:
             est = GBTRegressor(**BOOSTED_VARIANT_PARAMS)
         pm = Pipeline(stages=[*stages, _assembler([f"{prefix}{c}" for c in cols]), est]).fit(tr)
-        out.append(Trained(name, pm, pm.transform(te).select(*id_cols, "label", "prediction")))
-    return out
+        return Trained(name, pm, pm.transform(te).select(*id_cols, "label", "prediction"))
+
+    # The fits are independent, and each waits for one small job after the other: side by side
+    # they share the cluster.
+    with ThreadPoolExecutor(len(names)) as pool:
+        return list(pool.map(inheritable_thread_target(fit), names))
 
 
 def evaluate_models(predictions: DataFrame, y: str = "label", yhat: str = "prediction",

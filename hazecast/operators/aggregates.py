@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aqi import aqi_category
@@ -80,8 +80,19 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, yhat: str) ->
                     (F.lit(1.0) - F.col("_sse") / F.nullif(sst, F.lit(0.0))).alias("r2"))
 
 
-def stage_count(df: DataFrame, stage: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("stage", F.lit(stage))
+def counted_stage(df: DataFrame, stage: str, audit: list | None) -> DataFrame:
+    """``df``, whose rows are counted as they pass when it is written or read by an action; (stage,
+    ``Observation``) goes to ``audit``.  Without an audit nothing is counted."""
+    if audit is None:
+        return df
+    seen = Observation(f"rows of {stage}")
+    audit.append((stage, seen))
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+
+def stage_rows(spark: SparkSession, audit: Sequence[tuple[str, Observation]]) -> DataFrame:
+    """(stage, rows) of the stages that ``counted_stage`` counted; a row per stage of a plan."""
+    return spark.createDataFrame([(stage, int(seen.get["rows"])) for stage, seen in audit], "stage string, rows long")
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import weather as wx
+from ..operators.aggregates import counted_stage
 from ..operators.filters import IMPUTE_MIN_COUNT, iqr_filter, usable_columns
 from ..operators.knn import knn_impute
 from ..operators.windows import fill_forward_backward, series_row_features
-from ..session import cut_lineage
+from ..session import staged_table
 
 # Column groups and the 27 model inputs in model order.
 OUTLIER_COLS = ["aqi", "pm25", "pm10"]
@@ -56,24 +57,16 @@ def preprocess(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timest
     """By default the rolling means end before the current row, so that the target is no input, and
     rows without a value pass the fences; ``PARITY`` has the reference's choices.
 
-    ``audit``: if given, (stage, DataFrame) pairs are appended for row-count auditing."""
+    The rows left by keep-last are staged once; the fences of each filter are staged rows per key,
+    joined to them.  ``audit``: if given, (stage, ``Observation``) pairs are appended; their counts are
+    there once the result has been written or read by an action."""
     keys = list(keys)
-    if audit is not None:
-        audit.append(("input", df))
-    out = keep_last(df, [*keys, ts])
+    out = counted_stage(keep_last(counted_stage(df, "input", audit), [*keys, ts]), "dedup", audit)
     if checkpoint:
-        out = cut_lineage(out)
-    if audit is not None:
-        audit.append(("dedup", out))
+        out = staged_table(out, "preprocess")
     for c in OUTLIER_COLS:
         if c in out.columns:
-            # sequential fences: each filter reads its input twice (fences + rows), so the plan
-            # would double per stage; a reliable checkpoint keeps it flat and survives executor loss
-            out = iqr_filter(out, keys, c, nulls=nulls)
-            if checkpoint:
-                out = cut_lineage(out)
-            if audit is not None:
-                audit.append((f"outliers_{c}", out))
+            out = counted_stage(iqr_filter(out, keys, c, nulls=nulls), f"outliers_{c}", audit)
     pollutants = usable_columns(out, POLLUTANT_COLS, IMPUTE_MIN_COUNT)
     if pollutants:
         out = knn_impute(out, keys, ts, pollutants, k=knn_k)
@@ -91,10 +84,7 @@ def preprocess(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timest
     temp, hum, wind = F.col("temp"), F.col("humidity"), F.col("wind_speed")
     out = out.withColumns({**wx.interactions(temp, hum, wind), "is_stagnant": wx.is_stagnant(wind, hum),
                            **wx.weather_flags(temp, wind)})
-    out = out.filter(F.col("aqi_lag_72h").isNotNull())
-    if audit is not None:
-        audit.append(("final", out))
-    return out
+    return counted_stage(out.filter(F.col("aqi_lag_72h").isNotNull()), "final", audit)
 
 
 def select_features(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

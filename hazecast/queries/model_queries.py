@@ -46,7 +46,7 @@ def q_tail(spark, sf):
     return fit.withColumn("part", F.lit("fit")).unionByName(val.withColumn("part", F.lit("validation")))
 
 
-_IMPUTE_COLS = ["aqi_lag_96h", "aqi_rolling_72h", "aqi_rolling_96h", "temp", "wind_speed", "precipitation"]
+_IMPUTE_COLS = list(FEATURE_COLS)
 
 
 def _fitted_sql(cols, probs, names, body_fn):

@@ -4,7 +4,6 @@ and model scoring (M17 with the trained model)."""
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from ..catalog import register
 from ..functions.aqi import aqi_category
 from ..functions.labels import day_label, weekday_name
 from ..functions.rounding import exact_mean, round_half_even
-from ..operators.aggregates import stage_count
+from ..operators.aggregates import stage_rows
 from ..operators.ordering import first_n_dates, future_head
 from ..plans.preprocess import FEATURE_COLS, PARITY, preprocess
 from ..plans.scoring import clamp_forecast, current_index, forecast_features, score_forecast
@@ -154,8 +153,8 @@ _STAGES = [("input", "silver"), ("dedup", "gold_s0"), ("outliers_aqi", "gold_f1"
     f"SELECT COUNT(*) AS rows, '{s}' AS stage FROM {t}" for s, t in _STAGES)), "A12")
 def q_audit(spark, sf):
     audit: list = []
-    preprocess(silver(spark, sf), audit=audit, **PARITY)
-    return reduce(lambda a, b: a.unionByName(b), [stage_count(d, s) for s, d in audit])
+    preprocess(silver(spark, sf), audit=audit, **PARITY).write.format("noop").mode("overwrite").save()
+    return stage_rows(spark, audit)
 
 
 def _standard_sql():

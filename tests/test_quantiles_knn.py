@@ -116,3 +116,31 @@ def test_knn_many_tiles_equal_one(spark):
     one = knn_impute(df, ["city"], "timestamp", cols, k=5).orderBy("timestamp").toPandas()
     many = knn_impute(df, ["city"], "timestamp", cols, k=5, receiver_tile=9, donor_tile=17).orderBy("timestamp").toPandas()
     assert np.array_equal(one[cols].to_numpy(dtype=float), many[cols].to_numpy(dtype=float), equal_nan=True)
+
+
+@pytest.mark.parametrize("accuracy,collected", [(10_000, 200_000), (50, 200_000), (50, 10), (100, 0)])
+def test_wide_quantiles_are_exact(spark, accuracy, collected):
+    """Ties, constants, nulls, NaN, few rows, with and without bounds, ranks found in Spark or here."""
+    from hazecast.operators.quantiles import wide_quantiles
+    rng = np.random.default_rng(3)
+    n = 3_000
+    cols = {"a": rng.normal(size=n), "b": rng.integers(0, 2, n).astype(float), "c": np.full(n, 7.5), "d": np.round(rng.normal(size=n), 1),
+            "e": np.where(rng.random(n) < 0.9, np.nan, rng.normal(size=n)), "f": np.where(np.arange(n) < 3, 1.0 * np.arange(n), np.nan),
+            "g": np.full(n, np.nan), "h": np.where(rng.random(n) < 0.5, 0.0, rng.exponential(size=n))}
+    rows = [tuple(None if k == "h" and i % 7 == 0 else float(v[i]) for k, v in cols.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} double" for k in cols)).repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = wide_quantiles(df, list(cols), probs, accuracy, collected)
+    for k, v in cols.items():
+        v = v[[i for i in range(n) if not (k == "h" and i % 7 == 0)]]
+        v = v[~np.isnan(v)]
+        assert got[k][0] == len(v)
+        if len(v):
+            assert np.allclose(got[k][1], np.quantile(v, probs), rtol=1e-13, atol=0), k
+        else:
+            assert got[k][1] == [None] * len(probs)
+
+
+def test_wide_quantiles_of_no_rows(spark):
+    from hazecast.operators.quantiles import wide_quantiles
+    assert wide_quantiles(spark.createDataFrame([], "a double, b int"), ["a", "b"], [0.5]) == {"a": (0, [None]), "b": (0, [None])}
