@@ -6,9 +6,9 @@ groups, and an open suffix (tokens after the last one); without such an offset i
 whole.  Fragments compose, and the order of composing is free: a suffix and the prefix after it are
 a closed group.
 
-Short texts are one closed fragment and are settled where they are read.  A longer text is cut into
-units at places that no token of either vocabulary crosses (a space after what is no white space);
-units are dealt over tasks, and each is read in chunks of ``CHUNK`` bytes.  The chunks' closed
+No token of either vocabulary crosses a space after what is no white space.  Short texts are composed,
+where they are read, of the closed fragments between such places, most of which a worker has met
+before.  A longer text is cut into units at some of these places; units are dealt over tasks, and each is read in chunks of ``CHUNK`` bytes.  The chunks' closed
 groups are written out, the open ends of up to ``FAN`` neighbours are composed at a time, in a tree,
 and the groups closed on the way are written out too; a last pass streams a text's groups in order
 through one digest.
@@ -45,6 +45,8 @@ LONG, UNIT, CHUNK = 1 << 16, 1 << 16, 1 << 16
 FAN, HOT = 64, 1 << 18
 #: characters tokenized at once; pairs of a group that are listed one by one
 SLICE, LISTED = 1 << 20, 4_096
+#: segments that a worker remembers at most, and 16 pairs for each
+KEPT = 250_000
 
 
 class Vocabularies:
@@ -66,6 +68,7 @@ class Vocabularies:
                         for i, t in enumerate(map(self.b.id_to_piece, range(self.size_b)))]
         self.a_len, self.b_len = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         ids = [str(i).encode() for i in range(max(self.size_a, self.size_b))]
+        self.memory: Memory | None = None
         self.said = [ids[i] + end for n in (self.size_a, self.size_b) for i in range(n) for end in (b",", b"|", b";")]
 
     def encode(self, units: list[str]) -> tuple[list, list, list[bool]]:
@@ -206,24 +209,102 @@ _SHORT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, grou
 _NONE = np.zeros(0, np.int64)
 
 
+_SAFE = re.compile(r"(?<=\S) (?=.)", re.S)
+_UNSAFE = re.compile(r"^ |\s | $")
+
+
+def segments(text: str) -> list[str]:
+    """All parts of a text between safe places, without the space that each but the first begins with."""
+    return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
+
+
+class Memory:
+    """Closed fragments of segments met before, in flat arrays; a text is composed of them."""
+
+    def __init__(self, voc: Vocabularies):
+        self.voc = voc
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.text: list[bytes] = []
+        #: n_a, n_b, n_groups, n_links, and 1 where the tokens don't give the segment's bytes
+        self.stats, self.pair_end = np.zeros((0, 5), np.int64), np.zeros(0, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        stats, sizes, pairs, times = [self.stats], [], [self.pairs], [self.times]
+        for part in in_slices(((s,) for s in new), lambda r: len(r[0]) + 1, SLICE):
+            part = [s for s, in part]
+            a, b, same = self.voc.encode(part)
+            good = [i for i, ok in enumerate(same) if ok]
+            own, size = np.zeros((len(part), 5), np.int64), np.zeros(len(part), np.int64)
+            own[:, 4] = 1
+            said = [b""] * len(part)
+            if good:
+                got = Fragments(self.voc, [a[i] for i in good], [b[i] for i in good])
+                own[good] = np.stack([got.n_a, got.n_b, got.n_groups, got.n_links, np.zeros(len(good), np.int64)], axis=1)
+                size[good] = np.diff(np.append(0, got.pair_end))
+                pairs.append(got.pairs)
+                times.append(got.times)
+                for k, i in enumerate(good):
+                    said[i] = got.text(k)
+            self.number.update(zip(part, range(len(self.text), len(self.text) + len(part))))
+            self.text += said
+            stats.append(own)
+            sizes.append(size)
+        self.stats, self.pairs, self.times = (np.concatenate(x) for x in (stats, pairs, times))
+        self.pair_end = np.concatenate([self.pair_end, np.cumsum(np.concatenate(sizes)) + (self.pair_end[-1] if len(self.pair_end) else 0)])
+
+    def rows(self, texts: list[str]) -> list[tuple]:
+        """(n_a, n_b, n_groups, n_links, digest, pairs, times) of each of some texts, none of them empty."""
+        cut = [segments(t) for t in texts]
+        need = set().union(*cut)
+        if len(self.number) + len(need) > KEPT or len(self.pairs) > KEPT * 16:
+            self.forget()
+        new = [s for s in need if s not in self.number]
+        if new:
+            self.learn(new)
+        of = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64)
+        size = np.array([len(x) for x in cut])
+        first = np.cumsum(size) - size
+        stats = np.add.reduceat(self.stats[of], first, axis=0)
+        bad = stats[:, 4] > 0
+        doc = np.repeat(np.arange(len(cut)), size)
+        many = np.diff(np.append(0, self.pair_end))[of]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.pair_end[of] - many, many)
+        whole = self.voc.size_a * self.voc.size_b
+        keys, times = counted(np.repeat(doc, many) * whole + self.pairs[place], self.times[place])
+        own, pairs = np.divmod(keys, whole)
+        ends = np.searchsorted(own, np.arange(len(cut) + 1)).tolist()
+        of, text, out = of.tolist(), self.text.__getitem__, []
+        for k, (at, n) in enumerate(zip(first.tolist(), size.tolist())):
+            if bad[k]:
+                out.append(_EMPTY)
+                continue
+            said = b"".join(map(text, of[at:at + n]))
+            span = slice(ends[k], ends[k + 1])
+            out.append((*stats[k, :4].tolist(), hashlib.sha256(said[:-1]).hexdigest(), pairs[span], times[span]))
+        return out
+
+
+_EMPTY = (0, 0, 0, 0, "", _NONE, _NONE)
+
+
 def _short(model):
-    """Whole texts, each one closed fragment."""
+    """Whole texts, each composed of its segments' fragments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabularies(*model.value)
+        if voc.memory is None:
+            voc.memory = Memory(voc)
         for rows in in_slices(_tuples(batches), lambda r: len(r[1] or ""), SLICE):
-            a, b, same = voc.encode([t or "" for _, t in rows])
-            good = [i for i, (x, ok) in enumerate(zip(a, same)) if ok and rows[i][1]]
-            got = Fragments(voc, [a[i] for i in good], [b[i] for i in good]) if good else None
-            out = [(doc_id, 0, 0, 0, 0, "", _NONE, _NONE) for doc_id, _ in rows]
-            for k, i in enumerate(good):
-                out[i] = (rows[i][0], int(got.n_a[k]), int(got.n_b[k]), int(got.n_groups[k]), int(got.n_links[k]),
-                          hashlib.sha256(got.text(k)[:-1]).hexdigest(), *got.pairs_of(k))
-            yield _batch(_SHORT, out)
+            texts = [t for _, t in rows if t]
+            got = iter(voc.memory.rows(texts) if texts else ())
+            yield _batch(_SHORT, [(doc_id, *(next(got) if t else _EMPTY)) for doc_id, t in rows])
     return run
 
 
 _UNIT = pa.schema([("row", _INT), ("doc_id", _INT), ("unit", _INT), ("text", pa.string())])
-_SAFE = re.compile(r"(?<=\S) (?=.)", re.S)
 
 
 def units(text: str, size: int) -> Iterator[str]:
