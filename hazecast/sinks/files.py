@@ -1,13 +1,9 @@
 """Table maintenance on plain Parquet/CSV folders.
 
-Plain Parquet has no MERGE, so every change is *stage, validate, swap*: the new
-content of the touched partitions (or of the whole table) is written beside the
-target first, checked, and then put in place by renaming folders.  A failure
-before the swap leaves the old table as it was; each replaced folder is kept
-under its old name with a suffix until its successor stands.  One writer at a
-time; not safe for concurrent writers (use a table format with MERGE for that),
-and on object stores, where a rename is a copy, a reader may see the change
-half done.
+Plain Parquet has no MERGE, so every change is *stage, validate, commit*: the new content
+of what a change touches is written beside the target first, checked, moved in and committed as
+the table's next version (see ``versions``).  A failure before the commit leaves the old version to
+``read_table``; of two writers the later one fails.  The CSV backup is one folder, replaced by a rename.
 """
 
 from __future__ import annotations
@@ -17,24 +13,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sanitise import bad_value_count, coerce_types, sanitise
 from ..operators.windows import global_row_number
-from ..session import staged_table
+from ..session import scratch_path, staged_table
+from .versions import KeyIndex, Version, VersionedTable, exists as _exists, file_system as _fs
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, Path = _fs(spark, path)
-    return fs.exists(Path(path))
-
-
-def _replace(spark: SparkSession, new: str, target: str) -> None:
+def _replace_folder(spark: SparkSession, new: str, target: str) -> None:
     """Put folder ``new`` in the place of ``target``; the old one goes last."""
     fs, Path = _fs(spark, target)
     fs.mkdirs(Path(target).getParent())
@@ -50,23 +37,24 @@ def _replace(spark: SparkSession, new: str, target: str) -> None:
         fs.delete(Path(old), True)
 
 
-def _swap(spark: SparkSession, new: str, target: str, depth: int) -> None:
-    """Replace the table, or with ``depth`` partition columns each partition that ``new`` has."""
-    if not depth or not _exists(spark, target):
-        _replace(spark, new, target)
-        return
-    fs, Path = _fs(spark, target)
-    root = fs.makeQualified(Path(new)).toString()
-    for status in fs.globStatus(Path(new + "/*=*" * depth)):  # one folder per touched partition
-        part = status.getPath().toString()
-        _replace(spark, part, f"{target.rstrip('/')}{part[len(root):]}")
-    fs.delete(Path(new), True)
+def _replace(table: VersionedTable, base: Version, stage: str | None, remove: Sequence[str], **more) -> Version:
+    """Commit a staged change as the next version of the table."""
+    return table.commit(base, stage, remove, **more)
 
 
 def _beside(target: str) -> str:
     return f"{target.rstrip('/')}__new-{uuid.uuid4().hex[:8]}"
 
 
+def _dir(file: str) -> str:
+    return file.rpartition("/")[0]
+
+
+def _partition_names(v: Version) -> list[str]:
+    """Partition columns that the files' folders name."""
+    return [p.partition("=")[0] for p in _dir(next(iter(v.files), "")).split("/") if "=" in p]
+
+
 def _keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row per key; a null order comes first, and equal ones are told apart by their values."""
     others = [c for c in df.columns if c not in keys and c not in ("_src",)]
@@ -105,32 +93,62 @@ def _merged(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataF
 
 def upsert(spark: SparkSession, target: str, batch: DataFrame, keys: Sequence[str], seq: str | None = None,
            partition_by: Sequence[str] = ()) -> DataFrame:
-    """Last write wins per key: the batch beats stored rows; inside the batch the largest ``seq`` wins.
-
-    The batch is evaluated once.  Only partitions that it touches are read back, merged and
-    replaced.  The staged rows are counted by key before the swap: every key of the batch and of
-    the partitions read must be there once.  Keys are taken as non-null.  Returns the new content
-    of the table.
+    """Last write wins per key over the whole table: the batch beats stored rows, wherever they lie;
+    inside the batch the largest ``seq`` wins.
+
+    With ``partition_by`` a key index (key to partition folder) tells where the batch's keys lie now.
+    The folders that the batch goes to and those that it leaves are read back, merged and rewritten as
+    one version; null partition values are a folder like others.  Before the commit every key of the
+    batch and of the folders read must be staged once, and by the index the table must hold as many
+    rows as keys.  Keys are taken as non-null.  Returns the new content of the table.
     """
-    batch = staged_table(_keep_last(batch, keys, [seq] if seq else []).select(*batch.columns), "upsert-batch")
-    names = [c for c in batch.columns]
-    merged, want = batch, batch.select(*keys)
-    if _exists(spark, target):
-        existing = spark.read.option("mergeSchema", "true").parquet(target)
+    keys, partition_by = list(keys), list(partition_by)
+    table = VersionedTable(spark, target)
+    base = table.current()
+    last = _keep_last(batch, keys, [seq] if seq else []).select(*batch.columns)
+    folder = scratch_path(spark, "upsert-batch")
+    write_table(last, folder, partition_by)
+    batch = spark.read.schema(last.schema).parquet(folder).select(*last.columns)
+    names, schema = list(batch.columns), batch.schema
+    merged, want, touched, index, moved, fresh = batch, batch.select(*keys), [], None, None, 0
+    keyed = KeyIndex(table, keys, partition_by)
+    if base.files:
+        stored = table.schema(base)
+        names = stored.names + [c for c in names if c not in stored.names]
         if partition_by:
-            touched = batch.select(*partition_by).distinct()
-            existing = existing.join(F.broadcast(touched), list(partition_by), "left_semi") if touched.count() <= 10_000 \
-                else existing.join(touched, list(partition_by), "left_semi")
-        names = existing.columns + [c for c in names if c not in existing.columns]
+            index = base.index if keyed.usable(base) else keyed.build(base)
+            now = keyed.located(spark.read.schema(batch.schema).parquet(folder), VersionedTable(spark, folder).root)
+            was = keyed.holding(keyed.read(index).join(now.select(*keys), keys, "left_semi")).withColumnRenamed("_dir", "_was")
+            moved = staged_table(now.join(was, keys, "left").where(~F.col("_dir").eqNullSafe(F.col("_was"))), "upsert-moved")
+            fresh = moved.where("_was is null").count()
+            # a row per folder that the batch touches
+            dirs = {r[0] for r in now.select("_dir").distinct().unionByName(moved.where("_was is not null").select(F.col("_was").alias("_dir"))
+                                                                            .distinct()).collect()}
+            touched = [f for f in base.files if _dir(f) in dirs]
+        else:
+            touched = list(base.files)
+        own = {f.name: f for f in batch.schema.fields if f.name in partition_by}  # not as a folder's name reads
+        existing = table._read(touched, T.StructType([own.get(f.name, f) for f in stored.fields])) if touched else \
+            spark.createDataFrame([], stored)
         merged = _merged(existing, batch, keys).select(*names)
         want = existing.select(*keys).unionByName(want)
+        schema = merged.schema
     stage = _beside(target)
     write_table(merged, stage, partition_by)
-    got = spark.read.parquet(stage)
-    if got.count() != want.distinct().count() or got.count() != got.select(*keys).distinct().count():
+    got = spark.read.schema(schema).parquet(stage).select(*keys, F.lit(1).alias("_got"), F.lit(0).alias("_want"))
+    both = got.unionByName(want.select(*keys, F.lit(0).alias("_got"), F.lit(1).alias("_want")))
+    wrong = both.groupBy(*keys).agg(F.sum("_got").alias("_got"), F.max("_want").alias("_want")).where("_got <> 1 or _want <> 1")
+    if not wrong.isEmpty():
         raise RuntimeError("the staged upsert lost or repeated keys; target left unchanged")
-    _swap(spark, stage, target, len(partition_by))
-    return spark.read.option("mergeSchema", "true").parquet(target)
+    rows = VersionedTable(spark, stage)
+    rows = rows._count(rows._visible())
+    total = base.rows - sum(base.files[f] for f in touched) + sum(rows.values())
+    if index is not None:
+        if total != index["rows"] + fresh:
+            raise RuntimeError("the table would not hold each key once; target left unchanged")
+        index = keyed.extended(index, moved.select(*keys, "_dir"), base.number + 1, total)
+    _replace(table, base, stage, touched, schema=T.StructType([T.StructField(f.name, f.dataType) for f in schema]), rows=rows, index=index)
+    return table.read()
 
 
 def merge_csv_backup(spark: SparkSession, path: str, batch: DataFrame,
@@ -146,7 +164,7 @@ def merge_csv_backup(spark: SparkSession, path: str, batch: DataFrame,
     stage = _beside(path)
     (merged.repartitionByRange(*keys).sortWithinPartitions(*keys)
      .write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(stage))
-    _replace(spark, stage, path)
+    _replace_folder(spark, stage, path)
     return read_store_csv(spark, path)
 
 
@@ -174,12 +192,36 @@ def batched_write(df: DataFrame, path: str, batch_size: int = 100, fmt: str = "p
 
 
 def delete_where(spark: SparkSession, path: str, predicate, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Remove rows matching ``predicate`` (null counts as no match): stage the kept rows, then swap."""
-    src = spark.read.parquet(path)
-    stage = _beside(path)
-    write_table(src.filter(~F.coalesce(predicate, F.lit(False))), stage, partition_by)
-    _replace(spark, stage, path)
-    return spark.read.parquet(path)
+    """Remove rows matching ``predicate`` (null counts as no match).
+
+    Matching rows are counted per file first, with the predicate pushed into the scan, so partitions
+    and row groups that can't match are not read.  Files of which all rows match leave the table as they
+    are, files without a match stay untouched, and only the rest is rewritten."""
+    table = VersionedTable(spark, path)
+    base = table.current()
+    df = table.read(version=base)
+    hit = table.by_file(df.where(predicate))
+    if not hit:
+        return df
+    mixed = [f for f, n in hit.items() if n < base.files[f]]
+    stage = rows = None
+    if mixed:
+        stage = _beside(path)
+        kept = table.read(mixed, base).where(~F.coalesce(predicate, F.lit(False)))
+        folders = _partition_names(base)  # rows stay in their folders, whatever type its name reads as
+        kept = kept.withColumns({p: table.folder_value(p) for p in folders}) if folders else kept
+        write_table(kept, stage, folders or partition_by)
+        rows = VersionedTable(spark, stage)
+        rows = rows._count(rows._visible())
+        if sum(rows.values()) != sum(base.files[f] - hit[f] for f in mixed):
+            raise RuntimeError("the staged delete lost or repeated rows; target left unchanged")
+    index = base.index
+    if index:
+        keyed = KeyIndex(table, index["keys"], index["partition_by"])
+        gone = df.where(predicate).select(*keyed.keys, F.lit(None).cast("string").alias("_dir"))
+        index = keyed.extended(index, gone, base.number + 1, base.rows - sum(hit.values()))
+    _replace(table, base, stage, list(hit), schema=df.schema, rows=rows, index=index)
+    return table.read()
 
 
 def reload_table(spark: SparkSession, csv_path: str, target: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -191,8 +233,10 @@ def reload_table(spark: SparkSession, csv_path: str, target: str, partition_by:
     bad = bad_value_count(spark.read.parquet(stage)).first()["bad_values"]
     if bad:
         raise RuntimeError(f"{bad} NaN/Inf values after sanitising; target left unchanged")
-    _replace(spark, stage, target)
-    return spark.read.parquet(target)
+    table = VersionedTable(spark, target)
+    base = table.current()
+    _replace(table, base, stage, list(base.files), schema=typed.schema)
+    return table.read()
 
 
 def save_importance(imp: DataFrame, path: str) -> None:
