@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -71,14 +71,13 @@ class Vocabularies:
         self.memory: Memory | None = None
         self.said = [ids[i] + end for n in (self.size_a, self.size_b) for i in range(n) for end in (b",", b"|", b";")]
 
-    def encode(self, units: list[str]) -> tuple[list, list, list[bool]]:
-        """Ids of each unit by both, and whether both give a space and the unit back."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
-        raw = [(" " + u).encode() for u in units]
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        same = [b"".join(map(a_of, x)) == r == b"".join(map(b_of, y)) for x, y, r in zip(a, b, raw)]
-        return a, b, same
+    def encode(self, text: str) -> tuple[list[int], list[int], int]:
+        """Ids of a space and the text by both; the bytes, or 0 if one of them doesn't give these back."""
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text)
+        raw = (" " + text).encode()
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+        return a, b, len(raw) if same else 0
 
 
 #: the vocabularies that a Python worker keeps from task to task
@@ -112,15 +111,15 @@ class Fragments:
     their distinct pairs with numbers, and the open tokens.
     """
 
-    def __init__(self, voc: Vocabularies, a: list, b: list, chunk: int = 0):
+    def __init__(self, voc: Vocabularies, a_ids: np.ndarray, b_ids: np.ndarray, sizes: np.ndarray, chunk: int = 0):
+        """``sizes``: bytes of the units, whose tokens lie one after the other."""
         self.voc = voc
-        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
         a_end, b_end = np.cumsum(voc.a_len[a_ids]), np.cumsum(voc.b_len[b_ids])
-        unit_end = a_end[np.cumsum([len(x) for x in a]) - 1]
+        unit_end = np.cumsum(sizes)
         unit_start = np.append(0, unit_end[:-1])
         # Chunks by their first byte; without a size each unit is one.
-        parts = -(-(unit_end - unit_start) // chunk) if chunk else np.ones(len(a), np.int64)
-        self.unit = np.repeat(np.arange(len(a)), parts)
+        parts = -(-sizes // chunk) if chunk else np.ones(len(sizes), np.int64)
+        self.unit = np.repeat(np.arange(len(sizes)), parts)
         self.number = np.arange(len(self.unit)) - np.repeat(np.cumsum(parts) - parts, parts)
         start = unit_start[self.unit] + self.number * chunk
         n = len(start)
@@ -166,9 +165,11 @@ class Fragments:
         own, self.pairs = np.divmod(keys, voc.size_a * voc.size_b)
         self.pair_end = np.searchsorted(own, np.arange(n), "right")
 
-    def text(self, i: int) -> bytes:
-        """Closed groups of a chunk, a ``;`` after each."""
-        return b"".join(map(self.voc.said.__getitem__, self.codes[self.code_end[i - 1] if i else 0:self.code_end[i]].tolist()))
+    def texts(self) -> list[bytes]:
+        """Closed groups of each chunk, a ``;`` after each group."""
+        said = list(map(self.voc.said.__getitem__, self.codes.tolist()))
+        ends = self.code_end.tolist()
+        return [b"".join(said[i:j]) for i, j in zip([0, *ends], ends)]
 
     def pairs_of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         span = slice(self.pair_end[i - 1] if i else 0, self.pair_end[i])
@@ -179,7 +180,7 @@ class Fragments:
         return [ids[(own == i) & (after == late)].tolist() for late in (False, True) for ids, own, after in self.open]
 
 
-def in_slices(rows: Iterator[tuple], size, limit: int) -> Iterator[list[tuple]]:
+def in_slices(rows: Iterable, size, limit: int) -> Iterator[list]:
     held, total = [], 0
     for r in rows:
         held.append(r)
@@ -223,55 +224,68 @@ class Memory:
 
     def __init__(self, voc: Vocabularies):
         self.voc = voc
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.text: list[bytes] = []
         #: n_a, n_b, n_groups, n_links, and 1 where the tokens don't give the segment's bytes
-        self.stats, self.pair_end = np.zeros((0, 5), np.int64), np.zeros(0, np.int64)
-        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.stats = np.zeros((0, 5), np.int64)
+        #: uses, and pairs, of each segment
+        self.used, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pairs, self.times, self.pair_end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Leave out the segments met least, half of them at least."""
+        keep = self.used > max(1, int(np.quantile(self.used, 0.5)))
+        held = np.repeat(keep, self.size)
+        self.pairs, self.times, self.size = self.pairs[held], self.times[held], self.size[keep]
+        self.stats, self.used, self.pair_end = self.stats[keep], self.used[keep] // 2, np.cumsum(self.size)
+        names = [s for s, k in zip(self.number, keep.tolist()) if k]  # in the order of their numbers
+        self.text = [self.text[i] for i in np.flatnonzero(keep).tolist()]
+        self.number = dict(zip(names, range(len(names))))
+
+    def _learnt(self, part: list[str]) -> None:
+        """Enter segments, read as one text."""
+        a, b, same = self.voc.encode(" ".join(part))
+        if not same:
+            if len(part) > 1:  # halves, down to the segments that a tokenizer changes
+                self._learnt(part[:len(part) // 2])
+                self._learnt(part[len(part) // 2:])
+                return
+            stats, said = np.array([[0, 0, 0, 0, 1]]), [b""]
+            pairs, times, sizes = _NONE, _NONE, np.zeros(1, np.int64)
+        else:
+            got = Fragments(self.voc, np.array(a, np.int64), np.array(b, np.int64), np.array([len(s.encode()) + 1 for s in part]))
+            stats = np.stack([got.n_a, got.n_b, got.n_groups, got.n_links, np.zeros(len(part), np.int64)], axis=1)
+            said, pairs, times, sizes = got.texts(), got.pairs, got.times, np.diff(np.append(0, got.pair_end))
+        self.number.update(zip(part, range(len(self.text), len(self.text) + len(part))))
+        self.text += said
+        self.stats, self.pairs, self.times, self.size = (
+            np.concatenate(x) for x in ((self.stats, stats), (self.pairs, pairs), (self.times, times), (self.size, sizes)))
 
     def learn(self, new: list[str]) -> None:
-        stats, sizes, pairs, times = [self.stats], [], [self.pairs], [self.times]
-        for part in in_slices(((s,) for s in new), lambda r: len(r[0]) + 1, SLICE):
-            part = [s for s, in part]
-            a, b, same = self.voc.encode(part)
-            good = [i for i, ok in enumerate(same) if ok]
-            own, size = np.zeros((len(part), 5), np.int64), np.zeros(len(part), np.int64)
-            own[:, 4] = 1
-            said = [b""] * len(part)
-            if good:
-                got = Fragments(self.voc, [a[i] for i in good], [b[i] for i in good])
-                own[good] = np.stack([got.n_a, got.n_b, got.n_groups, got.n_links, np.zeros(len(good), np.int64)], axis=1)
-                size[good] = np.diff(np.append(0, got.pair_end))
-                pairs.append(got.pairs)
-                times.append(got.times)
-                for k, i in enumerate(good):
-                    said[i] = got.text(k)
-            self.number.update(zip(part, range(len(self.text), len(self.text) + len(part))))
-            self.text += said
-            stats.append(own)
-            sizes.append(size)
-        self.stats, self.pairs, self.times = (np.concatenate(x) for x in (stats, pairs, times))
-        self.pair_end = np.concatenate([self.pair_end, np.cumsum(np.concatenate(sizes)) + (self.pair_end[-1] if len(self.pair_end) else 0)])
+        # Many segments are read as one text; what ends in white space would join the space after it.
+        for part in in_slices((s for s in new if not s[-1:].isspace()), lambda x: len(x) + 1, SLICE):
+            self._learnt(part)
+        for last in (s for s in new if s[-1:].isspace()):
+            self._learnt([last])
+        self.used = np.concatenate([self.used, np.zeros(len(self.text) - len(self.used), np.int64)])
+        self.pair_end = np.cumsum(self.size)
 
     def rows(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, digest, pairs, times) of each of some texts, none of them empty."""
         cut = [segments(t) for t in texts]
-        need = set().union(*cut)
-        if len(self.number) + len(need) > KEPT or len(self.pairs) > KEPT * 16:
+        if len(self.number) > KEPT or len(self.pairs) > KEPT * 16:
             self.forget()
-        new = [s for s in need if s not in self.number]
+        new = list(set().union(*cut).difference(self.number))
         if new:
             self.learn(new)
         of = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64)
+        self.used += np.bincount(of, minlength=len(self.used))
         size = np.array([len(x) for x in cut])
         first = np.cumsum(size) - size
         stats = np.add.reduceat(self.stats[of], first, axis=0)
         bad = stats[:, 4] > 0
         doc = np.repeat(np.arange(len(cut)), size)
-        many = np.diff(np.append(0, self.pair_end))[of]
+        many = self.size[of]
         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.pair_end[of] - many, many)
         whole = self.voc.size_a * self.voc.size_b
         keys, times = counted(np.repeat(doc, many) * whole + self.pairs[place], self.times[place])
@@ -336,14 +350,15 @@ def _leaves(model, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabularies(*model.value)
         for rows in in_slices(_tuples(batches), lambda r: len(r[3]), SLICE):
-            a, b, same = voc.encode([r[3] for r in rows])
-            good = [i for i, ok in enumerate(same) if ok]
-            out = [(*r[:3], 0, False, 0, 0, 0, 0, b"", _NONE, _NONE, True, [], [], [], []) for r, ok in zip(rows, same) if not ok]
+            ids = [voc.encode(r[3]) for r in rows]
+            good = [i for i, x in enumerate(ids) if x[2]]
+            out = [(*r[:3], 0, False, 0, 0, 0, 0, b"", _NONE, _NONE, True, [], [], [], []) for r, x in zip(rows, ids) if not x[2]]
             if good:
-                got = Fragments(voc, [a[i] for i in good], [b[i] for i in good], chunk)
+                a, b = (np.fromiter(chain.from_iterable(ids[i][k] for i in good), np.int64) for k in (0, 1))
+                got = Fragments(voc, a, b, np.array([ids[i][2] for i in good]), chunk)
                 out += [(*rows[good[u]][:3], int(got.number[k]), True, int(got.n_a[k]), int(got.n_b[k]), int(got.n_groups[k]),
-                         int(got.n_links[k]), got.text(k), *got.pairs_of(k), bool(got.cut[k]), *got.ends(k))
-                        for k, u in enumerate(got.unit.tolist())]
+                         int(got.n_links[k]), said, *got.pairs_of(k), bool(got.cut[k]), *got.ends(k))
+                        for k, (u, said) in enumerate(zip(got.unit.tolist(), got.texts()))]
             yield _batch(_LEAF, out)
     return run
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -116,6 +117,19 @@ def test_composition_is_associative():
         assert all(r == results[0] for r in results)
 
 
+def test_memory_forgets_and_learns_again(libraries, monkeypatch):
+    with open(A) as f, open(B, "rb") as g:
+        voc = alignment.vocabularies(f.read(), g.read())
+    some = [t for t in texts() if t]
+    want = alignment.Memory(voc).rows(some)
+    monkeypatch.setattr(alignment, "KEPT", 10)
+    memory = alignment.Memory(voc)
+    for _ in range(3):
+        got = [memory.rows([t])[0] for t in some]
+        assert [(*x[:5], x[5].tolist(), x[6].tolist()) for x in got] == [(*x[:5], x[5].tolist(), x[6].tolist()) for x in want]
+        assert len(memory.number) < 120
+
+
 def test_odd_rows_and_large_groups(spark, libraries, odd_docs, odd_rows):
     assert rows_of(alignment.align(odd_docs, A, B)) == brute(libraries, [r[:2] for r in odd_rows])
 
@@ -123,11 +137,14 @@ def test_odd_rows_and_large_groups(spark, libraries, odd_docs, odd_rows):
 def test_pairs_of_large_groups(monkeypatch, libraries):
     with open(A) as f, open(B, "rb") as g:
         voc = alignment.vocabularies(f.read(), g.read())
-    a, b, same = voc.encode(["🙂" * 50 + "日本語" * 30, "abc def"])
-    assert all(same)
-    one = alignment.Fragments(voc, a, b)
+    units = ["🙂" * 50 + "日本語" * 30, "abc def"]
+    ids = [voc.encode(u) for u in units]
+    a, b = (np.array([i for x in ids for i in x[k]]) for k in (0, 1))
+    sizes = np.array([x[2] for x in ids])
+    assert sizes.tolist() == [len(u.encode()) + 1 for u in units]
+    one = alignment.Fragments(voc, a, b, sizes)
     monkeypatch.setattr(alignment, "LISTED", 0)
-    two = alignment.Fragments(voc, a, b)
+    two = alignment.Fragments(voc, a, b, sizes)
     for k in range(2):
         assert [x.tolist() for x in one.pairs_of(k)] == [x.tolist() for x in two.pairs_of(k)]
 
