@@ -19,10 +19,23 @@ def round_half_even(col: Column, digits: int = 0) -> Column:
     return F.bround(col * F.lit(scale), 0) / F.lit(scale)
 
 
-def exact_mean(col: Column, scale: int = 6, precision: int = 18) -> Column:
-    """Mean with an exact decimal sum, one division in double.
+#: decimals that hold a double's digits; magnitudes whose sums fit
+DIGITS, LARGEST = 18, 1e17
 
-    Order-free, so every engine and partitioning gives identical bits.
+
+def as_decimal(col: Column) -> Column:
+    """The double as a decimal with 18 places; null for NaN and for what a decimal does not hold."""
+    x = col.cast("double")
+    return F.when(F.abs(x) < F.lit(LARGEST), x.cast(f"decimal(38,{DIGITS})"))
+
+
+def exact_mean(col: Column) -> Column:
+    """Mean with an exact decimal sum, one division in double; NaN counts as null.
+
+    Order-free, so every engine and partitioning gives identical bits.  Where a value of the group is
+    too large for the decimal (1e17, infinity), the mean is that of the doubles.
     """
-    dec = col.cast(f"decimal({precision},{scale})")
-    return F.sum(dec).cast("double") / F.nullif(F.count(col), F.lit(0))
+    x = F.when(~F.isnan(col.cast("double")), col.cast("double"))
+    dec = as_decimal(x)
+    exact = F.try_sum(dec).cast("double") / F.nullif(F.count(x), F.lit(0))
+    return F.when(F.count(dec) == F.count(x), exact).otherwise(F.avg(x))

@@ -12,29 +12,26 @@ from ..functions.labels import month_name
 from ..functions.rounding import exact_mean, round_half_even
 
 
-def mean_per_timestamp(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None,
-                       scale: int = 6) -> DataFrame:
+def mean_per_timestamp(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None) -> DataFrame:
     """Several readings (locations, sensors) to one mean per key; exact decimal sum."""
-    return df.groupBy(*keys).agg(exact_mean(F.col(value), scale).alias(out or value),
-                                 F.count(F.col(value)).alias("n_readings"))
+    return df.groupBy(*keys).agg(exact_mean(F.col(value)).alias(out or value),
+                                 F.count(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))).alias("n_readings"))
 
 
-def daily_mean(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp", value: str = "aqi",
-               scale: int = 6) -> DataFrame:
+def daily_mean(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp", value: str = "aqi") -> DataFrame:
     day = F.to_date(F.col(ts)).cast("timestamp_ntz")  # day key as midnight timestamp
-    g = df.groupBy(*keys, day.alias("date")).agg(exact_mean(F.col(value), scale).alias("avg_aqi"))
+    g = df.groupBy(*keys, day.alias("date")).agg(exact_mean(F.col(value)).alias("avg_aqi"))
     return g.withColumn("category", aqi_category(F.col("avg_aqi")))
 
 
-def hour_of_day_mean(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp", value: str = "aqi",
-                     scale: int = 6) -> DataFrame:
-    g = df.groupBy(*keys, F.hour(F.col(ts)).alias("hour")).agg(exact_mean(F.col(value), scale).alias("avg_aqi"))
+def hour_of_day_mean(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp", value: str = "aqi") -> DataFrame:
+    g = df.groupBy(*keys, F.hour(F.col(ts)).alias("hour")).agg(exact_mean(F.col(value)).alias("avg_aqi"))
     return g.withColumn("category", aqi_category(F.col("avg_aqi")))
 
 
 def month_mean(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp", value: str = "aqi",
-               scale: int = 6, digits: int | None = None) -> DataFrame:
-    g = df.groupBy(*keys, F.month(F.col(ts)).alias("month")).agg(exact_mean(F.col(value), scale).alias("avg_aqi"))
+               digits: int | None = None) -> DataFrame:
+    g = df.groupBy(*keys, F.month(F.col(ts)).alias("month")).agg(exact_mean(F.col(value)).alias("avg_aqi"))
     if digits is not None:
         g = g.withColumn("avg_aqi", round_half_even(F.col("avg_aqi"), digits))
     g = g.withColumn("month_name", month_name(F.make_date(F.lit(2000), F.col("month"), F.lit(1))))
@@ -42,20 +39,20 @@ def month_mean(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timest
 
 
 def forecast_day_summary(forecast: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp",
-                         value: str = "predicted_aqi", days: int = 3, scale: int = 6) -> DataFrame:
+                         value: str = "predicted_aqi", days: int = 3) -> DataFrame:
     """Mean, min, max and category for the first ``days`` forecast dates per key."""
     from .ordering import first_n_dates
     d = forecast.withColumn("date", F.to_date(F.col(ts)).cast("timestamp_ntz"))
     first = first_n_dates(d, keys, "date", days)
     g = d.join(first, [*keys, "date"], "left_semi").groupBy(*keys, "date").agg(
-        exact_mean(F.col(value), scale).alias("avg_aqi"), F.min(value).alias("min_aqi"), F.max(value).alias("max_aqi"))
+        exact_mean(F.col(value)).alias("avg_aqi"), F.min(value).alias("min_aqi"), F.max(value).alias("max_aqi"))
     return g.withColumn("category", aqi_category(F.col("avg_aqi")))
 
 
 def station_average(readings: DataFrame, keys: Sequence[str] = ("city",), value: str = "aqi") -> DataFrame:
     """Rounded mean over stations and the number of stations used."""
     return readings.groupBy(*keys).agg(
-        round_half_even(exact_mean(F.col(value), 6), 0).alias("avg_aqi"),
+        round_half_even(exact_mean(F.col(value)), 0).alias("avg_aqi"),
         F.count(F.col(value)).alias("stations_used"))
 
 

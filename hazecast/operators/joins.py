@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
-from .windows import carry_last, running_sum
+from ..functions.rounding import DIGITS, as_decimal
+from ..session import broadcast_if_small
+from .windows import bucket_of, carry_last, running_sum
+
+
+def _zero() -> Column:
+    """A sum's beginning, in the type of ``as_decimal``."""
+    return F.lit(0).cast(f"decimal(38,{DIGITS})")
 
 
 def align_hourly(weather: DataFrame, readings: DataFrame, keys: Sequence[str] = ("city", "timestamp")) -> DataFrame:
@@ -50,19 +56,18 @@ def asof_value(probes: DataFrame, history: DataFrame, keys: Sequence[str], probe
 
 def range_mean(probes: DataFrame, history: DataFrame, keys: Sequence[str], probe_ts: str, hist_ts: str,
                value: str, hours: int, end_hours: int = 1, default: Column | None = None,
-               out: str | None = None, scale: int = 6, unit: str = "day") -> DataFrame:
+               out: str | None = None, unit: str = "day") -> DataFrame:
     """Mean of ``value`` over history rows with t - hours <= ts <= t - end_hours.
 
     Planned with exact prefix sums: (S(<= hi) - S(< lo)) / (N(<= hi) - N(< lo)).
-    An empty window gives ``default``; a window with rows but only null values
+    An empty window gives ``default``; a window with rows but only null or NaN values
     gives null.
     """
     out = out or f"{value}_range_{hours}h"
     pcols = probes.columns
-    dec = F.col(value).cast(f"decimal(30,{scale})")
+    dec = as_decimal(F.col(value))
     cum = running_sum(history.select(*keys, hist_ts, value), keys, hist_ts, [hist_ts],
-                      {"s": F.coalesce(dec, F.lit(0).cast(f"decimal(30,{scale})")),
-                       "n": F.col(value).isNotNull().cast("long"), "r": F.lit(1).cast("long")}, unit)
+                      {"s": F.coalesce(dec, _zero()), "n": dec.isNotNull().cast("long"), "r": F.lit(1).cast("long")}, unit)
     cum_t = F.struct(F.col("s"), F.col("n"), F.col("r"))
     h = cum.select(*keys, F.col(hist_ts).alias("_t"), F.lit(0).alias("_kind"), cum_t.alias("_m"),
                    F.lit(None).cast("timestamp_ntz").alias("_pt"))
@@ -76,8 +81,7 @@ def range_mean(probes: DataFrame, history: DataFrame, keys: Sequence[str], probe
     g = c.groupBy(*keys, "_pt").agg(
         F.max(F.when(F.col("_kind") == 1, F.col("_m"))).alias("_a"),
         F.max(F.when(F.col("_kind") == -1, F.col("_m"))).alias("_b"))
-    zero_s = F.lit(0).cast(f"decimal(30,{scale})")
-    s = F.coalesce(F.col("_a.s"), zero_s) - F.coalesce(F.col("_b.s"), zero_s)
+    s = F.coalesce(F.col("_a.s"), _zero()) - F.coalesce(F.col("_b.s"), _zero())
     n = F.coalesce(F.col("_a.n"), F.lit(0)) - F.coalesce(F.col("_b.n"), F.lit(0))
     r = F.coalesce(F.col("_a.r"), F.lit(0)) - F.coalesce(F.col("_b.r"), F.lit(0))
     mean = (F.when(r == 0, default if default is not None else F.lit(None))
@@ -103,34 +107,63 @@ def with_lookup(df: DataFrame, key: Column, mapping: dict, out: str) -> DataFram
     return df.withColumn(out, m[key])
 
 
+def _swept(points: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Rows of kind 0 are history (``_m``: struct of time and value, ``_s``, ``_n``: its addend and 1 if it has
+    one); for the others ``_m``, ``_s``, ``_n``, ``_r`` become the last history row and the sums and rows of all
+    history at or before (kind 1) or before (kind -1) their time.  In a bucket by a window, across buckets
+    by a carried summary of one row per (key, bucket)."""
+    b = points.withColumn("_bk", bucket_of(F.col("_t"), unit)).withColumn("_r", (F.col("_kind") == 0).cast("long"))
+    order = [F.col("_t"), F.col("_kind")]
+    upto = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ("_s", "_n", "_r")
+    # The rows are exchanged once, for the window; the summary leaves the tasks as a row per (key, bucket).
+    inner = b.withColumns({"_im": F.last("_m", ignorenulls=True).over(upto), **{f"_i{c}": F.sum(c).over(upto) for c in sums}})
+    total = b.groupBy(*keys, "_bk").agg(F.max("_m").alias("_tm"), *[F.sum(c).alias(f"_t{c}") for c in sums])
+    before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = total.select(*keys, "_bk", F.last("_tm", ignorenulls=True).over(before).alias("_cm"),
+                           *[F.sum(f"_t{c}").over(before).alias(f"_c{c}") for c in sums])
+    j = inner.where("_kind <> 0").join(carried, [*keys, "_bk"], "left")
+    return j.withColumns({"_m": F.coalesce("_im", "_cm"),
+                          **{c: F.coalesce(f"_i{c}", zero) + F.coalesce(f"_c{c}", zero)
+                             for c, zero in zip(sums, (_zero(), F.lit(0), F.lit(0)))}})
+
+
 def history_features(probes: DataFrame, history: DataFrame, keys: Sequence[str], ts: str, value: str,
                      lags: Sequence[int] = (), rolls: Sequence[int] = (), default: str | None = None,
-                     prefix: str | None = None) -> DataFrame:
-    """Time-based lags and range means for each probe (keys, ts), computed independently
-    from one materialised probe table and one history table, then joined back once.
-
-    ``default``: name of a probe column used when the history has no row (as-of) or
-    the window is empty (range); the probes must be unique per (keys, ts).
+                     prefix: str | None = None, end_hours: int = 1, unit: str = "day") -> DataFrame:
+    """Time-based lags and range means for each probe (keys, ts), all of them by one sweep.
+
+    A lag needs the last history row at one time, a range mean the sums at its two ends: each probe
+    becomes a point for each of these times, and points and history go through one union, one
+    exchange by (key, bucket) and one window.  A lag's row without a value stays null; a range with rows
+    but without a value (null, NaN) is null.  ``default``: name of a probe column used when the history
+    has no row (as-of) or the range is empty; the probes must be unique per (keys, ts).
     """
-    prefix = prefix or value
-    keys = list(keys)
-    p = cut_lineage(probes.select(*keys, ts, *([default] if default else [])).distinct())
-    h = cut_lineage(history.select(*keys, ts, value))
-    dflt = F.col(f"_p.{default}") if default else None
-    parts = []
+    prefix, keys = prefix or value, list(keys)
+    if not lags and not rolls:
+        return probes
+    # (name, hours back, kind): kind -1 leaves out what lies at the time itself
+    ends = [(f"lag{n}", n, 1) for n in lags] + [(f"from{n}", n, -1) for n in rolls] + [("to", end_hours, 1)] * bool(rolls)
+    dec = as_decimal(F.col(value))
+    rows = history.select(*keys, F.col(ts).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_end"),
+                          F.lit(None).cast("timestamp_ntz").alias("_pt"), F.struct(F.col(ts).alias("ts"), F.col(value).alias("v")).alias("_m"),
+                          F.coalesce(dec, _zero()).alias("_s"), dec.isNotNull().cast("long").alias("_n"))
+    each = F.array(*[F.struct((F.col(ts) - _hours(h)).alias("_t"), F.lit(kind).alias("_kind"), F.lit(name).alias("_end"))
+                     for name, h, kind in ends])
+    points = (probes.select(*keys, F.col(ts).cast("timestamp_ntz").alias("_pt"), F.explode(each).alias("_e"))
+              .select(*keys, "_e._t", "_e._kind", "_e._end", "_pt", F.lit(None).cast(rows.schema["_m"].dataType).alias("_m"),
+                      _zero().alias("_s"), F.lit(0).cast("long").alias("_n")))
+    got = _swept(rows.unionByName(points), keys, unit)
+    state = F.struct("_m", "_s", "_n", "_r")
+    wide = got.groupBy(*keys, "_pt").agg(*[F.max(F.when(F.col("_end") == name, state)).alias(f"_{name}") for name, _, _ in ends])
+    out = probes.join(wide.withColumnRenamed("_pt", ts), [*keys, ts], "left")
+    missing = F.col(default) if default else F.lit(None).cast("double")
     for n in lags:
-        a = asof_value(p, h, keys, ts, ts, value, n, dflt, f"{prefix}_lag_{n}h")
-        parts.append(a.select(*keys, ts, f"{prefix}_lag_{n}h"))
+        m = F.col(f"_lag{n}._m")
+        out = out.withColumn(f"{prefix}_lag_{n}h", F.when(m.isNull(), missing).otherwise(m["v"]))
     for n in rolls:
-        r = range_mean(p, h, keys, ts, ts, value, n, end_hours=1, default=F.lit(float("nan")),
-                       out=f"_r{n}")
-        col = F.col(f"_r{n}")
-        if default:
-            col = F.when(F.isnan(col), F.col(default)).otherwise(col)
-        else:
-            col = F.when(F.isnan(col), F.lit(None)).otherwise(col)
-        parts.append(r.select(*keys, ts, col.alias(f"{prefix}_rolling_{n}h")))
-    out = probes
-    for part in parts:
-        out = out.join(part, [*keys, ts], "left")
-    return out
+        a, b = F.col("_to"), F.col(f"_from{n}")
+        count = a["_n"] - b["_n"]
+        mean = F.when(a["_r"] - b["_r"] == 0, missing).when(count != 0, (a["_s"] - b["_s"]).cast("double") / count)
+        out = out.withColumn(f"{prefix}_rolling_{n}h", mean)
+    return out.drop(*[f"_{name}" for name, _, _ in ends])

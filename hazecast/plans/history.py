@@ -45,7 +45,7 @@ def backfill_measured(measurements: DataFrame, weather: DataFrame, keys: Sequenc
     """Raw measurements of several locations (keys, timestamp, pm25_raw; UTC) and hourly weather ->
     feature rows: nearest hour, mean over the locations, index, calendar, change rate."""
     stamped = measurements.withColumn("timestamp", cal.round_hour(F.col("timestamp")))
-    hourly = mean_per_timestamp(stamped, [*keys, "timestamp"], "pm25_raw", "pm25", scale=9)
+    hourly = mean_per_timestamp(stamped, [*keys, "timestamp"], "pm25_raw", "pm25")
     j = align_hourly(weather, hourly, [*keys, "timestamp"])
     j = j.withColumn("aqi", pm25_to_aqi(F.col("pm25"), digits, gap_policy)).withColumn("pm25", round_half_even(F.col("pm25"), pm25_digits))
     j = series_row_features(add_calendar(j), keys, "timestamp", ["timestamp"], "aqi", change_rate="aqi_change_rate", method=method)

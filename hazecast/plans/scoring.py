@@ -78,8 +78,6 @@ def forecast_features(forecast: DataFrame, history: DataFrame, current: DataFram
     f = f.withColumns({"hour_sin": hs, "hour_cos": hc, "month_sin": ms, "month_cos": mc,
                        "season": cal.season(F.col("month")), **wx.weather_flags(temp, wind),
                        "is_stagnant": wx.is_stagnant(wind, hum), **wx.interactions(temp, hum, wind)})
-    from ..session import cut_lineage
-    f = cut_lineage(f)
     return history_features(f, history, keys, ts, "aqi", lags, rolls, default="current_aqi")
 
 

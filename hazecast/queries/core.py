@@ -177,7 +177,7 @@ def condition_bands(spark, sf):
 SELECT city, timestamp, {O.emean('pm25_raw', 9)} AS pm25, COUNT(pm25_raw) AS n_readings
 FROM dup_hourly GROUP BY city, timestamp"""), "A1")
 def hourly_mean(spark, sf):
-    return agg.mean_per_timestamp(B.dup_hourly(spark, sf), ["city", "timestamp"], "pm25_raw", "pm25", scale=9)
+    return agg.mean_per_timestamp(B.dup_hourly(spark, sf), ["city", "timestamp"], "pm25_raw", "pm25")
 
 
 @register("hour_of_day_mean", W(*C(), body=f"""

@@ -267,4 +267,4 @@ def q_concat(spark, sf):
     d = B.dup_hourly(spark, sf)
     parts = [d.filter(F.col("station") == s).select("timestamp", "pm25_raw") for s in B.POLLUTANT_OF_STATION]
     from ..operators.aggregates import mean_per_timestamp
-    return mean_per_timestamp(concat_sources(parts), ["timestamp"], "pm25_raw", "pm25", scale=9)
+    return mean_per_timestamp(concat_sources(parts), ["timestamp"], "pm25_raw", "pm25")

@@ -80,7 +80,7 @@ def q_measurements(spark, sf):
     path = scratch_path(spark, "measurements")
     L.land_measurements(B.obs_raw(spark, sf), path)
     m = S.read_measurements(spark, path).withColumn("timestamp", round_hour(F.col("timestamp")))
-    h = mean_per_timestamp(m, ["timestamp"], "pm25_raw", "pm25", scale=9)
+    h = mean_per_timestamp(m, ["timestamp"], "pm25_raw", "pm25")
     return h.withColumn("aqi", pm25_to_aqi(F.col("pm25"), 1, "reference")).select("timestamp", "pm25", "n_readings", "aqi")
 
 

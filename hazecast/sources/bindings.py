@@ -55,7 +55,7 @@ def dup_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def obs_hourly(spark: SparkSession, sf_dir: str, digits: int = 0, gap_policy: str = "reference") -> DataFrame:
     raw = dup_hourly(spark, sf_dir)
     hourly = raw.groupBy("city", "timestamp").agg(
-        exact_mean(F.col("pm25_raw"), scale=9).alias("pm25"),
+        exact_mean(F.col("pm25_raw")).alias("pm25"),
         F.count("pm25_raw").alias("n_readings"),
     )
     return hourly.withColumn("aqi", pm25_to_aqi(F.col("pm25"), digits, gap_policy))
@@ -67,7 +67,7 @@ def params_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggs = []
     for station, name in POLLUTANT_OF_STATION.items():
         v = F.when(F.col("station") == station, F.col("pm25_raw"))
-        aggs.append(exact_mean(v, scale=9).alias(name))
+        aggs.append(exact_mean(v).alias(name))
     aggs.append(F.max("ingest_seq").alias("ingest_seq"))
     out = raw.groupBy("city", "timestamp").agg(*aggs)
     return out.withColumn("so2", F.lit(None).cast("double"))
@@ -104,7 +104,7 @@ def daily_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily index series spanning years: mean order price per day / 1000."""
     o = table(spark, sf_dir, "orders")
     return (o.groupBy(F.to_date("o_orderdate").cast("timestamp_ntz").alias("date"))
-             .agg((exact_mean(F.col("o_totalprice"), scale=9) / F.lit(1000.0)).alias("aqi"),
+             .agg((exact_mean(F.col("o_totalprice")) / F.lit(1000.0)).alias("aqi"),
                   F.count(F.lit(1)).alias("n_readings"))
              .withColumn("city", F.lit(DEFAULT_CITY))
              .withColumn("timestamp", F.col("date")))
@@ -113,6 +113,6 @@ def daily_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def station_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hourly series per station: many keys for keyed windows."""
     raw = dup_hourly(spark, sf_dir)
-    g = raw.groupBy("station", "timestamp").agg(exact_mean(F.col("pm25_raw"), scale=9).alias("pm25"),
+    g = raw.groupBy("station", "timestamp").agg(exact_mean(F.col("pm25_raw")).alias("pm25"),
                                                  F.max("ingest_seq").alias("ingest_seq"))
     return g.withColumn("aqi", pm25_to_aqi(F.col("pm25"), 0, "reference"))

@@ -70,7 +70,7 @@ def stream_ingest(spark: SparkSession, landed: str, table: str, city: str, check
     return spark.read.parquet(table).drop("_month")
 
 
-def stream_hourly(events: DataFrame, table: str, checkpoint: str, scale: int = 9) -> DataFrame:
+def stream_hourly(events: DataFrame, table: str, checkpoint: str) -> DataFrame:
     """Hourly means of readings (event_id, ts, value), right however late a reading comes.
 
     Each micro-batch is upserted by reading id into a table of readings beside ``table``,
@@ -87,7 +87,7 @@ def stream_hourly(events: DataFrame, table: str, checkpoint: str, scale: int = 9
         hours = readings.select("timestamp", "_day").distinct()
         kept = upsert(own, raw, readings, ["event_id", "ts"], None, ["_day"])
         means = (kept.join(hours, ["_day", "timestamp"], "left_semi").groupBy("timestamp")
-                 .agg(exact_mean(F.col("value"), scale).alias("pm25"), F.count("value").alias("n_readings")))
+                 .agg(exact_mean(F.col("value")).alias("pm25"), F.count("value").alias("n_readings")))
         upsert(own, table, means.withColumn("_month", _month("timestamp")), ["timestamp"], None, ["_month"])
     _drain(events.select("event_id", "ts", "value").writeStream.foreachBatch(sink), checkpoint)
     return spark.read.parquet(table).drop("_month")
