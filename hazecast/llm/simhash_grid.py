@@ -17,7 +17,8 @@ most 2,080 others within 2 bits, whatever the size of its group.
 Defined cases: null and empty texts, and those of white space, have fingerprint zero and are
 linked like others; fewer words than a shingle: the whole sequence is one; rows without an id are
 fingerprinted and linked, but are never a component's id; repeated rows stay; an empty table gives
-an empty result; columns of the input stay, and one of a result's name is replaced.
+an empty result; other columns are not read (``drop_near_copies`` keeps them); a very long text is hashed
+in pieces of ``CHUNK`` shingles.
 """
 
 from __future__ import annotations
@@ -118,7 +119,9 @@ def simhash_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     can be reached over links."""
     docs = staged(df.select(F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp")), "simhash")
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(linked_pairs(fps.select("fp")), "a", "b")
+    # Each fingerprint becomes some sixty rows: as many tasks as a shuffle has, however few bytes they are now.
+    dealt = fps.select("fp").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    linked = components(linked_pairs(dealt), "a", "b")
     of = fps.join(linked, fps.fp == linked.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     of = staged(of, "simhash-classes")
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -128,12 +131,12 @@ def simhash_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` of which each component keeps one, that of its smallest (id, hash of the text), and
-    one more of its rows without an id, likewise.  Of rows with one id and one text, one stays."""
+    """One row of ``df`` for each component: that of the smallest (id, hash of the text), rows without an
+    id after all others.  Of rows with one id and one text, one stays."""
     key, body = F.col("__key"), F.col(text)
     keyed = df.withColumn("__key", F.struct(F.col(doc_id).isNull().alias("unnamed"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"),
                                             F.coalesce(F.md5(body.cast("binary")), F.lit("")).alias("hash")))
-    kept = (simhash_components(keyed, "__key", text).groupBy("component_id", F.col("doc_id.unnamed").alias("unnamed"))
-            .agg(F.min("doc_id").alias("__kept")).select("__kept"))
+    # A component's id is its smallest key: the row that stays.
+    kept = simhash_components(keyed, "__key", text).select(F.col("component_id").alias("__kept")).distinct()
     # Rows of one key go before the join, so that they do not meet in one of its tasks.
     return keyed.dropDuplicates(["__key"]).join(kept, key == F.col("__kept"), "left_semi").drop("__key")
