@@ -12,7 +12,8 @@ over many tasks, and joins are on (conversation, run) or on the hash.
 Defined cases: null role and text are empty; a null turn comes last; rows of one turn are ordered
 by role and text; repeated rows count once; rows with a null conversation id are one conversation,
 which gives way to an equal one with an id; an empty table gives an empty result; columns besides
-the four are not carried.  Markers of the template within texts are broken up by a blank.
+the four are not carried; a very long text is one row and is read whole.  Markers of the template
+within texts are broken up by a blank.
 
 DataFrame operations only.
 """
@@ -81,6 +82,12 @@ def render_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     for mark in (open_mark, close_mark):
         plain = F.replace(plain, F.lit(mark), F.lit(f"{mark[0]} {mark[1:]}"))
         name = F.replace(name, F.lit(mark), F.lit(f"{mark[0]} {mark[1:]}"))
-    return (rows.join(kept.withColumnRenamed("conv", "__kept"), F.col("conv").eqNullSafe(F.col("__kept")))
+    # The turns meet their conversation in its runs, so that a long conversation is spread over tasks.
+    run = F.floor(F.coalesce("turn", F.lit(LAST)) / F.lit(RUN))
+    rows = rows.withColumn("__run", run)
+    kept = kept.withColumnRenamed("conv", "__kept")
+    runs = (rows.select(F.col("conv").alias("__conv"), F.col("__run").alias("__at")).distinct()
+            .join(kept, F.col("__conv").eqNullSafe(F.col("__kept"))))
+    return (rows.join(runs, F.col("conv").eqNullSafe(F.col("__conv")) & (F.col("__run") == F.col("__at")))
             .select(F.col("conv").alias("conv_id"), "turn", "role", "n_turns", "n_equal",
                     F.concat(F.lit(open_mark), name, F.lit("\n"), plain, F.lit(f"{close_mark}\n")).alias("rendered")))
