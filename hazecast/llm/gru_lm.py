@@ -20,7 +20,8 @@ corpus counts in a join on the word and are summed up per document.
 
 Defined cases: null and empty texts are the end token alone; a null id is trained on and is not
 held out; without training documents every word is unknown; repeated rows are scored (and learnt
-from) each; an empty table gives an empty result; other columns are not read.
+from) each; an empty table gives an empty result; other columns are not read; a very long text is
+read whole, some 60 bytes a word, and holds one lane.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, doc_fold, staged, words_of
+from .common import bounded_sample, doc_fold, hash_order, staged, words_of
 
 #: the end token's word in the counts; no word holds white space
 END = b"\n"
@@ -48,7 +49,7 @@ HEAD = 1 << 18
 CLASSES, WORDS, TAILS, STATE = 16, 64, 48, 16
 #: tokens of a window; documents that are read side by side in scoring, training and the warm-up;
 #: tokens of a training or scoring block
-WINDOW, LANES, TRAIN_LANES, WARM_LANES, BLOCK = 32, 256, 128, 32, 1 << 21
+WINDOW, LANES, TRAIN_LANES, WARM_LANES, BLOCK = 32, 256, 256, 32, 1 << 21
 #: Adagrad's step and first sum of squares; largest gradient of a parameter per window
 RATE, SQUARES, CLIP = 0.03, 1e-2, 1.0
 #: documents of the warm-up at most, and its rounds
@@ -131,14 +132,23 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     # Sixteen steps to each doubling of a count: the lowest step from which all words are HEAD at most.
     step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
     steps = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    lowest, kept = None, 0
+    lowest, kept, part = None, 0, None
     for s, n in steps:
         if kept + n > HEAD:
+            part = s
             break
         lowest, kept = s, kept + n
-    head = counts.where(step >= lowest).select("word", "c").toArrow() if lowest is not None else None
-    words = head.column("word").to_pylist() if head is not None else []
-    c = head.column("c").to_numpy().astype(np.int64) if head is not None else np.empty(0, np.int64)
+    taken = F.lit(False) if lowest is None else step >= lowest
+    if part is not None:  # of the first step that does not fit whole: its highest counts, then words by hash
+        levels = counts.where(step == part).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c"))
+        for r in levels.toLocalIterator():  # a row per count in a sixteenth of a doubling
+            if kept + r.n > HEAD:
+                share = 0.9 * (HEAD - kept) / r.n
+                taken = taken | ((F.col("c") == r.c) & (hash_order("word") < share)) if share > 0 else taken
+                break
+            taken, kept = taken | (F.col("c") == r.c), kept + r.n
+    head = counts.where(taken).select("word", "c").toArrow()
+    words, c = head.column("word").to_pylist(), head.column("c").to_numpy().astype(np.int64)
     per_tail = [tails.get(k, (0, 0)) for k in range(TAILS)]
     return Vocabulary(words, c, int(total), int(distinct), [n for n, _ in per_tail], [v for _, v in per_tail])
 
@@ -182,7 +192,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Streams:
-    """Documents laid end to end in lanes of about equal length, longest lane first."""
+    """Documents laid end to end in lanes of about equal length, longest lane first.
+
+    A lane is a stretch of one flat array, so memory grows with the tokens, however unequal the lanes;
+    a window gathers the places of its lanes that are not at their end yet."""
 
     def __init__(self, docs: list[np.ndarray], lanes: int = LANES):
         lanes = max(1, min(lanes, len(docs)))
@@ -194,27 +207,27 @@ class Streams:
             heapq.heappush(heap, (size + len(docs[d]), k))
         sizes = sorted(heap, key=lambda x: (-x[0], x[1]))
         self.length = np.array([n for n, _ in sizes])
-        steps = int(self.length.max(initial=0))
-        self.token = np.zeros((steps, lanes), np.int32)
-        self.before = np.zeros((steps, lanes), np.int32)
-        self.fresh = np.zeros((steps, lanes), bool)
-        self.doc = np.full((steps, lanes), -1, np.int32)
-        for col, (_, k) in enumerate(sizes):
-            at = 0
-            for d in held[k]:
-                n = len(docs[d])
-                self.token[at:at + n, col] = docs[d]
-                self.before[at + 1:at + n, col] = docs[d][:-1]
-                self.before[at, col] = docs[d][-1]  # the end token stands before a document
-                self.fresh[at, col] = True
-                self.doc[at:at + n, col] = d
-                at += n
+        self.first = np.cumsum(self.length) - self.length
+        order = [d for _, k in sizes for d in held[k]]
+        size = np.array([len(docs[d]) for d in order], np.int64)
+        begin = (np.cumsum(size) - size)[size > 0]
+        self.token = np.concatenate([docs[d] for d in order]) if order else np.zeros(0, np.int32)
+        self.before = np.roll(self.token, 1)
+        self.before[begin] = self.token[(np.cumsum(size) - 1)[size > 0]]  # the end token stands before a document
+        self.fresh = np.zeros(len(self.token), bool)
+        self.fresh[begin] = True
+        self.doc = np.repeat(np.array(order, np.int32), size)
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for t in range(0, len(self.token), WINDOW):
+        """(tokens, tokens before, first of a document, document or -1 past a lane's end) by step and lane."""
+        longest = int(self.length.max(initial=0))
+        for t in range(0, longest, WINDOW):
             live = int((self.length > t).sum())
-            cut = slice(t, t + WINDOW), slice(0, live)
-            yield self.token[cut], self.before[cut], self.fresh[cut], self.doc[cut]
+            step = np.arange(t, min(t + WINDOW, longest))[:, None]
+            real = step < self.length[:live]
+            at = np.where(real, self.first[:live] + step, 0)
+            yield (np.where(real, self.token[at], 0), np.where(real, self.before[at], 0), self.fresh[at] & real,
+                   np.where(real, self.doc[at], -1))
 
 
 class Network:
@@ -380,7 +393,7 @@ def train_network(train: DataFrame, vocab: Vocabulary, n_docs: int) -> np.ndarra
                                                  ["tokens", "params"])
         return run
 
-    few = bounded_sample(train, WARM_DOCS, n_docs, F.rand(7))
+    few = bounded_sample(train, WARM_DOCS, n_docs, hash_order("doc_id", "text"), "doc_id")
     warm = few.coalesce(1).mapInArrow(passes(None, WARM_ROUNDS, WARM_LANES), "tokens long, params array<float>").first()
     start = np.array(warm.params, np.float32)
     # Averages of each parameter over the partitions, weighted by their tokens, summed up in Spark.
