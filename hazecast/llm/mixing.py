@@ -13,8 +13,10 @@ Without a budget, the smallest one is taken at which every document is used at l
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens; a source
 without tokens is used once and has weight 0; documents without an id are dealt to blocks by
-their text; repeated rows are used each; an empty table gives an empty result.  Columns of the
-input stay; one of a result's name is replaced.
+their text; repeated rows are used each; an empty table gives an empty result; a very long
+text is read whole and lies in one block.  Columns of the input stay; one of a result's name is replaced.
+A source has 2^30 blocks at most, as ranks are 64-bit products: beyond 2^30 times ``block_tokens`` tokens
+(4.4e12 for the default) its blocks are larger than that.
 
 DataFrame operations only.  Shuffles carry pre-aggregated rows of (source) and (source, block
 rank); the documents themselves do not move, except where there are more sources than

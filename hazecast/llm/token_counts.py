@@ -7,7 +7,8 @@ identifier sequence is built.  Pieces repeat a lot, so each worker keeps their c
 cache of bounded size.
 
 Null and empty texts have 0 bytes and 0 tokens.  Repeated rows are counted each; columns of
-the input stay, and one of a result's name is replaced.
+the input stay, and one of a result's name is replaced; an empty table gives an empty result; of a
+very long text one piece at a time is merged, in memory that grows with the piece.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Defined cases: null and empty texts have no features and score the classifier's
 labels that are null are no labels; a document labelled twice is toxic if one label says so; of
 repeated rows of a document one is learnt from and all are scored; without training labels of both
 classes every score is the share of toxic labels (0 without any); columns of the input stay, and
-one of a result's name is replaced.
+one of a result's name is replaced; an empty table gives an empty result; a very long text is read
+whole, some 30 bytes a character while its n-grams are hashed.
 """
 
 from __future__ import annotations
