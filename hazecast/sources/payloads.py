@@ -37,7 +37,7 @@ def from_epoch_seconds(c: Column) -> Column:
     return F.timestamp_add("SECOND", c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-_ISO = r"^\s*(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?(?:[.,](\d+))?\s*(Z|[+-]\d{2}:?\d{2}|[+-]\d{2})?\s*$"
+_STAMP = r"^\s*(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)"
 
 
 def parse_iso(c: Column) -> Column:
@@ -45,15 +45,15 @@ def parse_iso(c: Column) -> Column:
 
     Seconds, a fraction of any length (cut to microseconds) and an offset (``Z``, ``+05:00``,
     ``+0500``, ``+05``) may follow the minutes; without an offset the text is taken as UTC.
+    Only texts with an offset other than zero go through its arithmetic.
     """
-    part = lambda k: F.regexp_extract(c, _ISO, k)
-    seconds = F.when(part(3) == "", F.lit(":00")).otherwise(part(3))
-    text = F.concat(part(1), F.lit(" "), part(2), seconds, F.lit("."), F.rpad(F.substring(part(4), 1, 6), 6, "0"))
-    wall = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")).cast("timestamp_ntz")
-    digits = F.regexp_replace(part(5), "[^0-9]", "")
-    minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + \
-        F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
-    return F.timestamp_add("MINUTE", F.when(part(5).startswith("-"), minutes).otherwise(-minutes), wall)
+    wall = F.translate(F.regexp_extract(c, _STAMP, 1), ",", ".").try_cast("timestamp_ntz")
+    offset = F.trim(F.regexp_replace(c, _STAMP, ""))
+    digits = F.rpad(F.translate(offset, "+-:", ""), 4, "0")
+    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+    shifted = F.timestamp_add("MINUTE", F.when(offset.startswith("-"), minutes).otherwise(-minutes), wall)
+    return (F.when(offset.isin("", "Z", "+00:00"), wall)
+            .when(offset.rlike(r"^[+-]\d{2}(:?\d{2})?$"), shifted))
 
 
 def _json(spark: SparkSession, path: str, schema) -> DataFrame:
