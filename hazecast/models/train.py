@@ -80,7 +80,7 @@ def train_models(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
     # The fits are independent, and each waits for one small job after the other: side by side
     # they share the cluster.
     with ThreadPoolExecutor(len(names)) as pool:
-        return list(pool.map(inheritable_thread_target(fit), names))
+        return list(pool.map(inheritable_thread_target(train.sparkSession)(fit), names))
 
 
 def evaluate_models(predictions: DataFrame, y: str = "label", yhat: str = "prediction",

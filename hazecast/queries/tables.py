@@ -227,6 +227,24 @@ def q_batched(spark, sf):
     return K.batched_write(silver(spark, sf), scratch_path(spark, "batched"), 100)
 
 
+@register("write_ledger", W(*SILVER, body="""
+SELECT i::BIGINT AS chunk, LEAST(100, n - 100 * i)::BIGINT AS rows, 'committed' AS status, CASE WHEN i = 1 THEN 2 ELSE 1 END::BIGINT AS attempt,
+       n::BIGINT AS stored
+FROM (SELECT COUNT(*) AS n FROM silver) c, UNNEST(GENERATE_SERIES(0, CAST(CEIL(n / 100.0) AS BIGINT) - 1)) t(i)"""), "K3")
+def q_ledger(spark, sf):
+    """Chunks of 100 rows, the second of which its sink refuses; a second call writes that one alone."""
+    rows, path = silver(spark, sf), scratch_path(spark, "ledger")
+
+    def refuses(df, folder):
+        if folder.endswith("chunk=000001"):
+            raise ConnectionError("the sink does not answer")
+        df.write.parquet(folder)
+    K.chunked_write(rows, path, "load", chunk_rows=100, write=refuses)
+    ledger = K.chunked_write(rows, path, "load", chunk_rows=100)
+    stored = spark.read.parquet(path).count()
+    return ledger.select("chunk", "rows", "status", "attempt", F.lit(stored).cast("long").alias("stored"))
+
+
 _DBL = ["aqi", "pm25", "pm10", "no2", "o3", "co", "so2", "temp", "feels_like", "humidity", "pressure", "wind_speed",
         "wind_direction", "visibility", "precipitation", "aqi_change_rate"]
 

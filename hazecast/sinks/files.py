@@ -8,9 +8,12 @@ the table's next version (see ``versions``).  A failure before the commit leaves
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,6 +194,70 @@ def batched_write(df: DataFrame, path: str, batch_size: int = 100, fmt: str = "p
                                  "rows BIGINT, batches BIGINT, batch_size INT")
 
 
+LEDGER = "_ledger"
+LEDGER_ROW = "run string, chunk long, attempt long, rows long, status string, error string"
+
+
+def read_ledger(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The last attempt of each chunk of a run: (run, chunk, attempt, rows, status, error)."""
+    notes = spark.read.schema(LEDGER_ROW).json(f"{path.rstrip('/')}/{LEDGER}/*.json") if _fs_glob(spark, f"{path.rstrip('/')}/{LEDGER}/*.json") else \
+        spark.createDataFrame([], LEDGER_ROW)
+    last = notes.where(F.col("run") == run).groupBy("run", "chunk").agg(F.max_by(F.struct("attempt", "rows", "status", "error"), "attempt").alias("l"))
+    return last.select("run", "chunk", "l.*")
+
+
+def _fs_glob(spark: SparkSession, pattern: str) -> list:
+    fs, Path = _fs(spark, pattern)
+    return list(fs.globStatus(Path(pattern)) or [])
+
+
+def _write_chunk(df: DataFrame, folder: str, fmt: str) -> None:
+    df.write.mode("overwrite").format(fmt).save(folder)
+
+
+def chunked_write(df: DataFrame, path: str, run: str, order: Sequence[str] = ("timestamp", "city"), chunk_rows: int = 100_000,
+                  write=None, fmt: str = "parquet", side_by_side: int = 4) -> DataFrame:
+    """Write in time order, ``chunk_rows`` rows to a chunk, each chunk for itself: one that fails is noted
+    and the others go on.
+
+    The chunks and their errors are kept in a ledger beside the data; a call with the same ``run``
+    writes only the chunks that are not noted as committed, and returns the ledger.  ``write(df, folder)``
+    puts a chunk down (default: overwrites the folder ``chunk=<n>``, so an attempt that broke off leaves
+    nothing behind).  Rows are numbered by ``order`` and, among equals, by their values, so every call
+    deals the same input alike; the numbered rows are staged once, by chunk.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    write = write or (lambda rows, folder: _write_chunk(rows, folder, fmt))
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    numbered = global_row_number(tied, [], order[0], [*order, "_tie"], out="_rn").drop("_tie")
+    numbered = numbered.withColumn("_chunk", F.floor((F.col("_rn") - 1) / F.lit(chunk_rows)).cast("long"))
+    staged = scratch_path(spark, "chunks")
+    numbered.repartition("_chunk").sortWithinPartitions("_chunk", "_rn").write.partitionBy("_chunk").parquet(staged)
+    numbered = spark.read.schema(T.StructType([*numbered.schema.fields])).parquet(staged)
+    sizes = {r["_chunk"]: r["count"] for r in numbered.groupBy("_chunk").count().collect()}  # a row per chunk
+    done = {r["chunk"]: r for r in read_ledger(spark, path, run).collect()}
+    todo = [c for c in sorted(sizes) if c not in done or done[c]["status"] != "committed"]
+    fs, Path = _fs(spark, path)
+    fs.mkdirs(Path(f"{path}/{LEDGER}"))
+
+    def one(chunk: int) -> None:
+        status, error = "committed", None
+        try:
+            write(numbered.where(F.col("_chunk") == chunk).drop("_chunk", "_rn"), f"{path}/chunk={chunk:06d}")
+        except Exception as e:  # noqa: BLE001 - whatever the sink raises belongs to this chunk
+            status, error = "failed", f"{type(e).__name__}: {e}"[:500]
+        attempt = done[chunk]["attempt"] + 1 if chunk in done else 1
+        note = {"run": run, "chunk": chunk, "attempt": attempt, "rows": sizes[chunk], "status": status, "error": error}
+        out = fs.create(Path(f"{path}/{LEDGER}/{uuid.uuid4().hex}.json"))
+        out.write(bytearray(json.dumps(note).encode()))
+        out.close()
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        list(pool.map(inheritable_thread_target(spark)(one), todo))
+    return read_ledger(spark, path, run)
+
+
 def delete_where(spark: SparkSession, path: str, predicate, partition_by: Sequence[str] = ()) -> DataFrame:
     """Remove rows matching ``predicate`` (null counts as no match).
 
