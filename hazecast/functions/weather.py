@@ -87,12 +87,42 @@ def pressure_band(pressure: Column) -> Column:
 KMH_PER_MS = 3.6
 
 
+# Weather codes by group.  The archive writes WMO present-weather codes, the live and
+# forecast feeds condition ids; each row is (lowest, highest, group).
+WMO_GROUPS = [(0, 0, "Clear"), (1, 3, "Clouds"), (45, 48, "Fog"), (51, 57, "Drizzle"), (61, 67, "Rain"), (71, 77, "Snow"),
+              (80, 82, "Rain"), (85, 86, "Snow"), (95, 99, "Thunderstorm")]
+CONDITION_GROUPS = [(200, 299, "Thunderstorm"), (300, 399, "Drizzle"), (500, 599, "Rain"), (600, 699, "Snow"), (700, 799, "Fog"),
+                    (800, 800, "Clear"), (801, 804, "Clouds")]
+# The WMO code that stands for a group.
+GROUP_CODE = {"Clear": 0, "Clouds": 2, "Fog": 45, "Drizzle": 51, "Rain": 61, "Snow": 71, "Thunderstorm": 95}
+
+
+def _group_of(code: Column, groups: list[tuple[int, int, str]]) -> Column:
+    out = F.lit(None).cast("string")
+    for low, high, name in groups:
+        out = F.when(code.between(low, high), F.lit(name)).otherwise(out)
+    return out
+
+
+def weather_group(code: Column, source: Column) -> Column:
+    """Group of a weather code in the vocabulary of its source; null for codes that it does not have."""
+    return F.when(source == "archive", _group_of(code, WMO_GROUPS)).otherwise(_group_of(code, CONDITION_GROUPS))
+
+
 def normalise_units(df: DataFrame, source: Column) -> DataFrame:
-    """Bring wind to m/s and precipitation to mm per hour, tagged by source.
+    """Bring wind to m/s, precipitation to mm per hour and weather codes to one vocabulary, tagged by source.
 
-    ``source`` values: ``"current"`` (m/s, mm per 1 h), ``"archive"`` (km/h,
-    mm per 1 h), ``"forecast3h"`` (m/s, mm per 3 h).
+    ``source`` values: ``"current"`` (m/s, mm per 1 h, condition ids), ``"archive"`` (km/h,
+    mm per 1 h, WMO codes), ``"forecast3h"`` (m/s, mm per 3 h, condition ids).  A ``weather_code``, if there
+    is one, becomes the WMO code (condition ids: that of their group, null where they have none), and
+    ``weather_group`` names its group.
     """
     wind = F.when(source == "archive", F.col("wind_speed") / F.lit(KMH_PER_MS)).otherwise(F.col("wind_speed"))
     rain = F.when(source == "forecast3h", F.col("precipitation") / F.lit(3.0)).otherwise(F.col("precipitation"))
-    return df.withColumns({"wind_speed": wind, "precipitation": rain, "unit_source": source})
+    out = df.withColumns({"wind_speed": wind, "precipitation": rain, "unit_source": source})
+    if "weather_code" not in df.columns:
+        return out
+    group = weather_group(F.col("weather_code"), source)
+    codes = F.create_map(*[x for k, v in GROUP_CODE.items() for x in (F.lit(k), F.lit(v))])
+    code = F.when(source == "archive", F.col("weather_code")).otherwise(codes[group])
+    return out.withColumns({"weather_group": group, "weather_code": code})

@@ -156,6 +156,54 @@ def weather_defaults(spark, sf):
     return wx.apply_scoring_defaults(w)
 
 
+def _group_sql(code, groups):
+    return "CASE " + " ".join(f"WHEN {code} BETWEEN {a} AND {b} THEN '{g}'" for a, b, g in groups) + " END"
+
+
+_CODED = """coded AS (
+  SELECT city, timestamp, CASE WHEN hour(timestamp) % 3 = 0 THEN 'archive' WHEN hour(timestamp) % 3 = 1 THEN 'current' ELSE 'forecast3h' END AS src,
+         CASE WHEN hour(timestamp) % 3 = 0 THEN weather_code ELSE 200 + weather_code * 13 % 605 END AS code, wind_speed, precipitation
+  FROM weather_hourly)"""
+
+
+@register("weather_codes", W(*C(_CODED), body=f"""
+SELECT city, timestamp, src AS unit_source, g AS weather_group,
+  CASE WHEN src = 'archive' THEN code ELSE CASE g {' '.join(f"WHEN '{k}' THEN {v}" for k, v in wx.GROUP_CODE.items())} END END AS weather_code,
+  CASE WHEN src = 'archive' THEN wind_speed / {O.D(3.6)} ELSE wind_speed END AS wind_speed,
+  CASE WHEN src = 'forecast3h' THEN precipitation / {O.D(3.0)} ELSE precipitation END AS precipitation
+FROM (SELECT *, CASE WHEN src = 'archive' THEN {_group_sql('code', wx.WMO_GROUPS)} ELSE {_group_sql('code', wx.CONDITION_GROUPS)} END AS g FROM coded) c"""),
+          "P19")
+def weather_codes(spark, sf):
+    """Readings of three sources in their own units and codes, brought together."""
+    w, third = B.weather_hourly(spark, sf), F.hour("timestamp") % 3
+    source = F.when(third == 0, "archive").when(third == 1, "current").otherwise("forecast3h")
+    code = F.when(third == 0, F.col("weather_code")).otherwise(200 + F.col("weather_code") * 13 % 605)
+    got = wx.normalise_units(w.withColumn("weather_code", code), source)
+    return got.select("city", "timestamp", "unit_source", "weather_group", "weather_code", "wind_speed", "precipitation")
+
+
+@register("display_defaults", W(*C(_CODED), body=f"""
+SELECT city, timestamp, COALESCE(temp, {O.D(25.0)}) AS temp, COALESCE(feels_like, temp, {O.D(25.0)}) AS feels_like,
+  COALESCE(humidity, {O.D(50.0)}) AS humidity, COALESCE(pressure, {O.D(1013.0)}) AS pressure,
+  COALESCE(wind_speed, {O.D(0.0)}) AS wind_speed, COALESCE(wind_direction, {O.D(0.0)}) AS wind_direction FROM weather_hourly"""), "P26")
+def display_defaults(spark, sf):
+    """The conditions that a display shows where a reading lacks them."""
+    return wx.apply_display_defaults(B.weather_hourly(spark, sf)).select(
+        "city", "timestamp", "temp", "feels_like", "humidity", "pressure", "wind_speed", "wind_direction")
+
+
+@register("floored_forecast", W(*C(), body=f"""
+SELECT city, timestamp, CASE WHEN raw < 0 THEN {O.D(0.0)} ELSE raw END AS predicted_aqi FROM (
+  SELECT city, timestamp, 2 * aqi - LAG(aqi, 1) OVER (PARTITION BY city ORDER BY timestamp) * 2 AS raw FROM obs_hourly) f"""), "P25")
+def floored_forecast(spark, sf):
+    """A linear continuation of the index, which falls below 0 at times, with the plain floor."""
+    from ..operators.windows import halo_window
+    from ..plans.scoring import floor_zero
+    h = B.obs_hourly(spark, sf)
+    raw = halo_window(h, ["city"], "timestamp", ["timestamp"], {"_raw": lambda w: 2 * F.col("aqi") - F.lag("aqi", 1).over(w) * 2}, reach=1)
+    return raw.select("city", "timestamp", floor_zero(F.col("_raw")).alias("predicted_aqi"))
+
+
 @register("condition_bands", W(*C(), body="""
 SELECT city, timestamp,
   CASE WHEN temp IS NULL THEN NULL WHEN temp >= 40 THEN 'very hot' WHEN temp >= 30 THEN 'hot'

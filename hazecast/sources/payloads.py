@@ -11,7 +11,7 @@ import warnings
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from ..functions.aqi import pm25_to_aqi
 from ..functions.calendar import TS_FORMAT
 from ..functions.rounding import round_half_even
 from ..operators.filters import feed_ok, valid_measurement
+from ..session import staged_table
 
 
 # Provider field names -> canonical names.
@@ -179,17 +180,19 @@ def read_store_csv(spark: SparkSession, path: str) -> DataFrame:
     return typed.withColumn("ingest_seq", F.col("ingest_seq").try_cast("bigint"))
 
 
-def read_with_fallback(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
+def read_with_fallback(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame], read_through: bool = False) -> DataFrame:
     """Use ``primary`` unless its source is missing or cannot be reached when it is resolved.
 
-    Only Spark's errors of analysis and of the data source select the fallback; other errors,
-    such as those of a program, are raised.
+    With ``read_through`` the primary is read to its end and staged in the shared folder first, so
+    that a store that fails while it is read (a broken file, a lost connection) selects the fallback as
+    well, and nothing of a half-read store is used.  Only Spark's errors select the fallback; other
+    errors, such as those of a program, are raised.
     """
     try:
         df = primary()
         df.schema  # resolve now, so a missing source fails here
-        return df
-    except (AnalysisException, Py4JJavaError) as e:
+        return staged_table(df, "read-through") if read_through else df
+    except (AnalysisException, PySparkException, Py4JJavaError) as e:
         warnings.warn(f"store not readable, falling back: {str(e).splitlines()[0]}", stacklevel=2)
         return fallback()
 
