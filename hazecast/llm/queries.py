@@ -166,7 +166,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-@register("op11_periodic_runs")
+RUNS_SQL = r"""
+with h as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+  xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda a, b:
+    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) as h
+  from documents),
+g as (select doc_id, words, len(words) as n, h % 10 = 0 and len(words) > 0 as planted, h // 10 as g from h),
+a as (select *, case when planted then g % n end as a, case when planted then 1 + (n - g % n) // (3 + g % 8) end as p from g),
+t as (select doc_id, n, i, words[1 + case when planted and i >= a then a + (i - a) % p else i end] as w from a, unnest(range(0, n)) u(i)),
+e as (select x.doc_id, y.i - x.i as q, x.i from t x join t y on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i and (y.i - x.i) * 4 <= x.n),
+s as (select doc_id, q, min(i) as start, count(*) + q as length from (
+  select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as k from e) group by doc_id, q, k having count(*) + q >= greatest(6, 4 * q)),
+r as (select doc_id, start, length, min(q) as period from s group by doc_id, start, length),
+b as (select doc_id, count(*) as n_runs, arg_max(struct_pack(start := start, length := length, period := period), (length / period, -start, -period)) as best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from r group by doc_id),
+c as (select doc_id, string_agg(w, ' ' order by i) as kept from t
+  where not exists (select 1 from r where r.doc_id = t.doc_id and t.i >= r.start + r.period and t.i < r.start + r.length) group by doc_id)
+select h.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.start::bigint as start, best.length::bigint as length, best.period::bigint as period,
+  (1000 * best.length // best.period)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from h left join b on h.doc_id = b.doc_id left join c on h.doc_id = c.doc_id
+"""
+
+
+@register("op11_periodic_runs", RUNS_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -181,7 +203,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
-@register("op12_suffix_array_dedup")
+REPEATS_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+n as (select doc_id, hx, length(hx) // 2 as nb from d),
+-- pieces of 2,048 bytes with the 99 that follow, so that a window is cut from a short text
+p as (select doc_id, nb, c * 2048 as off, substr(hx, c * 4096 + 1, 4096 + 198) as ph from n, unnest(range(0, (nb + 2047) // 2048)) t(c) where nb >= 100),
+w as (select doc_id, off + i as x, md5_number(substr(ph, 2 * i + 1, 200)) as s from p, unnest(range(0, least(2048, nb - 99 - off))) t(i)),
+r as (select doc_id, x from (select doc_id, x, row_number() over (partition by s order by doc_id, x) as k from w) where k > 1),
+g as (select doc_id, x, sum(fresh) over (partition by doc_id order by x) as g from (
+  select doc_id, x, case when x <= lag(x) over (partition by doc_id order by x) + 100 then 0 else 1 end as fresh from r)),
+s as (select doc_id, list(a order by a) as starts, list(b order by a) as ends, sum(b - a) as n_removed, count(*) as n_spans from (
+  select doc_id, g, min(x) as a, max(x) + 100 as b from g group by doc_id, g) group by doc_id),
+k as (select n.doc_id, nb, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  case when starts is null then hx else array_to_string(list_transform(range(0, len(starts) + 1), lambda i:
+    substr(hx, 2 * (case when i = 0 then 0 else ends[i] end) + 1,
+      2 * ((case when i = len(starts) then nb else starts[i + 1] end) - (case when i = 0 then 0 else ends[i] end)))), '') end as kept
+  from n left join s on n.doc_id = s.doc_id)
+select doc_id, nb::bigint as n_bytes, n_removed::bigint as n_removed, n_spans::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from k
+"""
+
+
+@register("op12_suffix_array_dedup", REPEATS_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
