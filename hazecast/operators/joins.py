@@ -1,4 +1,4 @@
-"""Joins of the reference: hourly alignment, as-of lag, range mean, reference row, lookups.
+"""Joins: hourly alignment, as-of lag, range mean, reference row, history features.
 
 As-of and range joins are planned as union + carry over time buckets (see
 ``windows``): no pair of rows is ever materialised, and the work is
@@ -101,12 +101,6 @@ def with_reference_row(df: DataFrame, ref: DataFrame, keys: Sequence[str] = ("ci
     return df.join(broadcast_if_small(ref), list(keys), "left")
 
 
-def with_lookup(df: DataFrame, key: Column, mapping: dict, out: str) -> DataFrame:
-    """Small fixed lookup as a literal map: constant-folded, no join."""
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    return df.withColumn(out, m[key])
-
-
 def _swept(points: DataFrame, keys: list[str], unit: str) -> DataFrame:
     """Rows of kind 0 are history (``_m``: struct of time and value, ``_s``, ``_n``: its addend and 1 if it has
     one); for the others ``_m``, ``_s``, ``_n``, ``_r`` become the last history row and the sums and rows of all

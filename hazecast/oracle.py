@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from .functions.aqi import BEYOND_SCALE, CATEGORY4_BANDS, CATEGORY_BANDS, PM25_BREAKPOINTS, TOP_CATEGORY, \
     TOP_CATEGORY4, band_slope
+from .plans.history import FEATURE_TABLE_COLS
+from .plans.preprocess import FEATURE_COLS
 from .sources.bindings import DEFAULT_CITY, POLLUTANT_OF_STATION
 
 
@@ -129,10 +131,7 @@ def cal_sql(ts: str = "timestamp") -> str:
             f"CAST(hour({ts}) IN (7, 8, 9, 17, 18, 19) AS INTEGER) AS is_rush_hour")
 
 
-FEATURE_TABLE = ["city", "timestamp", "aqi", "pm25", "pm10", "no2", "o3", "co", "so2", "temp", "feels_like",
-                 "humidity", "pressure", "wind_speed", "wind_direction", "visibility", "precipitation",
-                 "weather_code", "weather", "hour", "day", "month", "dayofweek", "is_weekend", "is_rush_hour",
-                 "aqi_change_rate", "ingest_seq"]
+FEATURE_TABLE = FEATURE_TABLE_COLS
 
 
 def silver_cte(name: str = "silver", digits: int = 0, policy: str = "reference") -> str:
@@ -230,11 +229,7 @@ def cyc_sql(x: str, period: int, fn: str, digits: int = 9) -> str:
 
 
 PRE_OUT = ["city", "timestamp", "aqi", "pm25", "pm10", "no2", "o3", "co", "so2"]
-MODEL_FEATURES = [
-    "temp", "feels_like", "humidity", "pressure", "wind_speed", "wind_direction", "precipitation", "weather_code",
-    "hour_sin", "hour_cos", "month_sin", "month_cos", "dayofweek", "is_weekend", "is_rush_hour", "season",
-    "is_hot", "is_cold", "is_calm_wind", "is_strong_wind", "is_stagnant", "temp_humidity", "wind_humidity",
-    "aqi_lag_72h", "aqi_lag_96h", "aqi_rolling_72h", "aqi_rolling_96h"]
+MODEL_FEATURES = FEATURE_COLS
 
 
 def preprocess_ctes(src: str = "silver", name: str = "gold", knn_cols=("pm25", "pm10", "no2", "o3", "co"),

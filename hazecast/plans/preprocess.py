@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import weather as wx
 from ..operators.aggregates import counted_stage
-from ..operators.filters import IMPUTE_MIN_COUNT, iqr_filter, usable_columns
+from ..operators.filters import IMPUTE_MIN_COUNT, drop_null, iqr_filter, usable_columns
 from ..operators.knn import knn_impute
 from ..operators.windows import fill_forward_backward, series_row_features
 from ..session import staged_table
@@ -84,7 +84,7 @@ def preprocess(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timest
     temp, hum, wind = F.col("temp"), F.col("humidity"), F.col("wind_speed")
     out = out.withColumns({**wx.interactions(temp, hum, wind), "is_stagnant": wx.is_stagnant(wind, hum),
                            **wx.weather_flags(temp, wind)})
-    return counted_stage(out.filter(F.col("aqi_lag_72h").isNotNull()), "final", audit)
+    return counted_stage(drop_null(out, ["aqi_lag_72h"]), "final", audit)
 
 
 def select_features(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

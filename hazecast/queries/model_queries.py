@@ -138,10 +138,18 @@ def q_best(spark, sf):
 _TRAINED: dict = {}
 
 
+def _files(spark, sf):
+    """Paths, sizes and times of the readings that the fits come from."""
+    from ..sinks.versions import file_system
+    fs, Path = file_system(spark, sf)
+    found = fs.globStatus(Path(f"{sf.rstrip('/')}/events.parquet/*")) or fs.globStatus(Path(f"{sf.rstrip('/')}/events.parquet"))
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))
+
+
 def trained_models(spark, sf):
-    """Fit the four regressors once per application and input folder (reused by later queries)."""
+    """Fit the four regressors once per application and state of the input files (reused by later queries)."""
     from ..models.train import train_models
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, _files(spark, sf))
     if key not in _TRAINED:
         from ..session import cut_lineage
         g = cut_lineage(preprocess(silver(spark, sf)))  # the training defaults: no leak of the target

@@ -1,9 +1,7 @@
-"""Explicit schemas (DDL strings) of landed payloads and tables, and ``conform``."""
+"""Explicit schemas (DDL strings) of landed payloads and tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 AIR_POLLUTION = (
@@ -44,14 +42,3 @@ def struct(ddl: str) -> T.StructType:
     """Parse a DDL schema (needs an active session; kept lazy so workers can import this module)."""
     return T.StructType.fromDDL(ddl)
 
-
-def conform(df: DataFrame, schema: str | T.StructType = FEATURE_TABLE) -> DataFrame:
-    """Select the schema's columns in order; missing optional columns become typed nulls."""
-    schema = struct(schema) if isinstance(schema, str) else schema
-    cols = []
-    for f in schema.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
