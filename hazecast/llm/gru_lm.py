@@ -236,23 +236,37 @@ class Network:
         self.p = unpack(flat)
 
     def states(self, before: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-        """States over a window from the carried state h; with what backpropagation needs."""
+        """States over a window from the carried state h; with what backpropagation needs: by step and
+        lane the state before, both gates, the gated state and the candidate."""
         p = self.p
         steps, lanes = before.shape
         x = p["x"][before]
-        out = np.empty((steps, lanes, STATE), np.float32)
-        kept = []
+        stays = (~fresh[:, :, None]).astype(x.dtype)
+        out = np.empty((steps, lanes, STATE), x.dtype)
+        kept = [np.empty((steps, lanes, n), x.dtype) for n in (STATE, 2 * STATE, STATE, STATE)] if keep else None
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            h = h * stays[t]
             g = sigmoid(x[t, :, :2 * STATE] + h @ p["u"])
-            z, r = g[:, :STATE], g[:, STATE:]
-            rh = r * h
+            rh = g[:, STATE:] * h
             c = np.tanh(x[t, :, 2 * STATE:] + rh @ p["v"])
             if keep:
-                kept.append((h, z, r, rh, c))
-            h = out[t] = h + z * (c - h)
+                kept[0][t], kept[1][t], kept[2][t], kept[3][t] = h, g, rh, c
+            c -= h
+            c *= g[:, :STATE]
+            h = np.add(h, c, out=out[t])
         return out, h, kept
 
+    @staticmethod
+    def _exponentials(logits: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        """exp of logits, in their place, and what was taken off them first.  States lie within (-1, 1), so the
+        weights bound the logits; only beyond what exp holds is each row's largest taken off."""
+        most = 0.0
+        if float((np.abs(weight).sum(axis=0) + np.abs(bias)).max()) > 60:
+            most = logits.max(axis=1, keepdims=True)
+            logits -= most
+            most = most[:, 0]
+        return np.exp(logits, out=logits), most
+
     def outputs(self, hidden: np.ndarray, token: np.ndarray, grads: dict[str, np.ndarray] | None):
         """Log probability of each token (a tail class for tail words); with grads, also the
         gradient to the states of minus its sum."""
@@ -261,12 +275,11 @@ class Network:
         target = np.where(own, token // WORDS, token - CLASSES * WORDS + CLASSES)
         logits = hidden @ p["wc"]
         logits += p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
         rows = np.arange(len(token))
         score = logits[rows, target]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        score -= np.log(total)
+        logits, most = self._exponentials(logits, p["wc"], p["bc"])
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        score -= np.log(total) + most
         back = None
         if grads is not None:
             logits /= total[:, None]
@@ -283,12 +296,11 @@ class Network:
             h = hidden[at]
             e = h @ p["ww"][k]
             e += p["bw"][k]
-            e -= e.max(axis=1, keepdims=True)
             i, word = np.arange(len(at)), token[at] % WORDS
-            s = e[i, word]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            score[at] += s - np.log(total)
+            said = e[i, word]
+            e, most = self._exponentials(e, p["ww"][k], p["bw"][k])
+            total = e @ np.ones(WORDS, e.dtype)
+            score[at] += said - np.log(total) - most
             if grads is not None:
                 e /= total[:, None]
                 e[i, word] -= 1
@@ -325,20 +337,28 @@ class Network:
             _, back[real] = self.outputs(hidden.reshape(-1, STATE)[real], token.ravel()[real], grads)
             back = back.reshape(steps, lanes, STATE)
             gx = np.empty((steps, lanes, 3 * STATE), np.float32)
+            # Gates' and candidates' derivatives of the whole window at once; then back step by step.
+            h0, gates, rh, c = kept
+            z, r = gates[:, :, :STATE], gates[:, :, STATE:]
+            to_z, to_c, to_r, carry = (c - h0) * z * (1 - z), z * (1 - c * c), h0 * r * (1 - r), 1 - z
+            stays = (~fresh[:, :, None]).astype(np.float32)
             dh = np.zeros((lanes, STATE), np.float32)
+            ut, vt = p["u"].T.copy(), p["v"].T.copy()
             for t in range(steps - 1, -1, -1):
-                h0, z, r, rh, c = kept[t]
                 dh += back[t]
-                dz = dh * (c - h0) * z * (1 - z)
-                dc = dh * z * (1 - c * c)
-                drh = dc @ p["v"].T
-                dr = drh * h0 * r * (1 - r)
-                gx[t, :, :STATE], gx[t, :, STATE:2 * STATE], gx[t, :, 2 * STATE:] = dz, dr, dc
-                dzr = gx[t, :, :2 * STATE]
-                grads["u"] += h0.T @ dzr
-                grads["v"] += rh.T @ dc
-                dh = dh * (1 - z) + drh * r + dzr @ p["u"].T
-                dh[fresh[t]] = 0
+                own = gx[t]
+                np.multiply(dh, to_z[t], out=own[:, :STATE])
+                dc = np.multiply(dh, to_c[t], out=own[:, 2 * STATE:])
+                drh = dc @ vt
+                np.multiply(drh, to_r[t], out=own[:, STATE:2 * STATE])
+                dh *= carry[t]
+                drh *= r[t]
+                dh += drh
+                dh += own[:, :2 * STATE] @ ut
+                dh *= stays[t]
+            flat_gx = gx.reshape(-1, 3 * STATE)
+            grads["u"] += h0.reshape(-1, STATE).T @ flat_gx[:, :2 * STATE]
+            grads["v"] += rh.reshape(-1, STATE).T @ flat_gx[:, 2 * STATE:]
             scale = np.float32(1 / lanes)
             for n, g in grads.items():
                 g *= scale
