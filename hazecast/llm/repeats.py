@@ -44,7 +44,7 @@ BLOCK, PLACE = 1 << 20, 21
 #: bytes of texts settled at once in a task, and of rows sorted at once
 SLICE, SORTED = 32 << 20, 8 << 20
 #: rows of one anchor that are sorted in one task
-HOT = 1 << 12
+HOT = 1 << 16
 LAST = (1 << 63) - 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
