@@ -101,3 +101,26 @@ def test_saved_model_serves_raw_features(spark):
     own = score_forecast(trained[0].model, ahead).orderBy("timestamp").collect()
     assert got == own and len(got) == test.count()
     assert [r["temp"] for r in got] == [r["temp"] for r in test.orderBy("timestamp").collect()]
+
+
+def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """Tens of thousands of rows are no single task; the number of tasks goes by the rows alone."""
+    from hazecast.models import train as M
+    assert [M.train_partitions(n) for n in (0, 1, 16_384, 34_310, 205_860)] == [1, 1, 1, 3, 13]
+    assert M.train_partitions(5_000_000) == 64 and M.train_partitions(40_000_000) == 200
+    monkeypatch.setitem(M.RF_PARAMS, "numTrees", 3)
+    monkeypatch.setitem(M.RF_PARAMS, "maxDepth", 3)
+    monkeypatch.setitem(M.GBT_PARAMS, "maxIter", 2)
+    seen = {}
+    for cls in (M.RandomForestRegressor, M.GBTRegressor):
+        def fit(self, df, params=None, own=cls.fit, name=cls.__name__):
+            seen[name] = df.rdd.getNumPartitions()
+            return own(self, df, params)
+        monkeypatch.setattr(cls, "fit", fit)
+    n = 40_000
+    df = spark.range(n).select(F.lit("c").alias("city"), F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"),
+                               (F.col("id") % 24).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                               (F.col("id") % 24 * 2 + F.col("id") % 7).cast("double").alias("aqi"))
+    trained = M.train_models(df, df.limit(100), ["a", "b"], names=["Random Forest", "Gradient Boosting"])
+    assert seen == {"RandomForestRegressor": 3, "GBTRegressor": 2}
+    assert [t.predictions.where("prediction is not null").count() for t in trained] == [100, 100]
