@@ -72,9 +72,11 @@ def count_words(train: DataFrame) -> DataFrame:
 
         def out():
             words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([tail_class(w) for w in words], pa.int32()),
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([endings[w[-2:]] - CLASSES * WORDS for w in words], pa.int32()),
                                                pa.array(list(counts.values()), pa.int64())], ["word", "tail", "c"])
 
+        endings = Endings()
+
         for batch in batches:
             for text in batch.column(0):
                 counts.update(words_of(text.as_py()))
@@ -89,6 +91,14 @@ def count_words(train: DataFrame) -> DataFrame:
             .groupBy("word", "tail").agg(F.sum("c").alias("c")))
 
 
+class Endings(dict):
+    """Network symbol of a tail word by its last two bytes, filled as they are met."""
+
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = out = CLASSES * WORDS + tail_class(ending)
+        return out
+
+
 class Vocabulary:
     """Counts of the frequent words, and the corpus' totals."""
 
@@ -101,6 +111,8 @@ class Vocabulary:
         #: frequent words read as themselves come first
         self.n_own = own
         self.index = {w: i for i, w in enumerate(self.words)}
+        self.own = {w: i for i, w in enumerate(self.words[:own])}
+        self.endings = Endings()
         self.tail_of = np.array([tail_class(w) for w in self.words], np.int64)
         self.tail_n, self.tail_v = np.array(tail_n, float), np.array(tail_v, float)
         if own:  # the tail classes hold what is not read as itself
@@ -121,9 +133,18 @@ class Vocabulary:
         symbols = np.empty(len(words), np.int32)
         symbols[known] = self.symbol[at[known]]
         rest = [words[i] for i in np.flatnonzero(~known).tolist()]
-        symbols[~known] = [CLASSES * WORDS + tail_class(w) for w in rest]
+        symbols[~known] = [self.endings[w[-2:]] for w in rest]
         return symbols, at[known], Counter(rest)
 
+    def read_symbols(self, text: str | None) -> np.ndarray:
+        """The symbols alone, which need no more than the words that are read as themselves."""
+        words = words_of(text)
+        words.append(END)
+        symbols = np.fromiter(map(self.own.get, words, repeat(-1)), np.int32, len(words))
+        tail = np.flatnonzero(symbols < 0)
+        symbols[tail] = [self.endings[words[i][-2:]] for i in tail.tolist()]
+        return symbols
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the staged counts; the words that reach the driver are HEAD at most."""
@@ -184,11 +205,11 @@ def initial(vocab: Vocabulary, seed: int = 0) -> np.ndarray:
     return flat
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 80, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def sorted_by(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the symbols, the symbols in it, and where each one that occurs begins."""
+    order = np.argsort(symbols.astype(np.int16), kind="stable")
+    ordered = symbols[order]
+    return order, ordered, np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
 
 
 class Streams:
@@ -240,21 +261,32 @@ class Network:
         lane the state before, both gates, the gated state and the candidate."""
         p = self.p
         steps, lanes = before.shape
-        x = p["x"][before]
-        stays = (~fresh[:, :, None]).astype(x.dtype)
-        out = np.empty((steps, lanes, STATE), x.dtype)
-        kept = [np.empty((steps, lanes, n), x.dtype) for n in (STATE, 2 * STATE, STATE, STATE)] if keep else None
+        # A gate is 1 / (1 + exp(-a)): the sign goes into the weights.
+        xg = np.take(-p["x"][:, :2 * STATE], before, axis=0)
+        xc = np.take(np.ascontiguousarray(p["x"][:, 2 * STATE:]), before, axis=0)
+        u, v = -p["u"], p["v"]
+        begins = fresh.any(axis=1).tolist()
+        out = np.empty((steps, lanes, STATE), xg.dtype)
+        h0, gates, gated, candidates = [np.empty((steps if keep else 1, lanes, n), xg.dtype) for n in (STATE, 2 * STATE, STATE, STATE)]
         for t in range(steps):
-            h = h * stays[t]
-            g = sigmoid(x[t, :, :2 * STATE] + h @ p["u"])
-            rh = g[:, STATE:] * h
-            c = np.tanh(x[t, :, 2 * STATE:] + rh @ p["v"])
+            at = t if keep else 0
+            if begins[t]:
+                h = np.where(fresh[t][:, None], xg.dtype.type(0), h)
+            g = np.matmul(h, u, out=gates[at])
+            g += xg[t]
+            with np.errstate(over="ignore"):  # one over infinity is the gate's 0
+                np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            c = np.matmul(np.multiply(g[:, STATE:], h, out=gated[at]), v, out=candidates[at])
+            c += xc[t]
+            np.tanh(c, out=c)
             if keep:
-                kept[0][t], kept[1][t], kept[2][t], kept[3][t] = h, g, rh, c
-            c -= h
-            c *= g[:, :STATE]
-            h = np.add(h, c, out=out[t])
-        return out, h, kept
+                h0[t] = h
+            d = c - h
+            d *= g[:, :STATE]
+            h = np.add(h, d, out=out[t])
+        return out, h, (h0, gates, gated, candidates) if keep else None
 
     @staticmethod
     def _exponentials(logits: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
@@ -271,43 +303,56 @@ class Network:
         """Log probability of each token (a tail class for tail words); with grads, also the
         gradient to the states of minus its sum."""
         p = self.p
+        # In order of the symbols a class is a slice, and a target's part of the gradients is one sum.
+        order, token, first = sorted_by(token)
+        n = len(token)
         own = token < CLASSES * WORDS
         target = np.where(own, token // WORDS, token - CLASSES * WORDS + CLASSES)
-        logits = hidden @ p["wc"]
-        logits += p["bc"]
-        rows = np.arange(len(token))
-        score = logits[rows, target]
-        logits, most = self._exponentials(logits, p["wc"], p["bc"])
-        total = logits @ np.ones(logits.shape[1], logits.dtype)
-        score -= np.log(total) + most
-        back = None
+        h1 = np.empty((n, STATE + 1), hidden.dtype)  # a column of ones: the biases are a row of the weights
+        np.take(hidden, order, axis=0, out=h1[:, :STATE])
+        h1[:, STATE] = 1
+        score = np.empty(n, hidden.dtype)
+        back = sums = None
         if grads is not None:
-            logits /= total[:, None]
-            logits[rows, target] -= 1
-            grads["wc"] += hidden.T @ logits
-            grads["bc"] += logits.sum(axis=0)
-            back = logits @ p["wc"].T
-        order = np.argsort(np.where(own, target, CLASSES), kind="stable")
-        ends = np.searchsorted(np.where(own, target, CLASSES)[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[ends[k]:ends[k + 1]]
-            if not len(at):
-                continue
-            h = hidden[at]
-            e = h @ p["ww"][k]
-            e += p["bw"][k]
-            i, word = np.arange(len(at)), token[at] % WORDS
-            said = e[i, word]
-            e, most = self._exponentials(e, p["ww"][k], p["bw"][k])
-            total = e @ np.ones(WORDS, e.dtype)
-            score[at] += said - np.log(total) - most
+            back, sums = np.zeros((n, STATE), hidden.dtype), np.add.reduceat(h1, first, axis=0)
+
+        def layer(a: int, b: int, at: np.ndarray, weight: np.ndarray, bias: np.ndarray, gw, gb, into: slice):
+            """One softmax over rows a to b: the log probability of the places ``at``, and its gradients."""
+            h = h1[a:b]
+            e = h @ np.concatenate([weight, bias[None]])
+            said = e[np.arange(b - a), at]
+            e, most = self._exponentials(e, weight, bias)
+            total = e @ np.ones(e.shape[1], e.dtype)
+            said -= np.log(total) + most
             if grads is not None:
-                e /= total[:, None]
-                e[i, word] -= 1
-                grads["ww"][k] += h.T @ e
-                grads["bw"][k] += e.sum(axis=0)
-                back[at] += e @ p["ww"][k].T
-        return score, back
+                np.reciprocal(total, out=total)
+                g = (h * total[:, None]).T @ e
+                np.subtract.at(g.T, at[first[into] - a], sums[into])
+                gw += g[:STATE]
+                gb += g[STATE]
+                d = e @ weight.T
+                d *= total[:, None]
+                d -= np.take(weight.T, at, axis=0)
+                back[a:b] += d
+            return said
+
+        if n:
+            no = dict.fromkeys(("wc", "bc", "ww", "bw"), [None] * CLASSES) if grads is None else grads
+            score[:] = layer(0, n, target, p["wc"], p["bc"], no["wc"], no["bc"], slice(None))
+            bounds = np.arange(CLASSES + 1) * WORDS
+            ends, groups = np.searchsorted(token, bounds).tolist(), np.searchsorted(token[first], bounds).tolist()
+            for k in range(CLASSES):
+                a, b = ends[k], ends[k + 1]
+                if a < b:
+                    score[a:b] += layer(a, b, token[a:b] - k * WORDS, p["ww"][k], p["bw"][k], no["ww"][k], no["bw"][k],
+                                        slice(groups[k], groups[k + 1]))
+        out = np.empty_like(score)
+        out[order] = score
+        if grads is None:
+            return out, None
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        return out, unsorted
 
     def log_likelihoods(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log of each document's probability under the network."""
@@ -317,6 +362,8 @@ class Network:
         for token, before, fresh, doc in streams.windows():
             hidden, h, _ = self.states(before, fresh, h[:token.shape[1]], False)
             real = doc.ravel() >= 0
+            if real.all():
+                real = slice(None)
             score, _ = self.outputs(hidden.reshape(-1, STATE)[real], token.ravel()[real], None)
             out += np.bincount(doc.ravel()[real], score.astype(np.float64), len(docs))
         return out
@@ -333,6 +380,8 @@ class Network:
                 g[:] = 0
             hidden, h, kept = self.states(before, fresh, h[:lanes], True)
             real = doc.ravel() >= 0
+            if real.all():
+                real = slice(None)
             back = np.zeros((steps * lanes, STATE), np.float32)
             _, back[real] = self.outputs(hidden.reshape(-1, STATE)[real], token.ravel()[real], grads)
             back = back.reshape(steps, lanes, STATE)
@@ -341,7 +390,7 @@ class Network:
             h0, gates, rh, c = kept
             z, r = gates[:, :, :STATE], gates[:, :, STATE:]
             to_z, to_c, to_r, carry = (c - h0) * z * (1 - z), z * (1 - c * c), h0 * r * (1 - r), 1 - z
-            stays = (~fresh[:, :, None]).astype(np.float32)
+            begins = fresh.any(axis=1).tolist()
             dh = np.zeros((lanes, STATE), np.float32)
             ut, vt = p["u"].T.copy(), p["v"].T.copy()
             for t in range(steps - 1, -1, -1):
@@ -355,7 +404,8 @@ class Network:
                 drh *= r[t]
                 dh += drh
                 dh += own[:, :2 * STATE] @ ut
-                dh *= stays[t]
+                if begins[t]:
+                    dh[fresh[t]] = 0
             flat_gx = gx.reshape(-1, 3 * STATE)
             grads["u"] += h0.reshape(-1, STATE).T @ flat_gx[:, :2 * STATE]
             grads["v"] += rh.reshape(-1, STATE).T @ flat_gx[:, 2 * STATE:]
@@ -366,14 +416,27 @@ class Network:
                 sq[n] += g * g
                 p[n] -= RATE * g / (np.sqrt(sq[n]) + 1e-6)
             # input rows: sums by symbol, for the symbols that occur
-            flat, gx = before.ravel()[real], gx.reshape(-1, 3 * STATE)[real]
-            order = np.argsort(flat, kind="stable")
-            own, first = np.unique(flat[order], return_index=True)
-            g = np.clip(np.add.reduceat(gx[order], first) * scale, -CLIP, CLIP)
+            order, flat, first = sorted_by(before.ravel()[real])
+            own = flat[first]
+            g = np.clip(np.add.reduceat(np.take(flat_gx[real], order, axis=0), first) * scale, -CLIP, CLIP)
             sq["x"][own] += g * g
             p["x"][own] -= RATE * g / (np.sqrt(sq["x"][own]) + 1e-6)
 
 
+def _texts(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[list[np.ndarray]]:
+    """Lists of the texts' network symbols of about BLOCK tokens."""
+    docs, tokens = [], 0
+    for batch in batches:
+        for text in batch.column("text"):
+            docs.append(vocab.read_symbols(text.as_py()))
+            tokens += len(docs[-1])
+            if tokens >= BLOCK:
+                yield docs
+                docs, tokens = [], 0
+    if docs:
+        yield docs
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary):
     """Lists of (row number, id, held out, symbols, frequent words, other words) of about BLOCK tokens."""
     rows, tokens, number = [], 0, 0
@@ -403,8 +466,7 @@ def train_network(train: DataFrame, vocab: Vocabulary, n_docs: int) -> np.ndarra
             vocab = sent_vocab.value
             flat = initial(vocab) if sent.value is None else sent.value.copy()
             net, squares, tokens = Network(flat), np.full(len(flat), SQUARES, np.float32), 0
-            for rows in _blocks(batches, vocab):
-                docs = [r[3] for r in rows]
+            for docs in _texts(batches, vocab):
                 for _ in range(rounds):
                     net.train(docs, squares, lanes)
                 tokens += sum(map(len, docs))

@@ -89,3 +89,32 @@ def test_windows_give_every_document_in_order():
         for d, doc in enumerate(docs):
             assert got[d] == list(zip(doc.tolist(), [doc[-1], *doc[:-1].tolist()]))
             assert begins[d] == [True] + [False] * (len(doc) - 1)
+
+
+def test_symbols_alone_are_those_of_a_full_read():
+    words = [b"w%d" % i for i in range(G.CLASSES * G.WORDS + 40)]
+    vocab = G.Vocabulary(words, np.arange(len(words), 0, -1), 10_000, len(words) + 9, [1_000_000] * G.TAILS, [60] * G.TAILS)
+    for text in (None, "", "w1 W2 unseen w1 w1040 x é", " ".join(f"w{i} q{i % 7}" for i in range(1060))):
+        assert vocab.read_symbols(text).tolist() == vocab.read(text)[0].tolist()
+
+
+def test_gradients_of_the_output_layers():
+    """Against finite differences, for tokens in no order, of all kinds and repeated."""
+    rng = np.random.default_rng(3)
+    flat = rng.normal(0, 0.4, sum(math.prod(s) for s in G.SHAPES.values()))
+    net, hidden = G.Network(flat), rng.uniform(-1, 1, (60, G.STATE))
+    token = rng.permutation(np.concatenate([rng.integers(0, G.SYMBOLS, 40), [3] * 10, [G.SYMBOLS - 1] * 10]))
+    grads = {n: np.zeros(s) for n, s in G.SHAPES.items()}
+    score, back = net.outputs(hidden, token, grads)
+    loss = lambda: -net.outputs(hidden, token, None)[0].sum()
+    assert abs(loss() + score.sum()) < 1e-9
+    k = int(token[token < G.CLASSES * G.WORDS][0])
+    for array, grad, at in ((hidden, back, (5, 2)), (net.p["wc"], grads["wc"], (1, G.CLASSES + G.TAILS - 1)), (net.p["bc"], grads["bc"], (0,)),
+                            (net.p["ww"], grads["ww"], (0, 4, 3)), (net.p["bw"], grads["bw"], divmod(k, G.WORDS))):
+        was = array[at]
+        array[at] = was + 1e-5
+        up = loss()
+        array[at] = was - 1e-5
+        down = loss()
+        array[at] = was
+        assert abs((up - down) / 2e-5 - grad[at]) < 1e-6
