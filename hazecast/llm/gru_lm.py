@@ -22,6 +22,9 @@ Defined cases: null and empty texts are the end token alone; a null id is traine
 held out; without training documents every word is unknown; repeated rows are scored (and learnt
 from) each; an empty table gives an empty result; other columns are not read; a very long text is
 read whole, some 60 bytes a word, and holds one lane.
+
+Texts are split, looked up and counted in Arrow, many at a time; ``Vocabulary.read`` says the same of
+one text a word at a time.
 """
 
 from __future__ import annotations
@@ -31,12 +34,13 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, doc_fold, hash_order, staged, words_of
@@ -54,49 +58,82 @@ WINDOW, LANES, TRAIN_LANES, WARM_LANES, BLOCK = 32, 256, 256, 32, 1 << 21
 RATE, SQUARES, CLIP = 0.03, 1e-2, 1.0
 #: documents of the warm-up at most, and its rounds
 WARM_DOCS, WARM_ROUNDS = 1024, 2
-#: words that a counting task holds before it hands them on
-HELD = 500_000
+#: rows of a softmax at a time, so that its exponentials stay in a core's cache
+ROWS = 2048
+#: bytes of texts that are split into words at a time, to be read and to be counted
+READ, COUNT = 1 << 24, 1 << 25
 
 
 def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
-# -- corpus counts ------------------------------------------------------------------------------
+def tail_column(word: Column) -> Column:
+    return (F.crc32(F.substring(word, -2, 2)) % TAILS).cast("int")
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(word, tail, c) over all training texts, an end for each."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+# -- words of many texts -------------------------------------------------------------------------
 
-        def out():
-            words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([endings[w[-2:]] - CLASSES * WORDS for w in words], pa.int32()),
-                                               pa.array(list(counts.values()), pa.int64())], ["word", "tail", "c"])
 
-        endings = Endings()
+def portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes, a long row whole."""
+    held, size = [], 0
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+        for a in range(0, batch.num_rows, rows):
+            held.append(batch.slice(a, rows))
+            size += held[-1].nbytes
+            if size >= most:
+                out, held, size = pa.concat_batches(held), [], 0
+                yield out
+    if held:
+        yield pa.concat_batches(held)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' words as ``words_of`` gives them, one text after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    words, sizes = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    empty = sizes == 1  # a text without words has one empty part
+    empty[empty] = pc.equal(pc.binary_length(words.take(pa.array((np.cumsum(sizes) - 1)[empty]))), 0).to_numpy(zero_copy_only=False)
+    if empty.any():
+        sizes[empty] = 0
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+    return words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()), sizes
+
+
+@cache
+def _tails() -> np.ndarray:
+    """Tail classes of two bytes, then of one."""
+    return np.array([tail_class(bytes(divmod(i, 256))) for i in range(1 << 16)] + [tail_class(bytes([i])) for i in range(256)], np.int32)
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each word."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, places, data = words.buffers()
+    ends = np.frombuffer(places, np.int64 if pa.types.is_large_binary(words.type) else np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8)
+    last, before = data[ends[1:] - 1].astype(np.int32), data[ends[1:] - 2].astype(np.int32)
+    return _tails()[np.where(np.diff(ends) > 1, before << 8, 1 << 16) + last]
 
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                counts[END] += 1
-                if len(counts) > HELD:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
 
-    return (train.select("text").mapInArrow(count, "word binary, tail int, c long")
-            .groupBy("word", "tail").agg(F.sum("c").alias("c")))
+# -- corpus counts ------------------------------------------------------------------------------
 
 
-class Endings(dict):
-    """Network symbol of a tail word by its last two bytes, filled as they are met."""
+def count_words(train: DataFrame) -> DataFrame:
+    """(word, tail, c) over all training texts, an end for each."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, COUNT):
+            words, _ = split_words(batch.column(0))
+            counts = words.value_counts()
+            del words
+            yield pa.RecordBatch.from_arrays([counts.field(0).cast(pa.binary()), counts.field(1)], ["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["word", "c"])
 
-    def __missing__(self, ending: bytes) -> int:
-        self[ending] = out = CLASSES * WORDS + tail_class(ending)
-        return out
+    return (train.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+            .select("word", tail_column(F.col("word")).alias("tail"), "c"))
 
 
 class Vocabulary:
@@ -110,9 +147,8 @@ class Vocabulary:
         own = min(CLASSES * WORDS, len(words))
         #: frequent words read as themselves come first
         self.n_own = own
-        self.index = {w: i for i, w in enumerate(self.words)}
-        self.own = {w: i for i, w in enumerate(self.words[:own])}
-        self.endings = Endings()
+        #: the end token's place among the frequent words, or -1
+        self.end = self.words.index(END) if END in self.words else -1
         self.tail_of = np.array([tail_class(w) for w in self.words], np.int64)
         self.tail_n, self.tail_v = np.array(tail_n, float), np.array(tail_v, float)
         if own:  # the tail classes hold what is not read as itself
@@ -121,29 +157,49 @@ class Vocabulary:
         self.base_scale = math.log10(total + distinct + 1)
         self.log_c = np.log10(self.counts + 1.0)
         self.tail_scale = np.log10(self.tail_n + self.tail_v + 1)
-        #: network symbol of each frequent word: itself, or after those its tail class
-        self.symbol = np.where(np.arange(len(words)) < own, np.arange(len(words)), CLASSES * WORDS + self.tail_of).astype(np.int32)
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, Counter]:
-        """Network symbols of the text's tokens, indices of its frequent words, and its other words."""
-        words = words_of(text)
-        words.append(END)
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        known = at >= 0
-        symbols = np.empty(len(words), np.int32)
-        symbols[known] = self.symbol[at[known]]
-        rest = [words[i] for i in np.flatnonzero(~known).tolist()]
-        symbols[~known] = [self.endings[w[-2:]] for w in rest]
-        return symbols, at[known], Counter(rest)
+        #: network symbol of each frequent word: itself, or after those its tail class; last that of the end token
+        self.symbol = np.append(np.where(np.arange(len(words)) < own, np.arange(len(words)), CLASSES * WORDS + self.tail_of),
+                                self.end if 0 <= self.end < own else CLASSES * WORDS + tail_class(END)).astype(np.int32)
+
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
+    @cached_property
+    def _array(self) -> pa.Array:
+        return pa.array(self.words, pa.binary())
+
+    def read_texts(self, texts: pa.Array, frequent: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of all tokens, one text after another: network symbols and indices of the frequent words (-1 for
+        others); how many each text has; the words, and their places among the tokens.  Without
+        ``frequent`` only words that are read as themselves have an index, and the symbols are the same."""
+        words, sizes = split_words(texts)
+        sizes = sizes + 1
+        inner = np.ones(int(sizes.sum()), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        places = np.flatnonzero(inner)
+        at = np.full(len(inner), self.end, np.int32)
+        among = self._array if frequent else self._array[:self.n_own]
+        at[places] = pc.fill_null(pc.index_in(words, value_set=among.cast(words.type)), -1).to_numpy()
+        symbols = self.symbol[at]  # the last one where there is no index
+        other = np.flatnonzero(at[places] < 0)
+        symbols[places[other]] = CLASSES * WORDS + tail_classes(words)[other]
+        return symbols, at, sizes, words, places
+
+    def read_documents(self, texts: pa.Array) -> list[np.ndarray]:
+        """The network symbols of each text."""
+        symbols, _, sizes, _, _ = self.read_texts(texts, False)
+        pa.default_memory_pool().release_unused()
+        return np.split(symbols, np.cumsum(sizes)[:-1])
 
     def read_symbols(self, text: str | None) -> np.ndarray:
-        """The symbols alone, which need no more than the words that are read as themselves."""
-        words = words_of(text)
-        words.append(END)
-        symbols = np.fromiter(map(self.own.get, words, repeat(-1)), np.int32, len(words))
-        tail = np.flatnonzero(symbols < 0)
-        symbols[tail] = [self.endings[words[i][-2:]] for i in tail.tolist()]
-        return symbols
+        return self.read_documents(pa.array([text], pa.string()))[0]
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, Counter]:
+        """``read_texts`` of one text a word at a time: symbols, indices of its frequent words, its other words."""
+        index, words = self.index, [*words_of(text), END]
+        symbols = [self.symbol[index[w]] if w in index else CLASSES * WORDS + tail_class(w) for w in words]
+        return np.array(symbols, np.int32), np.array([index[w] for w in words if w in index], np.int64), Counter(w for w in words if w not in index)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -268,84 +324,86 @@ class Network:
         begins = fresh.any(axis=1).tolist()
         out = np.empty((steps, lanes, STATE), xg.dtype)
         h0, gates, gated, candidates = [np.empty((steps if keep else 1, lanes, n), xg.dtype) for n in (STATE, 2 * STATE, STATE, STATE)]
-        for t in range(steps):
-            at = t if keep else 0
-            if begins[t]:
-                h = np.where(fresh[t][:, None], xg.dtype.type(0), h)
-            g = np.matmul(h, u, out=gates[at])
-            g += xg[t]
-            with np.errstate(over="ignore"):  # one over infinity is the gate's 0
+        d = np.empty((lanes, STATE), xg.dtype)
+        with np.errstate(over="ignore"):  # one over infinity is the gate's 0
+            for t in range(steps):
+                at = t if keep else 0
+                if keep or begins[t]:  # a copy: the states of the step before stay as they are
+                    h0[at] = h
+                    h = h0[at]
+                if begins[t]:
+                    h[np.flatnonzero(fresh[t])] = 0
+                g = np.matmul(h, u, out=gates[at])
+                g += xg[t]
                 np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            c = np.matmul(np.multiply(g[:, STATE:], h, out=gated[at]), v, out=candidates[at])
-            c += xc[t]
-            np.tanh(c, out=c)
-            if keep:
-                h0[t] = h
-            d = c - h
-            d *= g[:, :STATE]
-            h = np.add(h, d, out=out[t])
+                g += 1
+                np.reciprocal(g, out=g)
+                c = np.matmul(np.multiply(g[:, STATE:], h, out=gated[at]), v, out=candidates[at])
+                c += xc[t]
+                np.tanh(c, out=c)
+                np.subtract(c, h, out=d)
+                d *= g[:, :STATE]
+                h = np.add(h, d, out=out[t])
         return out, h, (h0, gates, gated, candidates) if keep else None
 
-    @staticmethod
-    def _exponentials(logits: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
-        """exp of logits, in their place, and what was taken off them first.  States lie within (-1, 1), so the
-        weights bound the logits; only beyond what exp holds is each row's largest taken off."""
-        most = 0.0
-        if float((np.abs(weight).sum(axis=0) + np.abs(bias)).max()) > 60:
-            most = logits.max(axis=1, keepdims=True)
-            logits -= most
-            most = most[:, 0]
-        return np.exp(logits, out=logits), most
-
     def outputs(self, hidden: np.ndarray, token: np.ndarray, grads: dict[str, np.ndarray] | None):
         """Log probability of each token (a tail class for tail words); with grads, also the
         gradient to the states of minus its sum."""
         p = self.p
-        # In order of the symbols a class is a slice, and a target's part of the gradients is one sum.
-        order, token, first = sorted_by(token)
+        # In order of the symbols a class is a slice.
+        order = np.argsort(token.astype(np.int16), kind="stable")
+        token = token[order]
         n = len(token)
         own = token < CLASSES * WORDS
         target = np.where(own, token // WORDS, token - CLASSES * WORDS + CLASSES)
         h1 = np.empty((n, STATE + 1), hidden.dtype)  # a column of ones: the biases are a row of the weights
-        np.take(hidden, order, axis=0, out=h1[:, :STATE])
+        h1[:, :STATE] = np.take(hidden, order, axis=0)
         h1[:, STATE] = 1
+        wc = np.concatenate([p["wc"], p["bc"][None]])
+        ww = np.concatenate([p["ww"], p["bw"][:, None]], axis=1)
+        # States lie within (-1, 1), so the weights bound the logits; only beyond what exp holds is each
+        # row's largest taken off.
+        far = max(float(np.abs(wc).sum(axis=0).max()), float(np.abs(ww).sum(axis=1).max())) > 60
         score = np.empty(n, hidden.dtype)
-        back = sums = None
-        if grads is not None:
-            back, sums = np.zeros((n, STATE), hidden.dtype), np.add.reduceat(h1, first, axis=0)
-
-        def layer(a: int, b: int, at: np.ndarray, weight: np.ndarray, bias: np.ndarray, gw, gb, into: slice):
-            """One softmax over rows a to b: the log probability of the places ``at``, and its gradients."""
-            h = h1[a:b]
-            e = h @ np.concatenate([weight, bias[None]])
-            said = e[np.arange(b - a), at]
-            e, most = self._exponentials(e, weight, bias)
-            total = e @ np.ones(e.shape[1], e.dtype)
-            said -= np.log(total) + most
+        back = None if grads is None else np.empty((n, STATE), hidden.dtype)
+
+        def layer(a: int, b: int, at: np.ndarray, weight: np.ndarray):
+            """One softmax over rows a to b: the log probability of the places ``at``; with grads, the
+            gradients to the states and to the weights."""
+            h, width = h1[a:b], weight.shape[1]
+            e = h @ weight
+            flat, place = e.reshape(-1), np.arange(0, (b - a) * width, width) + at
+            said = flat[place]
+            if far:
+                most = e.max(axis=1)
+                e -= most[:, None]
+                said -= most
+            np.exp(e, out=e)
+            total = e @ np.ones(width, e.dtype)
+            said -= np.log(total)
+            if grads is None:
+                return said, None, None
+            e *= np.reciprocal(total, out=total)[:, None]
+            flat[place] -= 1
+            return said, e @ weight[:STATE].T, (e.T @ h).T
+
+        for a in range(0, n, ROWS):
+            b = min(a + ROWS, n)
+            score[a:b], to_h, g = layer(a, b, target[a:b], wc)
             if grads is not None:
-                np.reciprocal(total, out=total)
-                g = (h * total[:, None]).T @ e
-                np.subtract.at(g.T, at[first[into] - a], sums[into])
-                gw += g[:STATE]
-                gb += g[STATE]
-                d = e @ weight.T
-                d *= total[:, None]
-                d -= np.take(weight.T, at, axis=0)
-                back[a:b] += d
-            return said
-
-        if n:
-            no = dict.fromkeys(("wc", "bc", "ww", "bw"), [None] * CLASSES) if grads is None else grads
-            score[:] = layer(0, n, target, p["wc"], p["bc"], no["wc"], no["bc"], slice(None))
-            bounds = np.arange(CLASSES + 1) * WORDS
-            ends, groups = np.searchsorted(token, bounds).tolist(), np.searchsorted(token[first], bounds).tolist()
-            for k in range(CLASSES):
-                a, b = ends[k], ends[k + 1]
-                if a < b:
-                    score[a:b] += layer(a, b, token[a:b] - k * WORDS, p["ww"][k], p["bw"][k], no["ww"][k], no["bw"][k],
-                                        slice(groups[k], groups[k + 1]))
+                back[a:b] = to_h
+                grads["wc"] += g[:STATE]
+                grads["bc"] += g[STATE]
+        ends = np.searchsorted(token, np.arange(CLASSES + 1) * WORDS).tolist()
+        for k in range(CLASSES):
+            for a in range(ends[k], ends[k + 1], ROWS):
+                b = min(a + ROWS, ends[k + 1])
+                said, to_h, g = layer(a, b, token[a:b] - k * WORDS, ww[k])
+                score[a:b] += said
+                if grads is not None:
+                    back[a:b] += to_h
+                    grads["ww"][k] += g[:STATE]
+                    grads["bw"][k] += g[STATE]
         out = np.empty_like(score)
         out[order] = score
         if grads is None:
@@ -389,7 +447,15 @@ class Network:
             # Gates' and candidates' derivatives of the whole window at once; then back step by step.
             h0, gates, rh, c = kept
             z, r = gates[:, :, :STATE], gates[:, :, STATE:]
-            to_z, to_c, to_r, carry = (c - h0) * z * (1 - z), z * (1 - c * c), h0 * r * (1 - r), 1 - z
+            carry = 1 - z
+            to_z = np.subtract(c, h0)
+            to_z *= z
+            to_z *= carry
+            to_c = np.square(c, out=c)
+            np.subtract(1, to_c, out=to_c)
+            to_c *= z
+            to_r = 1 - r
+            to_r *= rh
             begins = fresh.any(axis=1).tolist()
             dh = np.zeros((lanes, STATE), np.float32)
             ut, vt = p["u"].T.copy(), p["v"].T.copy()
@@ -418,7 +484,9 @@ class Network:
             # input rows: sums by symbol, for the symbols that occur
             order, flat, first = sorted_by(before.ravel()[real])
             own = flat[first]
-            g = np.clip(np.add.reduceat(np.take(flat_gx[real], order, axis=0), first) * scale, -CLIP, CLIP)
+            # two columns are added as the parts of one complex number, in half the steps
+            g = np.add.reduceat(np.take(flat_gx[real], order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+            g = np.clip(g * scale, -CLIP, CLIP)
             sq["x"][own] += g * g
             p["x"][own] -= RATE * g / (np.sqrt(sq["x"][own]) + 1e-6)
 
@@ -426,10 +494,10 @@ class Network:
 def _texts(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[list[np.ndarray]]:
     """Lists of the texts' network symbols of about BLOCK tokens."""
     docs, tokens = [], 0
-    for batch in batches:
-        for text in batch.column("text"):
-            docs.append(vocab.read_symbols(text.as_py()))
-            tokens += len(docs[-1])
+    for batch in portions(batches, READ):
+        for doc in vocab.read_documents(batch.column("text")):
+            docs.append(doc)
+            tokens += len(doc)
             if tokens >= BLOCK:
                 yield docs
                 docs, tokens = [], 0
@@ -437,21 +505,6 @@ def _texts(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[lis
         yield docs
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary):
-    """Lists of (row number, id, held out, symbols, frequent words, other words) of about BLOCK tokens."""
-    rows, tokens, number = [], 0, 0
-    for batch in batches:
-        for doc_id, held_out, text in zip(*[batch.column(n) for n in ("doc_id", "held_out", "text")]):
-            read = vocab.read(text.as_py())
-            rows.append((number, doc_id.as_py(), held_out.as_py(), *read))
-            number, tokens = number + 1, tokens + len(read[0])
-            if tokens >= BLOCK:
-                yield rows
-                rows, tokens = [], 0
-    if rows:
-        yield rows
-
-
 def train_network(train: DataFrame, vocab: Vocabulary, n_docs: int) -> np.ndarray:
     """Parameters after a warm-up in one task and one averaged pass over all training documents."""
     spark = train.sparkSession
@@ -490,9 +543,18 @@ def train_network(train: DataFrame, vocab: Vocabulary, n_docs: int) -> np.ndarra
 # -- scoring ------------------------------------------------------------------------------------
 
 _ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                   ("base_score", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("tail", pa.int32()), ("times", pa.int64())])
+                   ("base_score", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("times", pa.int64())])
 _ROWS_DDL = ("key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-             "word binary, tail int, times long")
+             "word binary, times long")
+
+
+def rows_of(n: int, **given) -> pa.RecordBatch:
+    """``n`` rows of the scoring's output; numbers that are not given are 0, other columns null."""
+    none = {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n), "times": np.zeros(n, np.int64)}
+    columns = none | given
+    arrays = [columns.get(f.name) for f in _ROWS]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)
+                                       for c, f in zip(arrays, _ROWS)], schema=_ROWS)
 
 
 def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -509,27 +571,40 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", f
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, net = sent_vocab.value, Network(sent.value)
-        place = TaskContext.get().partitionId() << 33
-        for rows in _blocks(batches, vocab):
-            natural = net.log_likelihoods([r[3] for r in rows])
-            out = []
-            for (number, doc_id, held_out, symbols, known, rest), ln in zip(rows, natural.tolist()):
-                key = place + number
-                # frequent words that the network reads as tail classes: their share in the class
-                tail = known[known >= vocab.n_own]
-                score = ln / math.log(10) + float((vocab.log_c[tail] - vocab.tail_scale[vocab.tail_of[tail]]).sum())
-                base = float(vocab.log_c[known].sum()) - vocab.base_scale * len(known)
-                # a word of its own, so that these rows spread over the join's partitions
-                out.append((key, doc_id, held_out, len(symbols), len(known), base, score, END + key.to_bytes(8), None, 0))
-                out += [(key, None, None, 0, 0, 0.0, 0.0, w, tail_class(w), n) for w, n in rest.items()]
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
+        first = TaskContext.get().partitionId() << 33
+        for batch in portions(batches, READ):
+            symbols, at, sizes, words, places = vocab.read_texts(batch.column("text"))
+            n = len(sizes)
+            key, text = np.arange(first, first + n), np.repeat(np.arange(n, dtype=np.int32), sizes)
+            first += n
+            known = np.flatnonzero(at >= 0)
+            known, of = at[known], text[known]
+            n_known = np.bincount(of, minlength=n)
+            base = np.bincount(of, vocab.log_c[known], n) - vocab.base_scale * n_known
+            # frequent words that the network reads as tail classes: their share in the class
+            tail = known >= vocab.n_own
+            share = np.bincount(of[tail], vocab.log_c[known[tail]] - vocab.tail_scale[vocab.tail_of[known[tail]]], n)
+            # other words, once for each text that holds them
+            rest = np.flatnonzero(at[places] < 0)
+            coded = words.take(pa.array(rest)).dictionary_encode()
+            distinct = max(len(coded.dictionary), 1)
+            pairs, times = np.unique(text[places[rest]].astype(np.int64) * distinct + coded.indices.to_numpy(), return_counts=True)
+            others = coded.dictionary
+            batch = batch.select(["doc_id", "held_out"])
+            del at, words, places, text, known, of, tail, rest, coded  # not held beside the network
+            pa.default_memory_pool().release_unused()
+            score = net.log_likelihoods(np.split(symbols, np.cumsum(sizes)[:-1])) / math.log(10) + share
+            # a word of its own for each text, so that these rows spread over the join's partitions
+            yield rows_of(n, key=key, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=sizes, n_known=n_known,
+                          base_score=base, score=score, word=[END + k.to_bytes(8) for k in key.tolist()])
+            if vocab.end < 0:
+                yield rows_of(n, key=key, word=[END] * n, times=np.ones(n, np.int64))
+            for a in range(0, len(pairs), 20_000):
+                of, word = np.divmod(pairs[a:a + 20_000], distinct)
+                yield rows_of(len(of), key=key[of], word=others.take(pa.array(word)), times=times[a:a + 20_000])
 
     rows = docs.mapInArrow(scored, _ROWS_DDL)
-    scale = F.element_at(F.array(*[F.lit(float(x)) for x in vocab.tail_scale]), F.col("tail") + 1)
+    scale = F.element_at(F.array(*[F.lit(float(x)) for x in vocab.tail_scale]), tail_column(F.col("word")) + 1)
     log_c = F.log10(F.coalesce(F.col("c"), F.lit(0)).cast("double") + 1)
     real = F.col("times") > 0
     joined = rows.join(counts.select("word", "c"), "word", "left").select(

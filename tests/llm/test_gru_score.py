@@ -1,8 +1,10 @@
 """Scores of the recurrent model against a plain pass token by token, and its memory on long texts."""
 
 import math
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hazecast.llm import gru_lm as G
@@ -118,3 +120,57 @@ def test_gradients_of_the_output_layers():
         down = loss()
         array[at] = was
         assert abs((up - down) / 2e-5 - grad[at]) < 1e-6
+
+
+ODD = [None, "", " \n\t ", "x", " X ", "the THE  the ", "É é", "\x00 a\x00", "ab\x0bc\x0cd\re\x1cf", "z\u00a0q\u2003r \U0001f600", "w1 unseen W2 unseen w1060 q " * 3]
+
+
+def plain(vocab, text):
+    symbols, known, rest = vocab.read(text)
+    return symbols.tolist(), known.tolist(), rest
+
+
+@pytest.mark.parametrize("end", [True, False])
+def test_many_texts_are_read_without_a_step_a_word(end, monkeypatch):
+    """As a word at a time gives them; the corpus pass took half its processor time to look up words."""
+    words = [b"w%d" % i for i in range(G.CLASSES * G.WORDS + 40)] + [G.END] * end
+    vocab = G.Vocabulary(words, np.arange(len(words), 0, -1), 10_000, len(words) + 9, [1_000_000] * G.TAILS, [60] * G.TAILS)
+    want = [plain(vocab, t) for t in ODD]
+    split = [words_of(t) for t in ODD]
+
+    def a_word_at_a_time(*_):
+        raise AssertionError("a text was read a word at a time")
+    monkeypatch.setattr(G, "words_of", a_word_at_a_time)
+    batch = pa.RecordBatch.from_arrays([pa.array(ODD)], ["text"])
+    read = [d.tolist() for docs in G._texts(iter([batch.slice(0, 4), batch.slice(4, 0), batch.slice(4)]), vocab) for d in docs]
+    assert read == [w[0] for w in want]
+    symbols, at, sizes, words, places = vocab.read_texts(batch.column(0))
+    assert sizes.tolist() == [len(w) + 1 for w in split] and words.to_pylist() == [w for ws in split for w in ws]
+    assert G.tail_classes(words).tolist() == [G.tail_class(w) for w in words.to_pylist()]
+    ends = np.cumsum(sizes)
+    for i, (a, b) in enumerate(zip(ends - sizes, ends)):
+        inner = places[(places >= a) & (places < b)]
+        rest = Counter(w for w, p in zip(words.to_pylist(), places) if a <= p < b and at[p] < 0) + Counter({G.END: int(not end)})
+        assert inner.tolist() == list(range(a, b - 1))
+        assert (symbols[a:b].tolist(), [k for k in at[a:b].tolist() if k >= 0], rest) == want[i]
+
+
+def test_portions_hold_every_row():
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) * (i % 50) for i in range(3000)])], ["text"])
+    got = list(G.portions(iter([batch.slice(0, 5), batch.slice(5, 0), batch.slice(5)]), 9_000))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch])) and len(got) > 5
+    assert all(b.nbytes < 30_000 for b in got) and list(G.portions(iter([]), 9_000)) == []
+
+
+def test_large_logits_are_scored(monkeypatch):
+    """Weights beyond what exp holds, and rows of a softmax in parts as well as at once."""
+    rng = np.random.default_rng(5)
+    flat = rng.normal(0, 40, sum(math.prod(s) for s in G.SHAPES.values())).astype(np.float32)
+    hidden, token = rng.uniform(-1, 1, (90, G.STATE)).astype(np.float32), rng.integers(0, G.SYMBOLS, 90)
+    grads = [{n: np.zeros(s, np.float32) for n, s in G.SHAPES.items()} for _ in range(2)]
+    whole = G.Network(flat).outputs(hidden, token, grads[0])
+    monkeypatch.setattr(G, "ROWS", 7)
+    parts = G.Network(flat).outputs(hidden, token, grads[1])
+    assert np.isfinite(whole[0]).all() and (whole[0] <= 1e-4).all()
+    for a, b in (*zip(whole, parts), *((grads[0][n], grads[1][n]) for n in G.SHAPES)):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
